@@ -1,0 +1 @@
+"""Intentionally empty: the covered feature set is batch only (see README, "Streaming")."""
