@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Code points Python's str.split() treats as blank and Java's \s does not.
@@ -26,6 +26,16 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
+def compute_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns behind a one-row generator.
+
+    The optimiser may copy an ordinary projected expression into every filter and projection above
+    it; a deep formula then grows with each copy. It does not look through a generator, so these
+    columns are evaluated once per row and are plain attributes from here on.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def known_ratio(numerator: Column, denominator: Column, digits: int = 6) -> Column:
     """Ratio over known rows; null, never zero, when nothing is known."""
     return F.round(numerator.cast("double") / F.nullif(denominator.cast("double"), F.lit(0.0)), digits)

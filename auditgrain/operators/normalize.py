@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from datetime import date
 
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from auditgrain.functions.expressions import count_if
 from auditgrain.operators.ranking import two_level_rank
+from auditgrain.session import materialize
 from auditgrain.sources.readers import apply_mapping_columns
 
 # --- fixed values: canonical columns, source date formats, class phrases, flag words -------------
@@ -71,9 +73,25 @@ def normalize_classification(c: Column) -> Column:
     return out
 
 
+def _digits_shape(fmt: str) -> str | None:
+    """Regular expression of a purely numeric date format, or None for formats with names in them."""
+    runs = re.findall(r"([A-Za-z])\1*", fmt)
+    if any(r not in "yMdHms" for r in runs) or "MMM" in fmt:
+        return None
+    return "^" + "".join(r"\d" if ch.isalpha() else re.escape(ch) for ch in fmt) + "$"
+
+
 def parse_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """The first format that parses strictly; never a guess."""
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in formats])
+    """The first format that parses strictly; never a guess.
+
+    A text is handed to a format only when its digits and separators have that format's shape: a
+    failed parse costs an exception per row, and most failures are just other formats.
+    """
+    tried = []
+    for fmt in formats:
+        parsed, shape = F.to_date(F.try_to_timestamp(c, F.lit(fmt))), _digits_shape(fmt)
+        tried.append(parsed if shape is None else F.when(c.rlike(shape), parsed))
+    return F.coalesce(*tried)
 
 
 def parse_count(c: Column) -> Column:
@@ -213,9 +231,12 @@ def quality_report(ranked: DataFrame, missing_columns: Sequence[str] = ()) -> Da
 def canonicalize(
     df: DataFrame, mapping: Mapping[str, str], as_of: str, source_row: str
 ) -> dict[str, DataFrame]:
-    """Source strings to valid / rejected / duplicate tables plus the quality report."""
+    """Source strings to valid / rejected / duplicate tables plus the quality report.
+
+    The typed rows feed all four results, so they are parsed and written once.
+    """
     source = apply_mapping_columns(mapping, CANONICAL)
-    ranked = duplicate_rank(type_rows(apply_mapping(df, mapping, source_row), as_of))
+    ranked = duplicate_rank(materialize(type_rows(apply_mapping(df, mapping, source_row), as_of), "typed"))
     valid, rejected, duplicates = split_valid(ranked)
     valid = calendar_features(valid, as_of).withColumn("site_key", site_key())
     valid = recency_rank(attach_site_counts(valid))

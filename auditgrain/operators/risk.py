@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditgrain.functions.config import BANDS, FACTORS, RiskConfig
-from auditgrain.functions.expressions import count_if, known_ratio
+from auditgrain.functions.expressions import compute_once, count_if, known_ratio
 from auditgrain.functions.taxonomy import RISK_TAXONOMY, Taxonomy, theme_flags
 from auditgrain.operators.ranking import page
 
@@ -65,7 +65,7 @@ def entity_totals(facts: DataFrame, keys: Sequence[str], taxonomy: Taxonomy = RI
 
 def _most_repeats(taxonomy: Taxonomy) -> Column:
     counts = [F.col(c) for c in theme_columns(taxonomy).values()]
-    most = reduce(lambda a, b: F.greatest(a, b), counts) if len(counts) > 1 else counts[0]
+    most = F.greatest(*counts) if len(counts) > 1 else counts[0]
     return F.greatest(most - 1, F.lit(0))
 
 
@@ -96,19 +96,19 @@ def score_totals(
     totals: DataFrame, keep: Sequence[str], as_of: Column, cfg: RiskConfig, taxonomy: Taxonomy, details: bool = True
 ) -> DataFrame:
     """Score, band on the unrounded score, coverage, missing factors and components."""
-    staged = totals.withColumns({f"f_{k}": c for k, c in factor_columns(as_of, cfg, taxonomy).items()})
+    staged = compute_once(totals, {f"f_{k}": c for k, c in factor_columns(as_of, cfg, taxonomy).items()})
     weight = {k: F.lit(float(cfg.weights[k])) for k in FACTORS}
     factor = {k: F.col(f"f_{k}") for k in FACTORS}
     available = reduce(
         lambda a, b: a + b, [F.when(factor[k].isNotNull(), weight[k]).otherwise(F.lit(0.0)) for k in FACTORS]
     )
-    staged = staged.withColumn("_available", available)
+    staged = compute_once(staged, {"_available": available})
     base = F.nullif(F.col("_available"), F.lit(0.0))
     part = {k: factor[k] * weight[k] * 100 / base for k in FACTORS}
     raw = F.when(
         base.isNotNull(), reduce(lambda a, b: a + b, [F.coalesce(part[k], F.lit(0.0)) for k in FACTORS])
     )
-    staged = staged.withColumn("_raw", raw)
+    staged = compute_once(staged, {"_raw": raw})
     band = (
         F.when(F.col("_raw").isNull(), BANDS[4])
         .when(F.col("_raw") >= cfg.critical, BANDS[3])
@@ -152,7 +152,7 @@ def entity_summary(
     key = ENTITY_KEYS[kind]
     risk = risk_score(df, [key], as_of, cfg, taxonomy).withColumnRenamed("total", "inspections")
     # Latest date first, then the lowest id; undated records sort last.
-    newest = F.struct(F.datediff(F.lit(date(9999, 12, 31)), F.coalesce("inspection_date", F.lit(date(1, 1, 1)))), "inspection_id")
+    newest = F.struct(F.coalesce(-F.unix_date("inspection_date"), F.lit(2**31 - 1)), "inspection_id")
     named = df.groupBy(key).agg(
         F.min_by(F.struct("company_name", "site_name", "fei_number"), newest).alias("_latest"),
         F.array_join(F.sort_array(F.collect_set(F.nullif(F.col("country"), F.lit("")))), ", ").alias("country"),

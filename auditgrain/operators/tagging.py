@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditgrain.functions.expressions import contains_any, literal_pattern, reasons, squeeze
+from auditgrain.functions.expressions import compute_once, contains_any, literal_pattern, reasons, squeeze
 from auditgrain.functions.taxonomy import (
     OBSERVATION_TAXONOMY,
     PROHIBITED_RATIONALE_PATTERN,
@@ -94,14 +94,14 @@ def classify_observation(df: DataFrame, taxonomy: Taxonomy = OBSERVATION_TAXONOM
         low = F.lower(s)
         return low.rlike(pattern) & ~is_instruction(s, taxonomy) & ~contains_any(low, taxonomy.negations)
 
-    staged = df.withColumn("_text", squeeze(text))
-    staged = staged.withColumn("_hit", F.get(F.filter(F.split("_text", SENTENCE_END), usable), F.lit(0)))
+    staged = compute_once(df, {"_text": squeeze(text)})
+    staged = compute_once(staged, {"_hit": F.get(F.filter(F.split("_text", SENTENCE_END), usable), F.lit(0))})
     staged = staged.withColumn("_low", F.lower("_hit"))
     ordered = [(t, w) for t, words in taxonomy.themes.items() for w in words]
     first = lambda pick: F.coalesce(*[F.when(F.contains("_low", F.lit(w)), F.lit(pick(t, w))) for t, w in ordered])
-    staged = staged.withColumns({"_theme": first(lambda t, w: t), "_word": first(lambda t, w: w)})
+    staged = compute_once(staged, {"_theme": first(lambda t, w: t), "_word": first(lambda t, w: w)})
     start = F.greatest(F.instr("_low", F.col("_word")) - 1 - QUOTE_LEAD, F.lit(0)) + 1
-    staged = staged.withColumn("_quote", F.substr("_hit", start, F.lit(QUOTE_LENGTH)))
+    staged = compute_once(staged, {"_quote": F.substr("_hit", start, F.lit(QUOTE_LENGTH))})
     quote, hit = F.col("_quote"), F.col("_hit").isNotNull()
     minor = F.lit(bool(taxonomy.low_all))
     for word in taxonomy.low_all:
@@ -112,7 +112,7 @@ def classify_observation(df: DataFrame, taxonomy: Taxonomy = OBSERVATION_TAXONOM
         .when(minor, "Low")
         .otherwise("Medium")
     )
-    tagged = staged.withColumns({
+    tagged = compute_once(staged, {
         "category": F.when(hit, QUALITY).otherwise(UNCLASSIFIED),
         "theme": F.coalesce("_theme", F.lit(UNCLASSIFIED)),
         "severity": F.when(hit, severity).otherwise(UNCLASSIFIED),
@@ -138,10 +138,10 @@ def tag_rubric(df: DataFrame, taxonomy: Taxonomy = RISK_TAXONOMY, text: str = "t
         lambda s: (s != "") & ~F.lower(s).rlike(taxonomy.rubric_negation_pattern)
         & F.lower(s).rlike(literal_pattern(taxonomy.words)),
     )
-    staged = df.withColumn("evidence_quotes", F.array_distinct(sentence))
-    staged = staged.withColumn("themes", F.array_distinct(F.flatten(
+    staged = compute_once(df, {"evidence_quotes": F.array_distinct(sentence)})
+    staged = compute_once(staged, {"themes": F.array_distinct(F.flatten(
         F.transform("evidence_quotes", lambda s: theme_array(s, taxonomy))
-    )))
+    ))})
     staged = staged.withColumn("_low", F.lower(F.array_join("evidence_quotes", " ")))
     low = F.col("_low")
     minor = F.lit(bool(taxonomy.rubric_low_all))

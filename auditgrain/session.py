@@ -47,3 +47,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, unlike a local one."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write once to the shared folder and read back: for a wide result that feeds several outputs.
+
+    Unlike a checkpoint the copy is columnar, so each consumer reads only its columns, and no
+    consumer's filter is pushed down into the expensive expressions that built it.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
