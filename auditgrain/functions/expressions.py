@@ -83,4 +83,5 @@ def month_index(month: Column) -> Column:
 
 
 def month_label(index: Column) -> Column:
-    return F.format_string("%04d-%02d", F.floor(index / 12).cast("int"), (index % 12 + 1).cast("int"))
+    label = F.format_string("%04d-%02d", F.floor(index / 12).cast("int"), (index % 12 + 1).cast("int"))
+    return F.when(index.isNotNull(), label)

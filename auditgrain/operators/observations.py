@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditgrain.functions.expressions import count_if, squeeze
+from auditgrain.functions.expressions import compute_once, count_if, squeeze
+from auditgrain.session import materialize
 
 # --- fixed values -------------------------------------------------------------------------------
 EMPTY_TEXT = "Empty or nontext observation"
@@ -88,7 +89,9 @@ CONTENT = ("hash", "inspection_id", "dataset")
 
 def identify_observations(df: DataFrame, order: Sequence[str] = LOAD_ORDER) -> DataFrame:
     """Stable observation ids; the same id with other content becomes a `-VAR-` id and a conflict."""
-    keyed = df.withColumn("hash", text_hash(F.col("text"))).withColumn("observation_id", observation_key())
+    if "hash" not in df.columns:
+        df = df.withColumn("hash", text_hash(F.col("text")))
+    keyed = df.withColumn("observation_id", observation_key())
     first = keyed.groupBy("observation_id").agg(F.min_by(F.struct(*CONTENT), F.struct(*order)).alias("_first"))
     joined = keyed.join(first, "observation_id")
     differs = F.lit(False)
@@ -137,14 +140,22 @@ def conflicts(identified: DataFrame) -> DataFrame:
 
 
 def build_corpus(sources: DataFrame, order: Sequence[str] = LOAD_ORDER) -> Mapping[str, DataFrame]:
-    """All corpus tables from the unioned sources."""
-    accepted, quarantine = quarantine_observations(sources)
-    identified = identify_observations(resolve_identity(accepted, order), order)
+    """All corpus tables from the unioned sources.
+
+    Each source row feeds several outputs and two first-wins joins, so the checked rows and the
+    identified rows are each written once; every output then reads only the columns it needs.
+    """
+    checked = materialize(
+        compute_once(sources, {"hash": text_hash(F.col("text")), "reason": quarantine_reason()}), "checked"
+    )
+    quarantine = checked.filter(F.col("reason").isNotNull()).drop("hash")
+    accepted = checked.filter(F.col("reason").isNull()).drop("reason")
+    identified = materialize(identify_observations(resolve_identity(accepted.drop("text"), order), order), "identified")
     return {
         "quarantine": quarantine,
         "identified": identified,
         "observations": dedupe_observations(identified, order),
-        "texts": dedupe_texts(accepted),
+        "texts": accepted.select("hash", squeeze("text").alias("text")).dropDuplicates(["hash"]),
         "origins": observation_origins(identified),
         "conflicts": conflicts(identified),
     }

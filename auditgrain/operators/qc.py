@@ -155,11 +155,12 @@ def linear_forecast(
     ).otherwise(F.col("_last"))
     error = F.when(F.col("method") == "linear_trend", F.col("linear_mae")).otherwise(F.col("last_value_mae"))
     points = points.withColumns({"_v": F.when(F.col("h").isNotNull(), value), "_e": error})
+    known = F.col("_v").isNotNull()
     return points.select(
         *SERIES, "status", "method", "stale_history", "training_end", "complete_months", "backtest_folds",
         month_label(F.col("_end") + F.col("h")).alias("month"), F.round("_v", 6).alias("rate"),
-        F.round(F.greatest(F.lit(0.0), F.col("_v") - F.col("_e")), 6).alias("error_low"),
-        F.round(F.least(F.lit(1.0), F.col("_v") + F.col("_e")), 6).alias("error_high"),
+        F.when(known, F.round(F.greatest(F.lit(0.0), F.col("_v") - F.col("_e")), 6)).alias("error_low"),
+        F.when(known, F.round(F.least(F.lit(1.0), F.col("_v") + F.col("_e")), 6)).alias("error_high"),
     )
 
 

@@ -13,6 +13,7 @@ from auditgrain.functions.taxonomy import Taxonomy
 from auditgrain.operators.browse import build_browse_index
 from auditgrain.operators.observations import build_corpus
 from auditgrain.operators.tagging import tag_run
+from auditgrain.session import materialize
 from auditgrain.sources.readers import union_sources
 
 AS_OF = "2001-06-30"
@@ -198,6 +199,17 @@ def labelled_index(spark: SparkSession, d: str, run_id: str = "run-1") -> DataFr
     return build_browse_index(corpus["observations"], run["members"], run["assignments"], run["tags"])
 
 
+_INDEXES: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_index(spark: SparkSession, d: str) -> DataFrame:
+    """The browsing index, built and written once per application and folder, as a service would keep it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = materialize(labelled_index(spark, d), "index")
+    return _INDEXES[key]
+
+
 def label_reviews(spark: SparkSession, d: str, index: DataFrame) -> DataFrame:
     """Reviews of every observation whose part of the hash says so: up to two revisions each."""
     digit = F.conv(F.substring("hash", 1, 2), 16, 10).cast("int")
