@@ -83,11 +83,11 @@ def vector_nodes(vectors: DataFrame, themes: DataFrame) -> tuple[DataFrame, Data
 
 
 def prefix_postings(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(theme, token, node, first_hash, last_hash) for the rare-token prefix of every node.
+    """(theme, token, node, first_hash, last_hash, weight, dropped) for the rare-token prefix of every node.
 
     Tokens are put in ascending document frequency; a token is dropped only when it and all more
-    frequent ones together have a norm below the threshold. Two vectors that share no kept token
-    therefore have a cosine below the threshold.
+    frequent ones together have a norm below the threshold (`dropped` is that norm). Two vectors that
+    share no kept token therefore have a cosine below the threshold.
     """
     entries = nodes.select("node", "theme", "first_hash", "last_hash", F.explode("vec").alias("e")).select(
         "node", "theme", "first_hash", "last_hash", "e.token", "e.weight"
@@ -95,36 +95,50 @@ def prefix_postings(nodes: DataFrame, threshold: float) -> DataFrame:
     frequency = entries.groupBy("token").agg(F.count("*").alias("_df"))
     order = Window.partitionBy("node").orderBy(F.col("_df").desc(), F.col("token").desc())
     rest = F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    kept = entries.join(frequency, "token").withColumn("_rest", rest).filter(F.sqrt("_rest") >= threshold - SLACK)
-    return kept.select("theme", "token", "node", "first_hash", "last_hash")
+    measured = entries.join(frequency, "token").withColumn("_norm", F.sqrt(rest))
+    low = F.when(F.col("_norm") < threshold - SLACK, F.col("_norm"))
+    measured = measured.withColumn("dropped", F.coalesce(F.max(low).over(Window.partitionBy("node")), F.lit(0.0)))
+    return measured.filter(F.col("_norm") >= threshold - SLACK).select(
+        "theme", "token", "node", "first_hash", "last_hash", "weight", "dropped"
+    )
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Dot product of two token vectors of unit length."""
-    table = F.map_from_entries(b)
+    """Dot product of two token vectors of unit length, walking their common tokens only."""
+    names = lambda v: F.transform(v, lambda e: e["token"])
+    weight = lambda v, token: F.element_at(F.map_from_entries(v), token)
     return F.aggregate(
-        a, F.lit(0.0), lambda acc, e: acc + e["weight"] * F.coalesce(F.try_element_at(table, e["token"]), F.lit(0.0))
+        F.array_intersect(names(a), names(b)), F.lit(0.0), lambda acc, t: acc + weight(a, t) * weight(b, t)
     )
 
 
-def _candidates(left: DataFrame, right: DataFrame, on: Sequence[str], order: str) -> DataFrame:
-    """Distinct (left_node, right_node) that share a bucket, the right node starting before the left one.
+def _shared(left: DataFrame, right: DataFrame, on: Sequence[str], order: str) -> DataFrame:
+    """(left_node, right_node) per shared bucket, the right node starting before the left one.
 
     `order` says what "before" means for the left node: `first_hash`, or `last_hash` where any of
     its copies may come after the right node.
     """
-    a = left.select(*on, F.col("node").alias("left_node"), F.col(order).alias("_l"))
-    b = right.select(*on, F.col("node").alias("right_node"), F.col("first_hash").alias("_r"))
+    extra = [c for c in ("weight", "dropped") if c in left.columns]
+    a = left.select(*on, F.col("node").alias("left_node"), F.col(order).alias("_l"), *[F.col(c).alias(f"left_{c}") for c in extra])
+    b = right.select(*on, F.col("node").alias("right_node"), F.col("first_hash").alias("_r"), *[F.col(c).alias(f"right_{c}") for c in extra])
     before = (F.col("_r") < F.col("_l")) & (F.col("left_node") != F.col("right_node"))
-    return a.join(b, list(on)).filter(before).select("left_node", "right_node").distinct()
+    return a.join(b, list(on)).filter(before).drop("_l", "_r")
 
 
 def similar_pairs(
     left: DataFrame, right: DataFrame, left_postings: DataFrame, right_postings: DataFrame, threshold: float,
     order: str = "first_hash",
 ) -> DataFrame:
-    """(left_node, right_node, similarity) with the right node earlier and a cosine >= threshold."""
-    pairs = _candidates(left_postings, right_postings, ["theme", "token"], order)
+    """(left_node, right_node, similarity) with the right node earlier and a cosine >= threshold.
+
+    All common tokens outside the shared prefixes lie in the dropped part of one of the two vectors,
+    so the cosine is at most the dot product over the prefixes plus the larger dropped norm. Pairs
+    that cannot reach the threshold go before any vector is fetched.
+    """
+    pairs = _shared(left_postings, right_postings, ["theme", "token"], order).groupBy("left_node", "right_node").agg(
+        F.sum(F.col("left_weight") * F.col("right_weight")).alias("_dot"),
+        F.max(F.greatest("left_dropped", "right_dropped")).alias("_rest"),
+    ).filter(F.col("_dot") + F.col("_rest") >= threshold - 2 * SLACK).select("left_node", "right_node")
     vec = lambda df, side: df.select(F.col("node").alias(f"{side}_node"), F.col("vec").alias(f"_{side}"))
     scored = pairs.join(vec(left, "left"), "left_node").join(vec(right, "right"), "right_node")
     scored = scored.withColumn("similarity", cosine(F.col("_left"), F.col("_right"))).drop("_left", "_right")
@@ -287,7 +301,9 @@ def group_dense(
 
     def pairs_of(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
         cut = lambda side: signatures.join(side.select("node"), "node", "left_semi")
-        pairs = _candidates(probe_signatures(cut(left)), cut(right), ["theme", "table", "signature"], order)
+        pairs = _shared(probe_signatures(cut(left)), cut(right), ["theme", "table", "signature"], order).select(
+            "left_node", "right_node"
+        ).distinct()
         vec = lambda d, s: d.select(F.col("node").alias(f"{s}_node"), F.col("vec").alias(f"_{s}"))
         both = pairs.join(vec(left, "left"), "left_node").join(vec(right, "right"), "right_node")
         dot = F.aggregate(F.zip_with("_left", "_right", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)

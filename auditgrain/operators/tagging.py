@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditgrain.functions.expressions import compute_once, contains_any, literal_pattern, reasons, squeeze
+from auditgrain.functions.expressions import compute_once, contains_any, literal_pattern, reasons, squeeze, strip
 from auditgrain.functions.taxonomy import (
     OBSERVATION_TAXONOMY,
     PROHIBITED_RATIONALE_PATTERN,
@@ -134,7 +134,7 @@ def classify_observation(df: DataFrame, taxonomy: Taxonomy = OBSERVATION_TAXONOM
 def tag_rubric(df: DataFrame, taxonomy: Taxonomy = RISK_TAXONOMY, text: str = "text") -> DataFrame:
     """Multi-label tags by sentence; negated sentences abstain; severity from the quoted sentences."""
     sentence = F.filter(
-        F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)),
+        F.transform(F.split(text, SENTENCE_END), strip),
         lambda s: (s != "") & ~F.lower(s).rlike(taxonomy.rubric_negation_pattern)
         & F.lower(s).rlike(literal_pattern(taxonomy.words)),
     )
@@ -171,7 +171,7 @@ def _quote_contexts(text: Column, quote: Column) -> Column:
     return F.transform(
         F.slice(pieces, F.lit(1), F.size(pieces) - 1),
         lambda p, i: F.concat(
-            F.regexp_extract(F.array_join(F.slice(pieces, F.lit(1), i + 1), quote), r"[^.!?]*$", 0), quote
+            F.regexp_extract(F.call_function("array_join", F.slice(pieces, F.lit(1), i + 1), quote), r"[^.!?]*$", 0), quote
         ),
     )
 

@@ -1 +1,173 @@
-"""Filled in below."""
+"""Chunking, retrieval and conversation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from auditgrain.operators import conversations as C
+from auditgrain.operators import ranking as P
+from auditgrain.operators import retrieval as R
+from auditgrain.plans.base import table, with_views
+from auditgrain.plans.registry import query
+
+CHUNKS = [
+    ("clean", r"SELECT doc_id, trim(replace(text, chr(13) || chr(10), chr(10)), chr(32) || chr(10) || chr(9) || chr(13)) AS t FROM documents"),
+    ("paragraphs", r"SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS pn FROM (SELECT doc_id, string_split_regex(t, '\n\s*\n') AS ps FROM clean WHERE length(t) <= 20000)"),
+    ("tokens", r"SELECT doc_id, pn, regexp_extract_all(p, '\S+\s*') AS tk FROM paragraphs"),
+    ("windows", "SELECT doc_id, pn, tk, unnest(range(0, greatest(1, CAST(ceil((len(tk) - 30) / 190.0) AS BIGINT)))) AS w FROM tokens WHERE len(tk) > 0"),
+    ("chunks", r"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pn, w) - 1 AS chunk_index, rtrim(array_to_string(tk[w * 190 + 1 : w * 190 + 220], ''), chr(32) || chr(10) || chr(9) || chr(13)) AS chunk_text, least(220, len(tk) - w * 190) AS token_count FROM windows"),
+]
+
+
+def chunks(spark, d):
+    return R.chunk_documents(table(spark, d, "documents"), 220, 30, 20_000)
+
+
+@query("RTR-1", "chunk_documents", with_views("", "SELECT doc_id, chunk_index, chunk_text, token_count FROM chunks", CHUNKS))
+def _(spark, d):
+    return chunks(spark, d)[0].select("doc_id", "chunk_index", "chunk_text", "token_count")
+
+
+@query("RTR-1", "oversize_documents", with_views("", "SELECT doc_id, length(t) AS characters FROM clean WHERE length(t) > 20000", CHUNKS[:1]))
+def _(spark, d):
+    from auditgrain.functions.expressions import strip
+
+    return chunks(spark, d)[1].select("doc_id", F.length(strip("text")).alias("characters"))
+
+
+def centroids(spark, d):
+    """One query per label: the mean vector of its members, per dimension."""
+    e = table(spark, d, "embeddings").select(F.col("label").alias("query_id"), F.posexplode("embedding").alias("i", "x"))
+    mean = e.groupBy("query_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return mean.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"))
+
+
+def vector_chunks(spark, d):
+    return table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("chunk_id"), "embedding",
+        F.create_map(F.lit("half"), F.when(F.col("label") < 5, "low").otherwise("high")).alias("metadata"), "label",
+    )
+
+
+VECTORS = [
+    ("e", "SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings"),
+    ("dims", "SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e"),
+    ("cent", "SELECT label AS query_id, list(m ORDER BY i) AS q FROM (SELECT label, i, avg(x) AS m FROM dims GROUP BY ALL) GROUP BY label"),
+    ("scores", "SELECT query_id, vec_id AS chunk_id, label, list_cosine_similarity(q, v) AS score FROM cent, e"),
+    ("vec_hits", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scores QUALIFY rank <= 15"),
+]
+
+
+@query("RTR-2", "vector_search", with_views("", "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM vec_hits WHERE rank <= 10", VECTORS))
+def _(spark, d):
+    return R.vector_search(centroids(spark, d), vector_chunks(spark, d), 10).withColumn("score", F.round("score", 6))
+
+
+@query("RTR-2", "vector_search_filtered", with_views("", """SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scores WHERE label < 5) WHERE rank <= 10""", VECTORS[:4]))
+def _(spark, d):
+    return R.vector_search(centroids(spark, d), vector_chunks(spark, d), 10, {"half": "low"}).drop("score")
+
+
+def passages(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def texts(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+STOP = ", ".join(f"'{w}'" for w in R.KEYWORD_STOP)
+KEYWORD = [
+    ("qt", f"SELECT DISTINCT item_id AS query_id, t FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark) WHERE length(t) > 2 AND t NOT IN ({STOP})"),
+    ("dt", f"SELECT DISTINCT doc_id AS chunk_id, t FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents) WHERE length(t) > 2 AND t NOT IN ({STOP})"),
+    ("hits", "SELECT query_id, chunk_id, count(*) AS score FROM qt JOIN dt USING (t) GROUP BY ALL"),
+]
+
+
+@query("RTR-3", "keyword_search", with_views("", "SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM hits QUALIFY rank <= 3", KEYWORD))
+def _(spark, d):
+    return R.keyword_search(passages(spark, d), texts(spark, d), 3)
+
+
+FULLTEXT = [
+    ("q", r"SELECT DISTINCT item_id AS query_id, t AS term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM benchmark)"),
+    ("words", r"SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents"),
+    ("tf", "SELECT chunk_id, len AS length, term, count(*) AS tf FROM (SELECT chunk_id, len(w) AS len, unnest(w) AS term FROM words) GROUP BY ALL"),
+    ("df", "SELECT term, count(*) AS df FROM tf GROUP BY term"),
+    ("need", "SELECT query_id, count(*) AS terms FROM q GROUP BY query_id"),
+    ("matched", """SELECT query_id, chunk_id, count(*) AS found, sum(tf * ln(1 + (SELECT count(*) FROM documents)::DOUBLE / df) / sqrt(length)) AS s FROM q JOIN tf USING (term) JOIN df USING (term) GROUP BY ALL"""),
+    ("text_hits", "SELECT query_id, chunk_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, chunk_id) AS rank FROM matched JOIN need USING (query_id) WHERE found = terms QUALIFY rank <= 15"),
+]
+
+
+@query("RTR-4", "fulltext_search", with_views("", "SELECT query_id, chunk_id, score, rank FROM text_hits WHERE rank <= 10", FULLTEXT))
+def _(spark, d):
+    return R.fulltext_search(passages(spark, d), texts(spark, d), 10)
+
+
+FUSED = [*VECTORS, *FULLTEXT, ("fused", """SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.chunk_id, t.chunk_id) AS chunk_id,
+  coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + t.rank), 0) AS final_score FROM vec_hits v FULL JOIN text_hits t ON t.query_id = v.query_id AND t.chunk_id = v.chunk_id""")]
+
+
+@query("RTR-5", "hybrid_search", with_views("", "SELECT query_id, chunk_id, round(final_score, 6) AS final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank FROM fused QUALIFY rank <= 5", FUSED))
+def _(spark, d):
+    # Vector queries are label means, text queries benchmark passages; both lists share their ids.
+    vector = R.vector_search(centroids(spark, d).withColumn("query_id", F.col("query_id").cast("long")), vector_chunks(spark, d), 15)
+    hits = R.fuse(vector, R.fulltext_search(passages(spark, d), texts(spark, d), 15), 5)
+    return hits.select("query_id", "chunk_id", F.round("final_score", 6).alias("final_score"), "rank")
+
+
+@query("RTR-6", "hit_status", with_views("", """SELECT query_id, round(max(score), 6) AS best, CASE WHEN max(score) >= 0.65 THEN 'STRONG_HIT' WHEN max(score) >= 0.55 THEN 'WEAK_HIT' ELSE 'MISS' END AS status,
+  count(CASE WHEN score >= 0.55 AND rank <= 5 THEN 1 END) AS selected FROM vec_hits GROUP BY query_id""", VECTORS))
+def _(spark, d):
+    q = centroids(spark, d)
+    found = R.vector_search(q, vector_chunks(spark, d), 15)
+    chosen = R.selected_hits(found).groupBy("query_id").agg(F.count("*").alias("selected"))
+    return R.hit_status(found, q).join(chosen, "query_id", "left").select(
+        "query_id", F.round("best", 6).alias("best"), "status", F.coalesce("selected", F.lit(0)).alias("selected")
+    )
+
+
+@query("RTR-7", "validate_vectors", """SELECT count(*) AS vectors, sum(CASE WHEN vec_id % 50 = 1 THEN 1 ELSE 0 END)::BIGINT AS empty, 0 AS not_finite, sum(CASE WHEN vec_id % 50 = 2 THEN 1 ELSE 0 END)::BIGINT AS zero,
+  0 AS min_dimensions, 64 AS max_dimensions, FALSE AS valid FROM embeddings""")
+def _(spark, d):
+    k = F.col("vec_id") % 50
+    spoiled = F.when(k == 1, F.array().cast("array<float>")).when(k == 2, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))
+    return R.validate_vectors(table(spark, d, "embeddings").withColumn("embedding", spoiled))
+
+
+@query("RTR-8", "upsert_chunks", """SELECT 'main' AS space, source AS document_id, doc_id, lang AS domain, CASE WHEN lang = 'fr' AND source IN (SELECT source FROM documents WHERE lang = 'fr') THEN 'new' ELSE 'old' END AS version
+FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'fr') OR lang = 'fr'""")
+def _(spark, d):
+    base = table(spark, d, "documents").select(
+        F.lit("main").alias("space"), F.col("source").alias("document_id"), "doc_id", F.col("lang").alias("domain"), F.lit("prose").alias("source_type")
+    )
+    old = base.withColumn("metadata", F.create_map(F.lit("version"), F.lit("old")))
+    new = base.filter("domain = 'fr'").withColumn("metadata", F.create_map(F.lit("version"), F.lit("new"), F.lit("domain"), F.lit("stale")))
+    out = R.upsert_chunks(old, new)
+    return out.select("space", "document_id", "doc_id", "domain", F.try_element_at("metadata", F.lit("version")).alias("version"))
+
+
+@query("SRT-4", "top_k_per_query", with_views("", "SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM hits QUALIFY rank <= 5", KEYWORD))
+def _(spark, d):
+    words = lambda df, key: df.select(key, F.explode(R.keyword_tokens("text")).alias("t"))
+    shared = words(passages(spark, d), "query_id").join(words(texts(spark, d), "chunk_id"), "t").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
+    return P.top_k_per_query(shared, 5)
+
+
+@query("WIN-6", "last_turns", """SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 3""")
+def _(spark, d):
+    return C.last_turns(table(spark, d, "conversations"), 3).select("conv_id", "turn", "role", "position")
+
+
+@query("WIN-6", "transcript", "SELECT turn, role, text FROM conversations WHERE conv_id = 2 ORDER BY turn")
+def _(spark, d):
+    return C.transcript(table(spark, d, "conversations"), 2).select("turn", "role", "text")
+
+
+@query("WIN-7", "recent_sessions", """SELECT conv_id, max(conv_id * 7919 % 1009 * 100 + turn) AS last_activity, count(*) AS messages,
+  substring(arg_min(text, turn) FILTER (role = 'user'), 1, 120) AS title FROM conversations GROUP BY conv_id ORDER BY last_activity DESC, conv_id LIMIT 100""")
+def _(spark, d):
+    # The table has no clock; a scattered number per conversation stands in for it.
+    turns = table(spark, d, "conversations").withColumn("last_activity", F.col("conv_id") * 7919 % 1009 * 100 + F.col("turn"))
+    return C.recent_sessions(turns, 100)

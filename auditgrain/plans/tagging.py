@@ -11,7 +11,7 @@ from auditgrain.operators import routing as R
 from auditgrain.operators import tagging as G
 from auditgrain.operators.observations import dedupe_texts
 from auditgrain.plans.base import (
-    PARTS, PROSE, all_words, any_word, inspections, project_rows, quoted, sentence_tags, table, theme_list, with_views,
+    PARTS, PROSE, all_words, any_word, project_rows, quoted, sentence_tags, table, theme_list, with_views,
 )
 from auditgrain.plans.registry import query
 
@@ -51,8 +51,8 @@ def _(spark, d):
 
 
 RUBRIC = [
-    ("split", r"SELECT doc_id, list_distinct_ordered AS quotes FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), "
-     + r"lambda s: s <> '' AND NOT regexp_matches(lower(s), '\b(the of|de la)\b') AND " + any_word("lower(s)", PROSE.words) + ") AS found FROM documents), LATERAL (SELECT list_reduce(list_prepend([]::VARCHAR[], list_transform(found, lambda s: [s])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS list_distinct_ordered)"),
+    ("split", r"SELECT doc_id, list_distinct_ordered AS quotes FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, chr(32) || chr(10) || chr(9) || chr(13))), "
+     + r"lambda s: s <> '' AND NOT regexp_matches(lower(s), '(^|[^\p{L}\p{N}_])(the of|de la)($|[^\p{L}\p{N}_])') AND " + any_word("lower(s)", PROSE.words) + ") AS found FROM documents), LATERAL (SELECT list_reduce(list_prepend([]::VARCHAR[], list_transform(found, lambda s: [s])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS list_distinct_ordered)"),
     ("themed", f"SELECT *, list_transform(quotes, lambda s: {theme_list('lower(s)', PROSE)}) AS per, lower(array_to_string(quotes, ' ')) AS low FROM split"),
     ("flat", "SELECT *, list_filter(" + "[" + ", ".join(quoted(t) for t in PROSE.names) + "], lambda t: len(list_filter(per, lambda p: list_contains(p, t))) > 0) AS present, flatten(per) AS all_themes FROM themed"),
     ("ordered", "SELECT *, list_sort(list_transform(present, lambda t: lpad(CAST(list_position(all_themes, t) AS VARCHAR), 9, '0') || t)) AS keyed FROM flat"),
@@ -275,4 +275,3 @@ def _(spark, d):
     return S.group_dense(dense, 64, 0.6)
 
 
-__all__ = ["candidate_tags", "document_vectors", "inspections"]
