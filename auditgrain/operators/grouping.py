@@ -104,42 +104,41 @@ def prefix_postings(nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Dot product of two token vectors of unit length, walking their common tokens only."""
-    names = lambda v: F.transform(v, lambda e: e["token"])
-    weight = lambda v, token: F.element_at(F.map_from_entries(v), token)
-    return F.aggregate(
-        F.array_intersect(names(a), names(b)), F.lit(0.0), lambda acc, t: acc + weight(a, t) * weight(b, t)
-    )
+    """Dot product of two token -> weight maps of unit length, walking their common tokens only.
+
+    Pass stored map columns: an expression here would be evaluated again for every token.
+    """
+    common = F.array_intersect(F.map_keys(a), F.map_keys(b))
+    return F.aggregate(common, F.lit(0.0), lambda acc, t: acc + F.element_at(a, t) * F.element_at(b, t))
 
 
-def _shared(left: DataFrame, right: DataFrame, on: Sequence[str], order: str) -> DataFrame:
-    """(left_node, right_node) per shared bucket, the right node starting before the left one.
+def _shared(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """(left_node, right_node, precedes) per shared bucket.
 
-    `order` says what "before" means for the left node: `first_hash`, or `last_hash` where any of
-    its copies may come after the right node.
+    The right node starts before the last copy of the left one, so that some copy may join it;
+    `precedes` tells whether it starts before the first copy too.
     """
     extra = [c for c in ("weight", "dropped") if c in left.columns]
-    a = left.select(*on, F.col("node").alias("left_node"), F.col(order).alias("_l"), *[F.col(c).alias(f"left_{c}") for c in extra])
+    a = left.select(*on, F.col("node").alias("left_node"), F.col("first_hash").alias("_f"), F.col("last_hash").alias("_l"), *[F.col(c).alias(f"left_{c}") for c in extra])
     b = right.select(*on, F.col("node").alias("right_node"), F.col("first_hash").alias("_r"), *[F.col(c).alias(f"right_{c}") for c in extra])
     before = (F.col("_r") < F.col("_l")) & (F.col("left_node") != F.col("right_node"))
-    return a.join(b, list(on)).filter(before).drop("_l", "_r")
+    return a.join(b, list(on)).filter(before).withColumn("precedes", F.col("_r") < F.col("_f")).drop("_f", "_l", "_r")
 
 
 def similar_pairs(
-    left: DataFrame, right: DataFrame, left_postings: DataFrame, right_postings: DataFrame, threshold: float,
-    order: str = "first_hash",
+    left: DataFrame, right: DataFrame, left_postings: DataFrame, right_postings: DataFrame, threshold: float
 ) -> DataFrame:
-    """(left_node, right_node, similarity) with the right node earlier and a cosine >= threshold.
+    """(left_node, right_node, precedes, similarity) with a cosine >= threshold.
 
     All common tokens outside the shared prefixes lie in the dropped part of one of the two vectors,
     so the cosine is at most the dot product over the prefixes plus the larger dropped norm. Pairs
     that cannot reach the threshold go before any vector is fetched.
     """
-    pairs = _shared(left_postings, right_postings, ["theme", "token"], order).groupBy("left_node", "right_node").agg(
+    pairs = _shared(left_postings, right_postings, ["theme", "token"]).groupBy("left_node", "right_node", "precedes").agg(
         F.sum(F.col("left_weight") * F.col("right_weight")).alias("_dot"),
         F.max(F.greatest("left_dropped", "right_dropped")).alias("_rest"),
-    ).filter(F.col("_dot") + F.col("_rest") >= threshold - 2 * SLACK).select("left_node", "right_node")
-    vec = lambda df, side: df.select(F.col("node").alias(f"{side}_node"), F.col("vec").alias(f"_{side}"))
+    ).filter(F.col("_dot") + F.col("_rest") >= threshold - 2 * SLACK).select("left_node", "right_node", "precedes")
+    vec = lambda df, side: df.select(F.col("node").alias(f"{side}_node"), F.map_from_entries("vec").alias(f"_{side}"))
     scored = pairs.join(vec(left, "left"), "left_node").join(vec(right, "right"), "right_node")
     scored = scored.withColumn("similarity", cosine(F.col("_left"), F.col("_right"))).drop("_left", "_right")
     return scored.filter(F.col("similarity") >= threshold - SLACK)
@@ -152,7 +151,7 @@ def text_similarity_join(nodes: DataFrame, representatives: DataFrame, threshold
     """
     postings = prefix_postings(nodes, threshold)
     chosen = postings.join(representatives.select("node"), "node", "left_semi")
-    return similar_pairs(nodes, representatives, postings, chosen, threshold)
+    return similar_pairs(nodes, representatives, postings, chosen, threshold).filter("precedes").drop("precedes")
 
 
 def _first_leaders(block: DataFrame, edges: DataFrame) -> DataFrame:
@@ -189,7 +188,7 @@ def _boundaries(n: int, first_block: int) -> list[str | None]:
 
 
 def leader_pairs(nodes: DataFrame, pairs_of, first_block: int) -> tuple[DataFrame, DataFrame]:
-    """(leaders, pairs): run the blocks. `pairs_of(left, right, order)` gives similar (left, earlier right) pairs."""
+    """(leaders, pairs): run the blocks. `pairs_of(left, right)` gives similar pairs as `similar_pairs` does."""
     n = nodes.count()
     undecided = nodes
     leaders = all_pairs = None
@@ -199,9 +198,12 @@ def leader_pairs(nodes: DataFrame, pairs_of, first_block: int) -> tuple[DataFram
         block = undecided if high is None else undecided.filter(F.col("first_hash") < high)
         block = cut_lineage(block)
         if not block.isEmpty():
-            chosen = _first_leaders(block, pairs_of(block, block, "first_hash"))
+            inside = cut_lineage(pairs_of(block, block))
+            chosen = _first_leaders(block, inside.filter("precedes"))
             fresh = cut_lineage(block.join(chosen, "node", "left_semi"))
-            pairs = cut_lineage(pairs_of(later, fresh, "last_hash"))
+            kept = inside.join(fresh.select(F.col("node").alias("right_node")), "right_node", "left_semi")
+            beyond = later.join(block.select("node"), "node", "left_anti")
+            pairs = cut_lineage(kept.unionByName(pairs_of(beyond, fresh)).drop("precedes"))
             leaders = fresh if leaders is None else leaders.unionByName(fresh)
             all_pairs = pairs if all_pairs is None else all_pairs.unionByName(pairs)
             if high is not None:
@@ -240,9 +242,9 @@ def group_texts(
     nodes = cut_lineage(nodes)
     postings = cut_lineage(prefix_postings(nodes, threshold))
 
-    def pairs_of(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
+    def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
         cut = lambda side: postings.join(side.select("node"), "node", "left_semi")
-        return similar_pairs(left, right, cut(left), cut(right), threshold, order)
+        return similar_pairs(left, right, cut(left), cut(right), threshold)
 
     leaders, pairs = leader_pairs(nodes, pairs_of, first_block)
     label = F.concat_ws("|", F.lit(model), F.lit(version), F.lit(str(threshold)), F.col("theme"), F.col("first_hash"))
@@ -299,15 +301,15 @@ def group_dense(
         .join(nodes.select("node", "theme", "first_hash", "last_hash"), "node")
     )
 
-    def pairs_of(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
+    def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
         cut = lambda side: signatures.join(side.select("node"), "node", "left_semi")
-        pairs = _shared(probe_signatures(cut(left)), cut(right), ["theme", "table", "signature"], order).select(
-            "left_node", "right_node"
+        pairs = _shared(probe_signatures(cut(left)), cut(right), ["theme", "table", "signature"]).select(
+            "left_node", "right_node", "precedes"
         ).distinct()
         vec = lambda d, s: d.select(F.col("node").alias(f"{s}_node"), F.col("vec").alias(f"_{s}"))
         both = pairs.join(vec(left, "left"), "left_node").join(vec(right, "right"), "right_node")
         dot = F.aggregate(F.zip_with("_left", "_right", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-        return both.select("left_node", "right_node", dot.alias("similarity")).filter(F.col("similarity") >= threshold - SLACK)
+        return both.select("left_node", "right_node", "precedes", dot.alias("similarity")).filter(F.col("similarity") >= threshold - SLACK)
 
     leaders, pairs = leader_pairs(nodes, pairs_of, first_block)
     label = F.concat_ws("|", F.lit(model), F.lit(version), F.lit(str(threshold)), F.col("theme"), F.col("first_hash"))

@@ -196,7 +196,7 @@ def _(spark, d):
 def tags_and_reviews(spark, d):
     """Rubric-like tags per observation and reviews that change some of them."""
     index = stored_index(spark, d)
-    digit = F.conv(F.substring("observation_id", 5, 2), 16, 10).try_cast("int")
+    digit = F.conv(F.substring(F.sha2("observation_id", 256), 1, 2), 16, 10).cast("int")
     tags = index.select(
         "observation_id", "inspection_id", "company", "site", F.when(F.col("theme") == "Unclassified", "Unclassified").otherwise("Quality").alias("category"),
         "severity", F.when(F.col("theme") == "Unclassified", F.array().cast("array<string>")).otherwise(F.array("theme", F.lit("Any"))).alias("themes"),
@@ -210,7 +210,7 @@ def tags_and_reviews(spark, d):
 
 TAGS = [
     ("tags0", """SELECT observation_id, inspection_id, company, site, CASE WHEN theme = 'Unclassified' THEN 'Unclassified' ELSE 'Quality' END AS category, severity,
-      CASE WHEN theme = 'Unclassified' THEN []::VARCHAR[] ELSE [theme, 'Any'] END AS themes, TRY_CAST('0x' || substring(observation_id, 5, 2) AS INTEGER) AS digit FROM idx"""),
+      CASE WHEN theme = 'Unclassified' THEN []::VARCHAR[] ELSE [theme, 'Any'] END AS themes, CAST('0x' || left(sha256(observation_id), 2) AS INTEGER) AS digit FROM idx"""),
     ("reviewed", """SELECT observation_id, 'Quality' AS category, CASE WHEN digit % 8 = 0 THEN 'Low' ELSE severity END AS severity, ['Any', 'Reviewed'] AS themes FROM tags0 WHERE digit % 4 = 0"""),
     ("final", """SELECT t.observation_id, inspection_id, company, site, coalesce(r.category, t.category) AS category, coalesce(r.severity, t.severity) AS severity, coalesce(r.themes, t.themes) AS themes
       FROM tags0 t LEFT JOIN reviewed r USING (observation_id)"""),
