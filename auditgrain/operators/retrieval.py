@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditgrain.functions.expressions import strip
+from auditgrain.functions.expressions import compute_once, strip
 from auditgrain.operators.ranking import top_k
 
 # --- fixed values -------------------------------------------------------------------------------
@@ -34,12 +34,11 @@ def chunk_documents(
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
-    clean = docs.withColumn("_t", strip(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n"))))
+    clean = compute_once(docs, {"_t": strip(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")))})
     oversize = clean.filter(F.length("_t") > max_chars).drop("_t")
     step = size - overlap
 
-    def windows(paragraph: Column) -> Column:
-        tokens = F.regexp_extract_all(paragraph, F.lit(r"(?U)(\S+\s*)"), F.lit(1))
+    def windows(tokens: Column) -> Column:
         count = F.greatest(F.lit(1), F.ceil((F.size(tokens) - overlap) / F.lit(step)).cast("int"))
         each = F.transform(
             F.sequence(F.lit(0), count - 1),
@@ -50,9 +49,13 @@ def chunk_documents(
         )
         return F.filter(each, lambda w: w["token_count"] > 0)
 
-    paragraphs = F.split("_t", r"\n\s*\n")
-    pieces = clean.filter(F.length("_t") <= max_chars).select(
-        doc_id, F.posexplode(F.flatten(F.transform(paragraphs, windows))).alias("chunk_index", "w")
+    # Tokens of every paragraph are found once; the windows then only slice them.
+    tokenised = F.transform(
+        F.split("_t", r"\n\s*\n"), lambda p: F.regexp_extract_all(p, F.lit(r"(?U)(\S+\s*)"), F.lit(1))
+    )
+    fitting = compute_once(clean.filter(F.length("_t") <= max_chars).select(doc_id, "_t"), {"_tokens": tokenised})
+    pieces = fitting.select(
+        doc_id, F.posexplode(F.flatten(F.transform("_tokens", windows))).alias("chunk_index", "w")
     ).select(doc_id, "chunk_index", "w.chunk_text", "w.token_count")
     identity = F.concat_ws("\0", F.col(doc_id).cast("string"), F.col("chunk_index").cast("string"), "chunk_text", F.lit(version))
     chunk_id = F.concat(F.lit("CHK-"), F.substring(F.sha2(identity, 256), 1, 32))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditgrain.operators import qc as Q
-from auditgrain.plans.base import RULES, measurements, with_views
+from auditgrain.plans.base import RULES, measurements, table, with_views
 from auditgrain.plans.registry import query
 from auditgrain.plans.rollup import fingerprint_sql
 
@@ -127,22 +127,22 @@ def _(spark, d):
     return Q.cross_site_members(Q.qc_signals(history(spark, d), RULES, NOW))
 
 
-@query("QC-10", "signal_events", with_views("measurements", """SELECT dataset_id, event_rank, event_seq, s.study, s.site, 'known' AS outcome FROM (
-  SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY event_seq DESC) AS event_rank FROM (SELECT o_orderkey AS event_seq, o_orderstatus AS dataset_id, study, site FROM named JOIN orders ON seq = o_orderkey % 200)) s WHERE event_rank <= 200
-UNION ALL SELECT o_orderstatus, NULL, o_orderkey, NULL, NULL, 'unknown' FROM orders WHERE o_orderkey % 200 NOT IN (SELECT seq FROM named)""", [
-    HISTORY, LATEST, BREACH, ("named", "SELECT study, site, metric, row_number() OVER (ORDER BY study, site, metric) AS seq FROM breach")]).replace("s.study, s.site", "study, site"))
-def _(spark, d):
-    from pyspark.sql import Window
+REVIEWS = ("order_reviews", """SELECT o_orderkey AS event_seq, o_orderstatus AS dataset_id, c_mktsegment AS study, n_name AS site, 'p_share' AS metric
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 
-    from auditgrain.plans.base import table
 
-    breach = Q.threshold_breach(history(spark, d), RULES)
-    # Signals are few: one per flagged series, numbered for the review fixture.
-    signals = breach.select(
-        F.row_number().over(Window.orderBy("study", "site", "metric")).cast("long").alias("signal_id"), "study", "site", "metric"
-    )
-    reviews = table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("event_seq"), F.col("o_orderstatus").alias("dataset_id"), (F.col("o_orderkey") % 200).alias("signal_id")
+@query("QC-10", "signal_events", with_views("measurements", """SELECT dataset_id, event_rank, event_seq, study, site, 'known' AS outcome FROM (
+  SELECT r.*, row_number() OVER (PARTITION BY dataset_id ORDER BY event_seq DESC) AS event_rank FROM order_reviews r JOIN breach b USING (study, site, metric)) WHERE event_rank <= 200
+UNION ALL SELECT dataset_id, NULL, event_seq, NULL, NULL, 'unknown' FROM order_reviews WHERE (study, site, metric) NOT IN (SELECT (study, site, metric) FROM breach)""",
+    [HISTORY, LATEST, BREACH, REVIEWS]))
+def _(spark, d):
+    name = F.concat_ws("|", "study", "site", "metric").alias("signal_id")
+    signals = Q.threshold_breach(history(spark, d), RULES).select(name, "study", "site")
+    # Every order reviews the signal of its customer's segment and nation; many have none.
+    o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
+    reviews = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select(
+        F.col("o_orderkey").alias("event_seq"), F.col("o_orderstatus").alias("dataset_id"),
+        F.concat_ws("|", "c_mktsegment", "n_name", F.lit("p_share")).alias("signal_id"),
     )
     events, unknown = Q.signal_events(signals, reviews)
     known = events.select("dataset_id", "event_rank", "event_seq", "study", "site", F.lit("known").alias("outcome"))
