@@ -13,7 +13,7 @@ from auditgrain.functions.taxonomy import Taxonomy
 from auditgrain.operators.browse import build_browse_index
 from auditgrain.operators.observations import build_corpus
 from auditgrain.operators.tagging import tag_run
-from auditgrain.session import materialize
+from auditgrain.session import materialize, spread
 from auditgrain.sources.readers import union_sources
 
 AS_OF = "2001-06-30"
@@ -43,7 +43,8 @@ RULES = {"f_share": MetricRule(0.30, "Share of closed orders"), "p_share": Metri
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in ("lineitem", "documents") else df
 
 
 # ---------------------------------------------------------------------------------------- Spark

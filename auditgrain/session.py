@@ -58,3 +58,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a table that arrives in fewer splits than the session has cores; else leave it alone.
+
+    A table in one row group is one task until the first shuffle, however costly the expressions on
+    it are. With as many splits as cores nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
