@@ -50,15 +50,34 @@ def _same_name(a: Column, b: Column) -> Column:
     return F.lower(squeeze(a)) == F.lower(squeeze(b))
 
 
+def _varied(df: DataFrame, key: str, values: Sequence[Column]) -> DataFrame:
+    """Keys under which any of the values (nulls aside) takes more than one form.
+
+    Values are compared by two independent 64-bit hashes: numeric minima and maxima keep the
+    aggregate hash-based, where minima of strings would sort every row.
+    """
+    hashes = [F.when(v.isNotNull(), h) for v in values for h in (F.xxhash64(v), F.xxhash64(v, F.lit("#")))]
+    names = [f"_h{i}" for i in range(len(hashes))]
+    hashed = df.select(key, *[h.alias(n) for h, n in zip(hashes, names, strict=True)])
+    ends = hashed.groupBy(key).agg(*[f(n).alias(f"{n}_{e}") for n in names for f, e in ((F.min, "lo"), (F.max, "hi"))])
+    differs = F.lit(False)
+    for n in names:
+        differs = differs | (F.col(f"{n}_lo") != F.col(f"{n}_hi"))
+    return ends.filter(differs).select(key)
+
+
 def resolve_identity(df: DataFrame, order: Sequence[str] = LOAD_ORDER) -> DataFrame:
     """First metadata per inspection wins; a later row that disagrees moves to a conflict id.
 
     Adds `identity_conflict` and `existing_*`, and rewrites `inspection_id` of conflicting rows.
-    The winner is a partially aggregated minimum joined back, so one inspection may own any share
-    of the rows.
+    Only inspections whose metadata varies need a winner; it is a partially aggregated minimum joined
+    back, so one inspection may own any share of the rows.
     """
+    named = df.filter(F.col("inspection_id").isNotNull())
+    plain = [F.nullif(F.lower(squeeze(c)), F.lit("")) for c in IDENTITY_FIELDS]
+    varied = _varied(named, "inspection_id", plain)
     first = (
-        df.filter(F.col("inspection_id").isNotNull()).groupBy("inspection_id")
+        named.join(varied, "inspection_id", "left_semi").groupBy("inspection_id")
         .agg(F.min_by(F.struct(*IDENTITY_FIELDS), F.struct(*order)).alias("_first"))
     )
     joined = df.join(first, "inspection_id", "left")
@@ -72,7 +91,8 @@ def resolve_identity(df: DataFrame, order: Sequence[str] = LOAD_ORDER) -> DataFr
         *[c for c in df.columns if c != "inspection_id"],
         F.col("inspection_id").alias("source_inspection_id"),
         F.when(F.col("identity_conflict"), moved).otherwise(F.col("inspection_id")).alias("inspection_id"),
-        "identity_conflict", *[F.col(f"_first.{c}").alias(f"existing_{c}") for c in IDENTITY_FIELDS],
+        "identity_conflict",
+        *[F.when(F.col("_first").isNotNull(), F.col(f"_first.{c}")).otherwise(F.col(c)).alias(f"existing_{c}") for c in IDENTITY_FIELDS],
     )
 
 
@@ -92,17 +112,23 @@ def identify_observations(df: DataFrame, order: Sequence[str] = LOAD_ORDER) -> D
     if "hash" not in df.columns:
         df = df.withColumn("hash", text_hash(F.col("text")))
     keyed = df.withColumn("observation_id", observation_key())
-    first = keyed.groupBy("observation_id").agg(F.min_by(F.struct(*CONTENT), F.struct(*order)).alias("_first"))
-    joined = keyed.join(first, "observation_id")
+    # A null inspection is content too, hence the placeholder.
+    varied = _varied(keyed, "observation_id", [F.coalesce(F.col(c), F.lit("<null>")) for c in CONTENT])
+    first = keyed.join(varied, "observation_id", "left_semi").groupBy("observation_id").agg(
+        F.min_by(F.struct(*CONTENT), F.struct(*order)).alias("_first")
+    )
+    joined = keyed.join(first, "observation_id", "left")
     differs = F.lit(False)
     for name in CONTENT:
         differs = differs | ~F.col(name).eqNullSafe(F.col(f"_first.{name}"))
+    differs = F.col("_first").isNotNull() & differs
     content = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in CONTENT])
     variant = F.concat(F.col("observation_id"), F.lit("-VAR-"), F.substring(F.sha2(content, 256), 1, 12))
     return joined.withColumn("variant_conflict", differs).select(
         *[c for c in keyed.columns if c != "observation_id"],
         F.when(F.col("variant_conflict"), variant).otherwise(F.col("observation_id")).alias("observation_id"),
-        "variant_conflict", F.col("_first.hash").alias("existing_hash"), F.col("_first.dataset").alias("existing_dataset"),
+        "variant_conflict", F.coalesce("_first.hash", "hash").alias("existing_hash"),
+        F.coalesce("_first.dataset", "dataset").alias("existing_dataset"),
     )
 
 
