@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditgrain.llm import bpe
+from auditgrain.llm import bpe, language, passages, simhash
+from auditgrain.llm.common import fold
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,23 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = language.train(docs, ~fold(0) & F.col("doc_id").isNotNull())
+    out = language.predict(docs, model)
+    return out.select("doc_id", fold(0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_simhash(spark: SparkSession, d: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, d, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = passages.locate(table(spark, d, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_bpe_automaton(spark: SparkSession, d: str) -> DataFrame:
     path = tokenizer_file()
     out = bpe.decode(bpe.encode(table(spark, d, "documents"), path), path)
@@ -32,6 +50,9 @@ def op10_bpe_automaton(spark: SparkSession, d: str) -> DataFrame:
 
 
 PLANS: dict[str, Plan] = {
+    "op1_language_id": op1_language_id,
+    "op7_simhash": op7_simhash,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
 SQL: dict[str, str] = {}
