@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditgrain.llm import bpe, decontam, language, passages, simhash
+from auditgrain.llm import bpe, decontam, language, licenses, passages, simhash
 from auditgrain.llm.common import fold
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op8_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.scan(table(spark, d, "documents"))
+
+
 def op10_bpe_automaton(spark: SparkSession, d: str) -> DataFrame:
     path = tokenizer_file()
     out = bpe.decode(bpe.encode(table(spark, d, "documents"), path), path)
@@ -58,6 +62,7 @@ PLANS: dict[str, Plan] = {
     "op5_decontamination": op5_decontamination,
     "op7_simhash": op7_simhash,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_license_scan": licenses.oracle()}
