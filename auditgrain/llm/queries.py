@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditgrain.llm import bpe, decontam, language, licenses, passages, simhash
+from auditgrain.llm import bpe, decontam, language, licenses, minhash, passages, simhash
 from auditgrain.llm.common import fold
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op1_language_id(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", fold(0).alias("held_out"), "lang_pred", "score")
 
 
+def op2_minhash(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.edited_pairs(table(spark, d, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -59,6 +63,7 @@ def op10_bpe_automaton(spark: SparkSession, d: str) -> DataFrame:
 
 PLANS: dict[str, Plan] = {
     "op1_language_id": op1_language_id,
+    "op2_minhash": op2_minhash,
     "op5_decontamination": op5_decontamination,
     "op7_simhash": op7_simhash,
     "op8_substring_dedup": op8_substring_dedup,
