@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditgrain.llm import bpe, decontam, language, licenses, minhash, passages, simhash
+from auditgrain.llm import bpe, chat, decontam, language, licenses, minhash, pages, passages, simhash
 from auditgrain.llm.common import fold
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,17 @@ def op2_minhash(spark: SparkSession, d: str) -> DataFrame:
     return minhash.edited_pairs(table(spark, d, "documents"))
 
 
+def op3_html_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return pages.extract(table(spark, d, "pages"))
+
+
+def op4_chat_windows(spark: SparkSession, d: str) -> DataFrame:
+    given = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
+    return chat.read_back(chat.format_windows(given.unionAll(extra)))
+
+
 def op5_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -64,6 +75,8 @@ def op10_bpe_automaton(spark: SparkSession, d: str) -> DataFrame:
 PLANS: dict[str, Plan] = {
     "op1_language_id": op1_language_id,
     "op2_minhash": op2_minhash,
+    "op3_html_consensus": op3_html_consensus,
+    "op4_chat_windows": op4_chat_windows,
     "op5_decontamination": op5_decontamination,
     "op7_simhash": op7_simhash,
     "op8_substring_dedup": op8_substring_dedup,
