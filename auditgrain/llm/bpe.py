@@ -57,7 +57,14 @@ class MergeAutomaton:
                 dead.add(w)
         made = {vocab[a + b] for a, b in merges} | {t for x, t in vocab.items() if len(x.removesuffix("</w>")) == 1}
         self.live = {x: t for x, t in vocab.items() if t not in dead and t in made}
-        self.longest = max((len(x.removesuffix("</w>")) for x in self.live), default=1)
+        # ends of labels -> token, or -1 where only a longer label ends so; inside a word and at its end
+        self.inner: dict[str, int] = {}
+        self.final: dict[str, int] = {}
+        for text, token in self.live.items():
+            table, text = (self.final, text[:-4]) if text.endswith("</w>") and len(text) > 4 else (self.inner, text)
+            for k in range(1, len(text)):
+                table.setdefault(text[k:], -1)
+            table[text] = token
 
     def closed_at(self, x: int, y: int) -> int:
         """The merge at which the state after x lost its y arc, or NEVER."""
@@ -79,13 +86,15 @@ class MergeAutomaton:
 
     def encode_word(self, word: str) -> list[int]:
         """Tokens of one pre-split word, given as byte symbols."""
-        n, live, longest, allowed = len(word), self.live, self.longest, self.allowed
+        n, allowed = len(word), self.allowed
         last, start = [-1] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            suffix = "</w>" if end == n else ""
-            for begin in range(max(0, end - longest), end):
-                token = live.get(word[begin:end] + suffix)
+            ends = (self.final if end == n else self.inner).get
+            for begin in range(end - 1, -1, -1):
+                token = ends(word[begin:end])
                 if token is None:
+                    break
+                if token < 0:
                     continue
                 if begin:
                     before = last[begin]
@@ -110,15 +119,6 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-@lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """Code points that Python's Unicode tables do not know; libraries may class them by later tables."""
-    points = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    starts = [c for c, before in zip(points, [-2, *points]) if c != before + 1]
-    ends = [c for c, after in zip(points, [*points[1:], 1 << 30]) if c != after - 1]
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends)) + "]")
-
-
 class Encoder:
     """Normalisation, pre-splitting and the automaton of one tokenizer file."""
 
@@ -143,9 +143,10 @@ class Encoder:
         self.blank = regex.compile(r"\p{White_Space}+").split
         symbols = byte_symbols()
         self.symbols = {b: symbols[b] for b in range(256)}
-        self.unassigned = unassigned()
+        self.assigned: set[str] = set()
         self.file = path
         self.memory: dict[str, bytes] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def _newer(self, text: str) -> bytes:
         """A text with code points that Python's Unicode tables lack: normalised and split by the library."""
@@ -159,7 +160,13 @@ class Encoder:
     def _chunk(self, chunk: str) -> bytes:
         ids: list[int] = []
         for piece in self.split(chunk):
-            ids += self.automaton.encode_word("".join(map(self.symbols.__getitem__, piece.encode("utf-8", "surrogatepass"))))
+            known = self.words.get(piece)
+            if known is None:
+                known = self.automaton.encode_word("".join(map(self.symbols.__getitem__, piece.encode("utf-8", "surrogatepass"))))
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[piece] = known = tuple(known)
+            ids += known
         if len(self.memory) >= REMEMBERED:
             self.memory.clear()
         out = self.memory[chunk] = struct.pack(f"<{len(ids)}I", *ids)
@@ -167,8 +174,12 @@ class Encoder:
 
     def _plain(self, text: str) -> list[bytes]:
         if not text.isascii():
-            if self.unassigned.search(text):
-                return [self._newer(text)]
+            # code points that Python's Unicode tables lack may be classed by later tables
+            new = set(text) - self.assigned
+            if new:
+                if any(unicodedata.category(c) == "Cn" for c in new):
+                    return [self._newer(text)]
+                self.assigned |= new
             # lower-casing is by character: the final sigma has no form of its own
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
