@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditgrain.llm import bpe, chat, decontam, language, licenses, minhash, pages, passages, simhash
+from auditgrain.llm import bpe, chat, decontam, language, licenses, minhash, pages, passages, pitman_yor, simhash
 from auditgrain.llm.common import fold
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op5_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op6_pitman_yor(spark: SparkSession, d: str) -> DataFrame:
+    return pitman_yor.score(table(spark, d, "documents").withColumn("held", fold(1)))
+
+
 def op7_simhash(spark: SparkSession, d: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, d, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -78,6 +82,7 @@ PLANS: dict[str, Plan] = {
     "op3_html_consensus": op3_html_consensus,
     "op4_chat_windows": op4_chat_windows,
     "op5_decontamination": op5_decontamination,
+    "op6_pitman_yor": op6_pitman_yor,
     "op7_simhash": op7_simhash,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
