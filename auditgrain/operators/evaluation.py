@@ -44,7 +44,8 @@ def grounding_check(answers: DataFrame, citations: DataFrame, evidence: DataFram
 def retrieval_scores(results: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     """Per query and mode: precision, recall and reciprocal rank over the top k documents.
 
-    `results` (query_id, mode, document_id, rank), `gold` (query_id, document_id). Queries without
+    `results` (query_id, mode, document_id, rank), `gold` (query_id, document_id). Every query with gold
+    is scored under every mode of the results; without a hit or a result it scores 0. Queries without
     gold score null. Counting joins only: the gold set of a query may be of any size.
     """
     documents = results.groupBy("query_id", "mode", "document_id").agg(F.min("rank").alias("_r"))
@@ -56,11 +57,15 @@ def retrieval_scores(results: DataFrame, gold: DataFrame, k: int = 5) -> DataFra
     marked = best.join(wanted.withColumn("_hit", F.lit(True)), ["query_id", "document_id"], "left")
     scored = marked.groupBy("query_id", "mode").agg(
         F.count("*").alias("retrieved"), F.count("_hit").alias("hits"), F.min(F.when(F.col("_hit"), F.col("position"))).alias("first_hit"),
-    ).join(sizes, "query_id", "left")
+    )
+    # few modes, named by the results, for every query that has gold
+    modes = results.select("mode").distinct().agg(F.collect_set("mode").alias("modes"))
+    asked = sizes.select("query_id", F.explode(modes.scalar()).alias("mode"))
+    scored = scored.join(asked, ["query_id", "mode"], "full").join(sizes, "query_id", "left").fillna(0, ["retrieved", "hits"])
     has = F.col("gold").isNotNull()
     return scored.select(
         "query_id", "mode", "retrieved", "hits",
-        F.when(has, F.round(F.col("hits") / F.col("retrieved"), 6)).alias("precision"),
+        F.when(has, F.coalesce(F.round(F.try_divide("hits", "retrieved"), 6), F.lit(0.0))).alias("precision"),
         F.when(has, F.round(F.col("hits") / F.col("gold"), 6)).alias("recall"),
         F.when(has, F.coalesce(F.round(1.0 / F.col("first_hit"), 6), F.lit(0.0))).alias("reciprocal_rank"),
     )

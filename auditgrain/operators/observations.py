@@ -20,6 +20,17 @@ IDENTITY_FIELDS = ("fei", "date", "company")
 LOAD_ORDER = ("priority", "source_row")
 
 
+def load_order(order: Sequence[str]) -> Column:
+    """Sort key of the load order; row numbers compare as numbers, other row names after them as texts."""
+    keys = []
+    for name in order:
+        if name == "source_row":
+            number = F.col(name).cast("string").try_cast("bigint")
+            keys += [number.isNull().alias("_named"), number.alias("_number")]
+        keys.append(F.col(name))
+    return F.struct(*keys)
+
+
 def text_hash(text: Column) -> Column:
     return F.sha2(squeeze(text), 256)
 
@@ -56,7 +67,7 @@ def _varied(df: DataFrame, key: str, values: Sequence[Column]) -> DataFrame:
     Values are compared by two independent 64-bit hashes: numeric minima and maxima keep the
     aggregate hash-based, where minima of strings would sort every row.
     """
-    hashes = [F.when(v.isNotNull(), h) for v in values for h in (F.xxhash64(v), F.xxhash64(v, F.lit("#")))]
+    hashes = [F.when(v.isNotNull(), h) for v in values for h in (F.xxhash64(v), F.xxhash64(F.lit("#"), v))]
     names = [f"_h{i}" for i in range(len(hashes))]
     hashed = df.select(key, *[h.alias(n) for h, n in zip(hashes, names, strict=True)])
     ends = hashed.groupBy(key).agg(*[f(n).alias(f"{n}_{e}") for n in names for f, e in ((F.min, "lo"), (F.max, "hi"))])
@@ -78,7 +89,7 @@ def resolve_identity(df: DataFrame, order: Sequence[str] = LOAD_ORDER) -> DataFr
     varied = _varied(named, "inspection_id", plain)
     first = (
         named.join(varied, "inspection_id", "left_semi").groupBy("inspection_id")
-        .agg(F.min_by(F.struct(*IDENTITY_FIELDS), F.struct(*order)).alias("_first"))
+        .agg(F.min_by(F.struct(*IDENTITY_FIELDS), load_order(order)).alias("_first"))
     )
     joined = df.join(first, "inspection_id", "left")
     differs = F.lit(False)
@@ -115,7 +126,7 @@ def identify_observations(df: DataFrame, order: Sequence[str] = LOAD_ORDER) -> D
     # A null inspection is content too, hence the placeholder.
     varied = _varied(keyed, "observation_id", [F.coalesce(F.col(c), F.lit("<null>")) for c in CONTENT])
     first = keyed.join(varied, "observation_id", "left_semi").groupBy("observation_id").agg(
-        F.min_by(F.struct(*CONTENT), F.struct(*order)).alias("_first")
+        F.min_by(F.struct(*CONTENT), load_order(order)).alias("_first")
     )
     joined = keyed.join(first, "observation_id", "left")
     differs = F.lit(False)
@@ -140,7 +151,7 @@ NARROW = (
 def dedupe_observations(identified: DataFrame, order: Sequence[str] = LOAD_ORDER) -> DataFrame:
     """Repeats collapse to the first loaded row; text stays in the text table, keyed by hash."""
     return identified.groupBy("observation_id").agg(
-        F.min_by(F.struct(*NARROW), F.struct(*order)).alias("_o"), F.count("*").alias("occurrences")
+        F.min_by(F.struct(*NARROW), load_order(order)).alias("_o"), F.count("*").alias("occurrences")
     ).select("observation_id", "_o.*", "occurrences")
 
 

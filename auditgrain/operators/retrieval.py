@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +20,6 @@ KEYWORD_STOP = (
 FUSION_CONSTANT = 60
 STRONG_HIT, WEAK_HIT, MISS = "STRONG_HIT", "WEAK_HIT", "MISS"
 # --- end of fixed values ------------------------------------------------------------------------
-# Bytes of query vectors handed to every task at once; more queries run as more blocks.
-QUERY_BLOCK_BYTES = 64 << 20
 
 
 def chunk_documents(
@@ -29,8 +27,8 @@ def chunk_documents(
 ) -> tuple[DataFrame, DataFrame]:
     """(chunks, oversize): overlapping windows of tokens inside blank-line paragraphs.
 
-    The text between tokens stays as it was; the index runs on across paragraphs. Documents longer
-    than `max_chars` are returned whole in the second frame.
+    The text between tokens stays as it was; the index runs on across paragraphs. Every document is
+    chunked; the second frame reports those longer than `max_chars`.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
@@ -53,7 +51,7 @@ def chunk_documents(
     tokenised = F.transform(
         F.split("_t", r"\n\s*\n"), lambda p: F.regexp_extract_all(p, F.lit(r"(?U)(\S+\s*)"), F.lit(1))
     )
-    fitting = compute_once(clean.filter(F.length("_t") <= max_chars).select(doc_id, "_t"), {"_tokens": tokenised})
+    fitting = compute_once(clean.select(doc_id, "_t"), {"_tokens": tokenised})
     pieces = fitting.select(
         doc_id, F.posexplode(F.flatten(F.transform("_tokens", windows))).alias("chunk_index", "w")
     ).select(doc_id, "chunk_index", "w.chunk_text", "w.token_count")
@@ -69,66 +67,56 @@ def metadata_filter(chunks: DataFrame, filters: Mapping[str, str] | None) -> Dat
     return chunks
 
 
-def _nearest(matrix: np.ndarray, ids: np.ndarray, k: int):
-    """Task code: keep the best k chunks per query while batches stream by; emits at most k per query."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_score = [np.empty(0)] * len(ids)
-        best_id = [np.empty(0, dtype=object)] * len(ids)
-        for batch in batches:
-            if batch.empty:
-                continue
-            vectors = np.stack(batch["embedding"].to_numpy()).astype(float)
-            norms = np.linalg.norm(vectors, axis=1)
-            # A zero vector has no direction; it never matches.
-            names = batch["chunk_id"].to_numpy()
-            scores = matrix @ (vectors / np.where(norms == 0, np.nan, norms)[:, None]).T
-            for q in range(len(ids)):
-                row = scores[q]
-                usable = np.flatnonzero(~np.isnan(row))
-                if len(usable) > k:
-                    limit = np.partition(row[usable], -k)[-k]
-                    usable = usable[row[usable] >= limit]
-                s = np.concatenate([best_score[q], row[usable]])
-                n = np.concatenate([best_id[q], names[usable]])
-                order = np.lexsort((n.astype(str) if n.dtype == object else n, -s))[:k]
-                best_score[q], best_id[q] = s[order], n[order]
-        for q in range(len(ids)):
-            if len(best_id[q]):
-                yield pd.DataFrame({"query_id": ids[q], "chunk_id": best_id[q], "score": best_score[q]})
-
-    return run
+def _unit(table: pa.Table, name: str) -> np.ndarray:
+    """Vectors of length one; a zero vector has no direction and becomes NaN."""
+    vectors = np.array(table.column(name).to_pylist(), dtype=float).reshape(table.num_rows, -1)
+    norms = np.linalg.norm(vectors, axis=1)
+    return vectors / np.where(norms == 0, np.nan, norms)[:, None]
 
 
 def vector_search(
     queries: DataFrame, chunks: DataFrame, k: int, filters: Mapping[str, str] | None = None,
-    block_bytes: int = QUERY_BLOCK_BYTES,
+    query_blocks: int = 4, chunk_blocks: int = 16, rows_at_once: int = 2048,
 ) -> DataFrame:
     """Exact cosine top-k of every query: (query_id, chunk_id, score, rank), ties by chunk id.
 
-    The size of the query vectors is measured first. They travel to the tasks in blocks of bounded
-    size; each task scans its chunks once per block with one matrix product per batch and emits at
-    most k rows per query, so no query-chunk pair is ever shuffled.
+    Queries and chunks are dealt to fixed blocks by hash. A task gets one block of either, scans the
+    chunks in slices with one matrix product each and keeps k rows per query, ids compared in their
+    own type; the rest is a top-k over those. Nothing passes through the driver. At scale raise the
+    numbers of blocks until a pair of blocks fits into a task.
     """
-    chunks = metadata_filter(chunks, filters).select("chunk_id", "embedding")
-    facts = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    n, d = facts["n"], facts["d"] or 1
-    blocks = max(1, -(-n * d * 8 // block_bytes))
     types = dict(queries.dtypes) | {f"c_{c}": t for c, t in chunks.dtypes}
     schema = f"query_id {types['query_id']}, chunk_id {types['c_chunk_id']}, score double"
-    found = None
-    for b in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        rows = part.select("query_id", "embedding").toPandas()
-        if rows.empty:
-            continue
-        matrix = np.stack(rows["embedding"].to_numpy()).astype(float)
-        norms = np.linalg.norm(matrix, axis=1)
-        matrix = matrix / np.where(norms == 0, np.nan, norms)[:, None]
-        hits = chunks.mapInPandas(_nearest(matrix, rows["query_id"].to_numpy(), k), schema)
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], schema)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = queries.select("query_id", "embedding", deal("query_id", query_blocks).alias("q"), every(chunk_blocks).alias("c"))
+    held = metadata_filter(chunks, filters).select("chunk_id", "embedding", deal("chunk_id", chunk_blocks).alias("c"), every(query_blocks).alias("q"))
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = right.column("chunk_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, right = ids[order], right.take(pa.array(order))  # equal scores then keep the smaller id
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * left.num_rows
+        if left.num_rows and right.num_rows:
+            matrix = _unit(left, "embedding")
+            for start in range(0, right.num_rows, rows_at_once):
+                scores = matrix @ _unit(right.slice(start, rows_at_once), "embedding").T
+                for n, row in enumerate(scores):
+                    usable = np.flatnonzero(~np.isnan(row))
+                    if len(usable) > k:
+                        usable = usable[row[usable] >= np.partition(row[usable], -k)[-k]]
+                    s, at = np.concatenate([out[n][0], row[usable]]), np.concatenate([out[n][1], usable + start])
+                    best = np.lexsort((at, -s))[:k]
+                    out[n] = s[best], at[best]
+        query = np.repeat(np.arange(left.num_rows), [len(s) for s, _ in out])
+        found = np.concatenate([at for _, at in out]) if out else np.empty(0, np.int64)
+        return pa.table({
+            "query_id": left.column("query_id").combine_chunks().take(pa.array(query, pa.int64())),
+            "chunk_id": right.column("chunk_id").combine_chunks().take(pa.array(found, pa.int64())),
+            "score": pa.array(np.concatenate([s for s, _ in out]) if out else np.empty(0), pa.float64()),
+        })
+
+    found = asked.groupBy("q", "c").cogroup(held.groupBy("q", "c")).applyInArrow(nearest, schema)
     return top_k(found, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 

@@ -13,9 +13,6 @@ from auditgrain.operators.normalize import CANONICAL
 
 CLASS_RANK = {"NAI": 0, "VAI": 1, "OAI": 2}
 JOIN_KEYS = ["id", "fei", "date"]
-# Citation texts and nested evidence are packed into one value only up to this many rows per
-# inspection; beyond it the rows stay in the long tables (see `citation_texts`).
-MAX_PACKED_ROWS = 10_000
 
 
 def _rank(c: Column) -> Column:
@@ -32,11 +29,6 @@ def _label(rank: Column) -> Column:
     return out
 
 
-def oversized(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """Keys with more than `most` rows; at most total / most of them."""
-    return rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(key)
-
-
 def citation_texts(citations: DataFrame) -> DataFrame:
     """The long form of the text: one row per citation, long description before short."""
     return citations.select(
@@ -45,14 +37,11 @@ def citation_texts(citations: DataFrame) -> DataFrame:
     )
 
 
-def roll_up_projects(
-    project_rows: DataFrame, citations: DataFrame, as_of: str, max_packed: int = MAX_PACKED_ROWS
-) -> DataFrame:
+def roll_up_projects(project_rows: DataFrame, citations: DataFrame, as_of: str) -> DataFrame:
     """One row per inspection: worst class, distinct projects and products, posted flag, citation text.
 
-    Each side is aggregated before the join. True citation flag and count stay null. An inspection
-    with more than `max_packed` citations gets no packed text (`text_packed` is false); its text is
-    complete in `citation_texts`, which is what the observation operators read anyway.
+    Each side is aggregated before the join. True citation flag and count stay null. The text of every
+    citation is in the packed text; `citation_texts` is the long form that the observation operators read.
     """
     names = lambda c: F.sort_array(F.collect_set(F.nullif(F.col(c), F.lit(""))))
     per_id = project_rows.groupBy("id").agg(
@@ -64,14 +53,12 @@ def roll_up_projects(
         F.count("*").alias("source_project_rows"),
     )
     texts = citation_texts(citations)
-    counted = texts.groupBy("inspection_id").agg(F.count("*").alias("available_citation_count"))
-    packable = texts.join(oversized(texts, "inspection_id", max_packed), "inspection_id", "left_anti")
-    packed = packable.groupBy("inspection_id").agg(
+    cited = texts.groupBy(F.col("inspection_id").alias("id")).agg(
+        F.count("*").alias("available_citation_count"),
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("source_row", "text"))), lambda r: r["text"]), "\n\n"
-        ).alias("observation_text")
+        ).alias("observation_text"),
     )
-    cited = counted.join(packed, "inspection_id", "left").withColumnRenamed("inspection_id", "id")
     day = F.col("f.date")
     joined = per_id.join(cited, "id", "left")
     label = _label(F.col("_rank"))
@@ -93,24 +80,19 @@ def roll_up_projects(
         "posted_citation_indicator", F.lit(None).cast("int").alias("observation_count"),
         count.alias("available_citation_count"),
         F.nullif(F.col("observation_text"), F.lit("")).alias("observation_text"),
-        ((count == 0) | F.col("observation_text").isNotNull()).alias("text_packed"),
         (label == "OAI").cast("int").alias("OAI_indicator"), (label == "VAI").cast("int").alias("VAI_indicator"),
         F.col("f.source_row").cast("string").alias("source_row"), "source_project_rows",
     )
 
 
-def nest_evidence(project_rows: DataFrame, citations: DataFrame, max_packed: int = MAX_PACKED_ROWS) -> DataFrame:
-    """Arrays of the source rows behind each inspection, for those with at most `max_packed` rows per side.
-
-    Larger inspections are left out here and stay whole in the two input tables.
-    """
+def nest_evidence(project_rows: DataFrame, citations: DataFrame) -> DataFrame:
+    """Arrays of all source rows behind each inspection, in source order."""
 
     def nested(rows: DataFrame, name: str) -> DataFrame:
         fields = sorted(c for c in rows.columns if c != "id")
-        small = rows.join(oversized(rows, "id", max_packed), "id", "left_anti")
         # source_row leads the struct so that the array order is the source order.
         order = ["source_row", *[c for c in fields if c != "source_row"]]
-        return small.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias(name))
+        return rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias(name))
 
     left = nested(project_rows, "project_evidence")
     return left.join(nested(citations, "citation_evidence"), "id", "left").withColumnRenamed("id", "inspection_id")

@@ -50,7 +50,7 @@ class MetricSpec:
     dimensions: Sequence[str] = ()
     filters: Mapping[str, object] = field(default_factory=dict)
     grain: str = "inspection"
-    limit: int = 50
+    limit: int | None = None
     offset: int = 0
 
     def __post_init__(self) -> None:
@@ -78,7 +78,7 @@ class MetricSpec:
         for lo, hi in (("start_year", "end_year"), ("start_date", "end_date")):
             if lo in used and hi in used and self.filters[lo] > self.filters[hi]:
                 raise ValueError("invalid range")
-        if not 1 <= self.limit <= 1000 or self.offset < 0:
+        if (self.limit is not None and self.limit < 1) or self.offset < 0:
             raise ValueError("invalid page")
 
 
@@ -104,7 +104,8 @@ def _inspection_columns(posted: bool) -> dict[str, list[Column]]:
 
 def _page(df: DataFrame, spec: MetricSpec, keys: Sequence[str]) -> DataFrame:
     order = [F.col(k).asc_nulls_last() for k in keys]
-    return (df.orderBy(*order) if order else df).offset(spec.offset).limit(spec.limit)
+    out = (df.orderBy(*order) if order else df).offset(spec.offset)
+    return out if spec.limit is None else out.limit(spec.limit)
 
 
 def metric_query(

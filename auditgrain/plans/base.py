@@ -13,7 +13,7 @@ from auditgrain.functions.taxonomy import Taxonomy
 from auditgrain.operators.browse import build_browse_index
 from auditgrain.operators.observations import build_corpus
 from auditgrain.operators.tagging import tag_run
-from auditgrain.session import materialize, spread
+from auditgrain.session import materialize
 from auditgrain.sources.readers import union_sources
 
 AS_OF = "2001-06-30"
@@ -43,8 +43,7 @@ RULES = {"f_share": MetricRule(0.30, "Share of closed orders"), "p_share": Metri
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{d}/{name}.parquet")
-    return spread(df) if name in ("lineitem", "documents") else df
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 # ---------------------------------------------------------------------------------------- Spark
@@ -200,15 +199,9 @@ def labelled_index(spark: SparkSession, d: str, run_id: str = "run-1") -> DataFr
     return build_browse_index(corpus["observations"], run["members"], run["assignments"], run["tags"])
 
 
-_INDEXES: dict[tuple[str, str], DataFrame] = {}
-
-
 def stored_index(spark: SparkSession, d: str) -> DataFrame:
-    """The browsing index, built and written once per application and folder, as a service would keep it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
-        _INDEXES[key] = materialize(labelled_index(spark, d), "index")
-    return _INDEXES[key]
+    """The browsing index, built from the tables and written once for the query that asks."""
+    return materialize(labelled_index(spark, d), "index")
 
 
 def label_reviews(spark: SparkSession, d: str, index: DataFrame) -> DataFrame:
@@ -327,7 +320,7 @@ SELECT a.*, f.fei AS first_fei, f.date AS first_date, f.company AS first_company
        coalesce(lower(a.fei) <> lower(f.fei), FALSE) OR coalesce(a.date <> f.date, FALSE) OR coalesce(lower(a.company) <> lower(f.company), FALSE) AS identity_conflict
 FROM (SELECT * FROM obs_checked WHERE reason IS NULL) a
 LEFT JOIN (SELECT inspection_id, fei, date, company FROM obs_checked WHERE reason IS NULL AND inspection_id IS NOT NULL
-           QUALIFY row_number() OVER (PARTITION BY inspection_id ORDER BY priority, source_row) = 1) f USING (inspection_id)"""),
+           QUALIFY row_number() OVER (PARTITION BY inspection_id ORDER BY priority, TRY_CAST(source_row AS BIGINT) NULLS LAST, source_row) = 1) f USING (inspection_id)"""),
     "obs_keyed": (("obs_identity",), """
 SELECT *, sha256(clean) AS hash,
        CASE WHEN identity_conflict THEN inspection_id || '-CONFLICT-' ||
@@ -342,11 +335,11 @@ SELECT a.*, a.hash <> f.hash OR a.iid IS DISTINCT FROM f.iid OR a.dataset <> f.d
        CASE WHEN a.hash <> f.hash OR a.iid IS DISTINCT FROM f.iid OR a.dataset <> f.dataset
             THEN a.oid || '-VAR-' || left(sha256(concat_ws('|', a.hash, coalesce(a.iid, ''), a.dataset)), 12) ELSE a.oid END AS obs_id
 FROM obs_ids a JOIN (SELECT oid, hash, iid, dataset FROM obs_ids
-     QUALIFY row_number() OVER (PARTITION BY oid ORDER BY priority, source_row) = 1) f USING (oid)"""),
+     QUALIFY row_number() OVER (PARTITION BY oid ORDER BY priority, TRY_CAST(source_row AS BIGINT) NULLS LAST, source_row) = 1) f USING (oid)"""),
     "observations": (("obs_identified",), """
 SELECT obs_id AS observation_id, hash, dataset, grain, iid AS inspection_id, company, site, year, product, inspection_type, frequency,
        clean, count(*) OVER (PARTITION BY obs_id) AS occurrences FROM obs_identified
-QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY priority, source_row) = 1"""),
+QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY priority, TRY_CAST(source_row AS BIGINT) NULLS LAST, source_row) = 1"""),
     "measurements": ((), """
 SELECT c_mktsegment AS study, r_name AS site, strftime(o_orderdate, '%Y-%m') AS month, 'f_share' AS metric,
        CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS numerator, count(*) AS denominator

@@ -88,7 +88,7 @@ def _(spark, d):
   coalesce(classification, '') AS classification FROM inspections"""))
 def _(spark, d):
     path = fresh_path(spark, "raw-csv")
-    inspections(spark, d).select("inspection_id", "company_name", "observation_text", "classification").write.csv(path, header=True)
+    inspections(spark, d).select("inspection_id", "company_name", "observation_text", "classification").write.csv(path, header=True, escape='"')
     return readers.read_strings(spark, path, "csv")
 
 
@@ -131,9 +131,9 @@ def _(spark, d):
         F.when(pk % 6 == 0, "").otherwise(F.col("long")).alias("observation_text"), F.col("short").alias("Long Description"),
         F.when(pk % 4 == 0, F.col("cite_id")).otherwise("").alias("Inspection ID"),
         F.when(pk % 26 == 0, "-3").when(pk % 13 == 0, "1.5").otherwise(F.col("frequency").cast("string")).alias("Frequency"),
-        F.col("year").cast("string").alias("Fiscal Year"),
+        F.col("year").cast("string").alias("Fiscal Year"), (F.col("year") * 10_000_000 + pk).alias("row"),
     )
-    return readers.normalize_observations(file, "annual-file").select(
+    return readers.normalize_observations(file, "annual-file", "row").select(
         "dataset", "grain", "inspection_id", "text", "frequency", "year", "invalid_reason"
     )
 
@@ -193,10 +193,10 @@ def _(spark, d):
 
 @query("SNK-4", "export_csv_safe", with_views("inspections", """
 SELECT inspection_id, CASE WHEN left(note, 1) IN ('=', '+', '-', '@') THEN '''' || note ELSE note END AS note FROM (
-  SELECT inspection_id, CASE WHEN k % 4 = 0 THEN '=' WHEN k % 4 = 1 THEN '-' WHEN k % 4 = 2 THEN 'x=' ELSE '@' END || company_name AS note FROM inspections)"""))
+  SELECT inspection_id, CASE WHEN k % 4 = 0 THEN '=' WHEN k % 4 = 1 THEN '-' WHEN k % 4 = 2 THEN 'x=' ELSE '@' END || company_name || CASE WHEN k % 3 = 0 THEN ' "q", \\' || chr(10) || 'x\\"' ELSE '' END AS note FROM inspections)"""))
 def _(spark, d):
     k = F.col("inspection_id").cast("long") % 4
-    note = F.concat(F.when(k == 0, "=").when(k == 1, "-").when(k == 2, "x=").otherwise("@"), F.col("company_name"))
+    note = F.concat(F.when(k == 0, "=").when(k == 1, "-").when(k == 2, "x=").otherwise("@"), F.col("company_name"), F.when(F.col("inspection_id").cast("long") % 3 == 0, ' "q", \\\nx\\"').otherwise(""))
     path = fresh_path(spark, "csv")
     writers.export_csv_safe(inspections(spark, d).select("inspection_id", note.alias("note")), path)
     return readers.read_strings(spark, path, "csv")

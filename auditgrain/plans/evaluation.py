@@ -31,9 +31,10 @@ def _(spark, d):
 EVAL = [*VECTORS,
         ("results", "SELECT query_id, 'vector' AS mode, chunk_id, label, rank FROM vec_hits UNION ALL SELECT query_id, 'reversed', chunk_id, label, 16 - rank FROM vec_hits"),
         ("top5", "SELECT *, row_number() OVER (PARTITION BY query_id, mode ORDER BY rank, chunk_id) AS position FROM results QUALIFY position <= 5"),
-        ("scored", """SELECT t.query_id, mode, count(*) AS retrieved, count(CASE WHEN label = t.query_id THEN 1 END) AS hits, min(CASE WHEN label = t.query_id THEN position END) AS first_hit,
-            (SELECT count(*) FROM embeddings e WHERE e.label = t.query_id) AS gold FROM top5 t GROUP BY t.query_id, mode"""),
-        ("rates", "SELECT query_id, mode, round(hits::DOUBLE / retrieved, 6) AS precision, round(hits::DOUBLE / gold, 6) AS recall, coalesce(round(1.0::DOUBLE / first_hit, 6), 0) AS reciprocal_rank FROM scored")]
+        ("golds", "SELECT query_id, count(*) AS gold FROM (SELECT label AS query_id FROM embeddings UNION ALL SELECT -1) GROUP BY query_id"),
+        ("scored", """SELECT g.query_id, m.mode, g.gold, count(t.chunk_id) AS retrieved, count(CASE WHEN label = g.query_id THEN 1 END) AS hits, min(CASE WHEN label = g.query_id THEN position END) AS first_hit
+            FROM golds g CROSS JOIN (SELECT DISTINCT mode FROM results) m LEFT JOIN top5 t ON t.query_id = g.query_id AND t.mode = m.mode GROUP BY ALL"""),
+        ("rates", "SELECT query_id, mode, coalesce(round(hits::DOUBLE / nullif(retrieved, 0), 6), 0) AS precision, round(hits::DOUBLE / gold, 6) AS recall, coalesce(round(1.0::DOUBLE / first_hit, 6), 0) AS reciprocal_rank FROM scored")]
 
 
 @query("EVL-2", "retrieval_eval", with_views("", "SELECT mode, count(precision) AS queries, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(reciprocal_rank), 4) AS reciprocal_rank FROM rates GROUP BY mode", EVAL))
@@ -44,7 +45,9 @@ def _(spark, d):
     results = hits.select("query_id", F.lit("vector").alias("mode"), F.col("chunk_id").alias("document_id"), "rank").unionByName(
         hits.select("query_id", F.lit("reversed").alias("mode"), F.col("chunk_id").alias("document_id"), (16 - F.col("rank")).alias("rank"))
     )
-    gold = table(spark, d, "embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").alias("document_id"))
+    gold = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("document_id"))
+    # one query has gold and no result at all
+    gold = gold.unionAll(spark.range(1).select(F.lit(-1).cast("long"), F.col("id")))
     return E.retrieval_eval(results, gold)
 
 

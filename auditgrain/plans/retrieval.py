@@ -12,7 +12,7 @@ from auditgrain.plans.registry import query
 
 CHUNKS = [
     ("clean", r"SELECT doc_id, trim(replace(text, chr(13) || chr(10), chr(10)), chr(32) || chr(10) || chr(9) || chr(13)) AS t FROM documents"),
-    ("paragraphs", r"SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS pn FROM (SELECT doc_id, string_split_regex(t, '\n\s*\n') AS ps FROM clean WHERE length(t) <= 20000)"),
+    ("paragraphs", r"SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS pn FROM (SELECT doc_id, string_split_regex(t, '\n\s*\n') AS ps FROM clean)"),
     ("tokens", r"SELECT doc_id, pn, regexp_extract_all(p, '\S+\s*') AS tk FROM paragraphs"),
     ("windows", "SELECT doc_id, pn, tk, unnest(range(0, greatest(1, CAST(ceil((len(tk) - 30) / 190.0) AS BIGINT)))) AS w FROM tokens WHERE len(tk) > 0"),
     ("chunks", r"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pn, w) - 1 AS chunk_index, rtrim(array_to_string(tk[w * 190 + 1 : w * 190 + 220], ''), chr(32) || chr(10) || chr(9) || chr(13)) AS chunk_text, least(220, len(tk) - w * 190) AS token_count FROM windows"),

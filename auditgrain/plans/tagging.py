@@ -169,12 +169,13 @@ def _(spark, d):
     )
 
 
-@query("PRJ-19", "redact_json_keys", """SELECT event_id, '{"user":"' || user_id || '","api_key":"[REDACTED]","note":"password=[REDACTED] ok","inner":"{\\"Cookie\\":\\"[REDACTED]\\",\\"k\\":\\"' || event_type || '\\"}"}' AS props FROM events""")
+@query("PRJ-19", "redact_json_keys", """SELECT event_id, '{"user":"' || user_id || '","api_key":"[REDACTED]","n":' || event_id || ',"flag":true,"none":null,"note":"password=[REDACTED] ok","list":[{"cookie":"[REDACTED]"},5,["é"]],"a":{"b":{"c":{"d":{"Cookie":"[REDACTED]","k":"' || event_type || '"}}}}}' AS props FROM events""")
 def _(spark, d):
-    inner = F.concat(F.lit('{"Cookie":"c-'), F.col("event_id").cast("string"), F.lit('","k":"'), F.col("event_type"), F.lit('"}'))
+    secret = F.concat(F.lit("c-"), F.col("event_id").cast("string"))
     body = F.concat(
-        F.lit('{"user":"'), F.col("user_id").cast("string"), F.lit('","api_key":"secret-'), F.col("event_id").cast("string"),
-        F.lit('","note":"password=hunter2 ok","inner":'), inner, F.lit("}"),
+        F.lit('{"user":"'), F.col("user_id").cast("string"), F.lit('","api_key":{"x":"'), secret, F.lit('"},"n":'), F.col("event_id").cast("string"),
+        F.lit(', "flag":true,"none":null,"note":"password=hunter2 ok","list":[{"cookie":"'), secret, F.lit('"},5,["é"]],"a":{"b":{"c":{"d":{"Cookie":["'),
+        secret, F.lit('"],"k":"'), F.col("event_type"), F.lit('"}}}}}'),
     )
     return table(spark, d, "events").select("event_id", R.redact_json_keys(body).alias("props"))
 

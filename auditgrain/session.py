@@ -7,15 +7,16 @@ adaptive options are read from the session first.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", app: str = "auditgrain") -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
-    return (
+def local_session(cpus: int | str = "*", app: str = "auditgrain", folder: str | None = None) -> SparkSession:
+    """A session for tests and benchmarks on one machine, with its own folder for what queries write."""
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -23,17 +24,22 @@ def local_session(cpus: int | str = "*", app: str = "auditgrain") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("AUDITGRAIN_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", folder) if folder else builder).getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach; a temporary one only where the session names none."""
+    """Folder every executor can reach, from `spark.checkpoint.dir`.
+
+    Only a session on one machine may leave it unset: there driver and executors are one process, and
+    a folder of its own is made. On a cluster a machine's own folder would lose data, so none is.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="auditgrain-")
-        spark.sparkContext.setCheckpointDir(configured)
-    elif spark.sparkContext.getCheckpointDir() is None:
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 
@@ -58,13 +64,3 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out a table that arrives in fewer splits than the session has cores; else leave it alone.
-
-    A table in one row group is one task until the first shuffle, however costly the expressions on
-    it are. With as many splits as cores nothing is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -24,6 +24,10 @@ OBSERVATION_COLUMNS = [
 ]
 
 
+#: Quotes inside a field are doubled, fields may hold line breaks, and a backslash is a character.
+QUOTED = {"quote": '"', "escape": '"', "multiLine": True}
+
+
 def read_strings(spark: SparkSession, path: str, fmt: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """Read CSV or Parquet with every column as a string; nothing is inferred.
 
@@ -33,9 +37,9 @@ def read_strings(spark: SparkSession, path: str, fmt: str | None = None, columns
     fmt = fmt or path.rsplit(".", 1)[-1].lower()
     if fmt == "csv":
         if columns is None:
-            columns = spark.read.csv(path, header=True).columns
+            columns = spark.read.csv(path, header=True, **QUOTED).columns
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        df = spark.read.schema(schema).csv(path, header=True, mode="FAILFAST")
+        df = spark.read.schema(schema).csv(path, header=True, mode="FAILFAST", **QUOTED)
     elif fmt == "parquet":
         df = spark.read.parquet(path)
         if columns is not None:
@@ -82,11 +86,12 @@ def _pick(df: DataFrame, names: Sequence[str]) -> Column:
     return F.coalesce(*present) if present else F.lit(None).cast("string")
 
 
-def normalize_observations(df: DataFrame, origin: str, row_col: str | None = None) -> DataFrame:
+def normalize_observations(df: DataFrame, origin: str, row_col: str) -> DataFrame:
     """Schema-on-read for observation files: the first non-empty alias supplies each field.
 
     A row with a frequency and no inspection is an annual template. A frequency that is not a
-    non-negative whole number, or a file without any text column, gives an invalid reason.
+    non-negative whole number, or a file without any text column, gives an invalid reason. `row_col`
+    numbers the rows of the file: rows are told apart and ordered by it.
     """
     frequency = _pick(df, FREQUENCY_ALIASES)
     number = frequency.try_cast("double")
@@ -114,7 +119,7 @@ def normalize_observations(df: DataFrame, origin: str, row_col: str | None = Non
         optional("product_type", "Product", "Program Area").alias("product"),
         optional("inspection_type", "Inspection Type").alias("inspection_type"),
         F.lit(origin).alias("source_file"),
-        (F.col(row_col).cast("string") if row_col else F.lit(None).cast("string")).alias("source_row"),
+        F.col(row_col).cast("string").alias("source_row"),
         reason.cast("string").alias("invalid_reason"),
     )
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import DataFrame
@@ -23,7 +24,8 @@ from auditgrain.session import local_session, materialize
 
 def main() -> None:
     d = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "auditgrain-bench")
+    shared = tempfile.TemporaryDirectory(prefix="auditgrain-bench-")
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "auditgrain-bench", shared.name)
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
 
@@ -78,6 +80,7 @@ def main() -> None:
 
     print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(d)}))
     spark.stop()
+    shared.cleanup()
 
 
 if __name__ == "__main__":

@@ -12,7 +12,7 @@ os.environ.setdefault("AUDITGRAIN_DRIVER_MEMORY", "6g")
 def spark(tmp_path_factory):
     from auditgrain.session import local_session
 
-    session = local_session(8, "auditgrain-tests")
+    session = local_session(8, "auditgrain-tests", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -150,8 +150,13 @@ def test_rollup_keeps_one_row_and_worst_class(spark):
     row = R.roll_up_projects(projects, cites, "2024-12-31").first()
     assert (row.classification, row.posted_citation_indicator, row.source_project_rows, row.available_citation_count) == ("OAI", 1, 2, 3)
     assert row.project_area == "Devices | Drugs" and row.observation_text == "long 1\n\nshort 2\n\nlong 3" and row.citation_indicator is None
-    packed = R.roll_up_projects(projects, cites, "2024-12-31", max_packed=2).first()
-    assert packed.observation_text is None and not packed.text_packed and packed.available_citation_count == 3
+    many = spark.range(12_000).select(
+        F.col("id").cast("int").alias("source_row"), F.lit("i1").alias("id"), F.lit("f").alias("fei"), F.lit(date(2024, 1, 5)).alias("date"),
+        F.lit("Drugs").alias("program"), F.lit("R").alias("reference"), F.lit("").alias("short"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("long"),
+    )
+    whole = R.roll_up_projects(projects, many, "2024-12-31").first()
+    assert whole.available_citation_count == 12_000 and whole.observation_text.split("\n\n") == [f"t{i}" for i in range(12_000)]
+    assert len(R.nest_evidence(projects, many).first().citation_evidence) == 12_000
     assert R.citation_texts(cites).count() == 3
 
 

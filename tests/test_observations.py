@@ -136,14 +136,14 @@ def test_signatures_match_numpy(spark):
     assert probes.count() == 1 + S.LSH_BITS
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
-def test_vector_search_is_exact(spark, block_bytes):
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_vector_search_is_exact(spark, blocks):
     rng = np.random.default_rng(2)
     docs, asked = rng.normal(size=(60, 6)), rng.normal(size=(9, 6))
     docs[3] = docs[4]
     docs[7] = 0
     frame = lambda a, n: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(a)], f"{n} int, embedding array<double>")
-    got = R.vector_search(frame(asked, "query_id"), frame(docs, "chunk_id").repartition(5), 4, block_bytes=block_bytes).collect()
+    got = R.vector_search(frame(asked, "query_id"), frame(docs, "chunk_id").repartition(5), 4, query_blocks=blocks, chunk_blocks=2 * blocks, rows_at_once=7).collect()
     with np.errstate(invalid="ignore"):
         scores = (asked / np.linalg.norm(asked, axis=1)[:, None]) @ (docs / np.linalg.norm(docs, axis=1)[:, None]).T
     for q in range(9):
@@ -255,3 +255,38 @@ def test_metric_specs_refuse_mixed_grains():
     ):
         with pytest.raises(ValueError):
             MetricSpec(**bad)
+
+
+def test_equal_vectors_are_ranked_by_id_as_a_number(spark):
+    from auditgrain.operators import retrieval as R
+
+    docs = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(14, 4, -1)], "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0])], "query_id long, embedding array<double>")
+    got = R.vector_search(asked, docs, 3).orderBy("rank").collect()
+    assert [(r["query_id"], r["chunk_id"]) for r in got] == [(1, 5), (1, 6), (1, 7)]
+
+
+def test_masking_reaches_lists_and_any_depth(spark):
+    from auditgrain.operators.routing import redact_json_keys
+
+    texts = ['{"a":{"b":{"c":{"d":{"cookie":"S"}}}},"l":[{"cookie":["S"]},5,1.5,null,true]}', "password=S x", None, "[]", '"Bearer S"']
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    got = [r[0] for r in rows.orderBy("k").select(redact_json_keys(F.col("t"))).collect()]
+    assert got[0] == '{"a":{"b":{"c":{"d":{"cookie":"[REDACTED]"}}}},"l":[{"cookie":"[REDACTED]"},5,1.5,null,true]}'
+    assert got[1:4] == ["password=[REDACTED] x", None, "[]"] and "S" not in got[4].replace("REDACTED", "")
+
+
+def test_first_row_is_by_number(spark):
+    from auditgrain.operators.observations import load_order
+
+    rows = spark.createDataFrame([(0, "10", "b"), (0, "9", "a"), (0, "x", "c")], "priority int, source_row string, v string")
+    assert rows.agg(F.min_by("v", load_order(("priority", "source_row")))).first()[0] == "a"
+
+
+def test_queries_without_a_result_score_zero(spark):
+    from auditgrain.operators.evaluation import retrieval_eval
+
+    gold = spark.createDataFrame([(1, 10), (2, 20)], "query_id long, document_id long")
+    results = spark.createDataFrame([(1, "m", 10, 1)], "query_id long, mode string, document_id long, rank int")
+    got = retrieval_eval(results, gold).first()
+    assert (got.queries, got.precision, got.recall, got.reciprocal_rank) == (2, 0.5, 0.5, 0.5)
