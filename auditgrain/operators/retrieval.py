@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from auditgrain.functions.expressions import compute_once, strip
 from auditgrain.operators.ranking import top_k
+from auditgrain.session import materialize
 
 # --- fixed values -------------------------------------------------------------------------------
 KEYWORD_STOP = (
@@ -150,14 +151,15 @@ def fulltext_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     The score stands in for a database's cover-density rank. A query meets only chunks that hold its
     rarest term; the other terms are checked on those.
     """
-    counts = chunks.select("chunk_id", _terms("text").alias("_w")).select(
-        "chunk_id", F.size("_w").alias("length"), F.explode("_w").alias("term")
-    ).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
     wanted = queries.select("query_id", F.array_distinct(_terms("text")).alias("_q")).select(
         "query_id", F.size("_q").alias("terms"), F.explode("_q").alias("term")
     )
     vocabulary = wanted.select("term").distinct()
-    relevant = counts.join(vocabulary, "term", "left_semi")
+    # only words that some query asks for are counted; they feed frequencies, candidates and scores
+    held = chunks.select("chunk_id", _terms("text").alias("_w")).select("chunk_id", F.size("_w").alias("length"), F.explode("_w").alias("term"))
+    relevant = materialize(
+        held.join(vocabulary, "term", "left_semi").groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf")), "terms"
+    )
     frequency = relevant.groupBy("term").agg(F.count("*").alias("df"))
     total = chunks.agg(F.count("*")).scalar()
     asked = wanted.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))

@@ -97,10 +97,10 @@ def _(spark, d):
     return a.select(F.lit("scope").alias("what"), "observation_id").unionByName(b.select(F.lit("open").alias("what"), "observation_id"))
 
 
-DECIDED = ("decided", """SELECT observation_id FROM (SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY revision DESC) AS rn FROM reviews) WHERE rn = 1 AND action IN ('Approve', 'Modify')""")
+DECIDED = ("decided", """SELECT run_id, observation_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, observation_id ORDER BY revision DESC) AS rn FROM reviews) WHERE rn = 1 AND action IN ('Approve', 'Modify')""")
 
 
-@query("JOI-7", "needs_review", with_views("idx reviews", "SELECT observation_id, theme FROM idx WHERE observation_id NOT IN (SELECT observation_id FROM decided)", [DECIDED]))
+@query("JOI-7", "needs_review", with_views("idx reviews", "SELECT observation_id, theme FROM idx ANTI JOIN decided USING (run_id, observation_id)", [DECIDED]))
 def _(spark, d):
     index = stored_index(spark, d)
     return V.needs_review(index, label_reviews(spark, d, index)).select("observation_id", "theme")
@@ -179,7 +179,7 @@ def _(spark, d):
     section_sql("year", "year"), section_sql("severity", "severity"),
     section_sql("theme", "theme", "theme <> 'Unclassified'") + " HAVING count(DISTINCT inspection_id) > 1", section_sql("site", "site") + " HAVING count(DISTINCT inspection_id) > 1",
     "SELECT 'recurring', 'all', count(*), sum(n - 1)::BIGINT FROM (SELECT count(DISTINCT inspection_id) AS n FROM idx WHERE theme <> 'Unclassified' GROUP BY theme HAVING count(DISTINCT inspection_id) > 1)",
-    "SELECT 'review_required', 'all', count(*), NULL FROM idx WHERE observation_id NOT IN (SELECT observation_id FROM decided)"]), [DECIDED]))
+    "SELECT 'review_required', 'all', count(*), NULL FROM idx ANTI JOIN decided USING (run_id, observation_id)"]), [DECIDED]))
 def _(spark, d):
     index = stored_index(spark, d)
     return B.observation_insights(index, V.needs_review(index, label_reviews(spark, d, index)))
