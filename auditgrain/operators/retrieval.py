@@ -186,9 +186,14 @@ def fuse(vector: DataFrame, keyword: DataFrame, limit: int) -> DataFrame:
 def hybrid_search(
     queries: DataFrame, chunks: DataFrame, limit: int, filters: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Fusion of vector and full-text candidates, each three times the limit."""
+    """Fusion of vector and full-text candidates, each three times the limit.
+
+    A query or chunk may lack its text or its embedding; it then takes part in the other search only.
+    """
     chunks = metadata_filter(chunks, filters)
-    return fuse(vector_search(queries, chunks, 3 * limit), fulltext_search(queries, chunks, 3 * limit), limit)
+    with_ = lambda df, c: df.filter(F.col(c).isNotNull())
+    near = vector_search(with_(queries, "embedding"), with_(chunks, "embedding"), 3 * limit)
+    return fuse(near, fulltext_search(with_(queries, "text"), with_(chunks, "text"), 3 * limit), limit)
 
 
 def hit_status(results: DataFrame, queries: DataFrame, strong: float = 0.65, weak: float = 0.55, mode: str = "vector") -> DataFrame:

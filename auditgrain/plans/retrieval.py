@@ -111,9 +111,11 @@ FUSED = [*VECTORS, *FULLTEXT, ("fused", """SELECT coalesce(v.query_id, t.query_i
 
 @query("RTR-5", "hybrid_search", with_views("", "SELECT query_id, chunk_id, round(final_score, 6) AS final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank FROM fused QUALIFY rank <= 5", FUSED))
 def _(spark, d):
-    # Vector queries are label means, text queries benchmark passages; both lists share their ids.
-    vector = R.vector_search(centroids(spark, d).withColumn("query_id", F.col("query_id").cast("long")), vector_chunks(spark, d), 15)
-    hits = R.fuse(vector, R.fulltext_search(passages(spark, d), texts(spark, d), 15), 5)
+    # Queries are label means and benchmark passages, chunks embeddings and documents, joined by their ids.
+    means = centroids(spark, d).withColumn("query_id", F.col("query_id").cast("long"))
+    asked = means.join(passages(spark, d), "query_id", "full")
+    chunks = vector_chunks(spark, d).join(texts(spark, d), "chunk_id", "full")
+    hits = R.hybrid_search(asked, chunks, 5)
     return hits.select("query_id", "chunk_id", F.round("final_score", 6).alias("final_score"), "rank")
 
 
