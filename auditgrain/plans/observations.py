@@ -28,10 +28,10 @@ def _(spark, d):
     return O.dedupe_texts(table(spark, d, "documents"))
 
 
-@query("SET-5", "resolve_identity", with_views("obs_keyed", "SELECT source_row, iid AS inspection_id, identity_conflict, first_company AS existing_company FROM obs_keyed WHERE dataset = 'real'"))
+@query("SET-5", "resolve_identity", with_views("obs_keyed", "SELECT source_row, iid AS inspection_id, identity_conflict, first_company AS existing_company FROM obs_keyed"))
 def _(spark, d):
     accepted = O.quarantine_observations(observation_sources(spark, d))[0]
-    return O.resolve_identity(accepted).filter(F.col("dataset") == "real").select(
+    return O.resolve_identity(accepted).select(
         "source_row", "inspection_id", "identity_conflict", "existing_company"
     )
 
@@ -232,14 +232,15 @@ def _(spark, d):
     ).unionByName(shape(out["recurrence"], "recurrence", "theme", F.col("site"), F.col("inspections")))
 
 
-@query("SNK-6", "export_summaries", with_views("idx", """SELECT category AS label, count(DISTINCT observation_id) AS observations FROM final GROUP BY category
-UNION ALL SELECT severity, count(DISTINCT observation_id) FROM final GROUP BY severity""", TAGS))
+@query("SNK-6", "export_summaries", with_views("idx", f"SELECT label, site, observations FROM ({SUMMARY_SQL})", TAGS))
 def _(spark, d):
     path = fresh_path(spark, "summaries")
     writers.export_summaries(B.tag_summaries(*tags_and_reviews(spark, d)), path)
-    schema = "label string, observations long"
-    return spark.read.schema(schema).csv(f"{path}/categories", header=True, enforceSchema=True).unionByName(
-        spark.read.schema(schema).csv(f"{path}/severities", header=True, enforceSchema=True)
+    read = lambda name: spark.read.csv(f"{path}/{name}", header=True)
+    shape = lambda df, label, site: df.select(F.col(label).alias("label"), site.alias("site"), F.col("observations").cast("long"))
+    none = F.lit(None).cast("string")
+    return shape(read("categories"), "category", none).unionByName(shape(read("severities"), "severity", none)).unionByName(
+        shape(read("recurrence"), "theme", F.col("site"))
     )
 
 
