@@ -3,7 +3,7 @@
 1. Anchors: of each window of words, the phrase with the least hash (winnowing). Equal windows have
    equal anchors, so a window can recur only if its anchor occurs in two documents. The anchors that
    do are kept as a Bloom filter of bounded size, which can only admit too much.
-2. Windows whose anchor may recur are confirmed on 128 hash bits: the smallest document of each, and
+2. Windows whose anchor may recur are confirmed on 96 hash bits: the smallest document of each, and
    which shards of documents hold later ones. Rows are reduced to one per window and shard while they
    are made, so a passage that a third of all documents share costs a row for each shard.
 3. Each shard of documents compiles the confirmed passages of its documents, words as symbols, into
@@ -44,8 +44,9 @@ def _anchors(hashes: np.ndarray, window: int, phrase: int) -> np.ndarray:
     return out
 
 
-def _window_hashes(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    return rolling(hashes, window), rolling(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), window)
+def _second(hashes: np.ndarray, window: int) -> np.ndarray:
+    """A second, independent hash of every window, 32 bits."""
+    return (rolling(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), window) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def anchors(docs: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -92,12 +93,9 @@ def anchor_filter(recurring: DataFrame) -> np.ndarray:
     rows = recurring.mapInArrow(run, "cell long").groupBy(F.shiftright(cell, 6).alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("set")
     )
+    found = rows.toArrow()  # at most 2^(FILTER_BITS - 6) rows of two integers
     out = np.zeros(1 << (bits - 6), np.int64)
-    for part in rows.toLocalIterator() if count > 4_000_000 else [rows.toPandas()]:
-        if hasattr(part, "columns"):
-            out[part["at"].to_numpy(np.int64)] = part["set"].to_numpy(np.int64)
-        else:
-            out[part["at"]] = part["set"]
+    out[found.column("at").to_numpy()] = found.column("set").to_numpy()
     return out.view(np.uint64)
 
 
@@ -124,7 +122,7 @@ def confirmed(docs: DataFrame, table, window: int, phrase: int, shards: int, par
                 hashes = memory.of(words(text))
                 at = np.flatnonzero(_admitted(_anchors(hashes, window, phrase), filter_))
                 if len(at):
-                    a, b = _window_hashes(hashes, window)
+                    a, b = rolling(hashes, window), _second(hashes, window)
                     kept.append((a[at], b[at], np.full(len(at), doc), np.full(len(at), own)))
             if not kept:
                 continue
@@ -135,11 +133,11 @@ def confirmed(docs: DataFrame, table, window: int, phrase: int, shards: int, par
             start = np.flatnonzero(new)
             last = np.r_[start[1:], len(a)] - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a[start].view(np.int64)), pa.array(b[start].view(np.int64)), pa.array(shard[start].astype(np.int32)), pa.array(doc[start]), pa.array(doc[last])],
+                [pa.array(a[start].view(np.int64)), pa.array(b[start]), pa.array(shard[start].astype(np.int32)), pa.array(doc[start]), pa.array(doc[last])],
                 names=["h1", "h2", "shard", "low", "high"],
             )
 
-    rows = docs.select("doc_id", "text", _shard(shards)).mapInArrow(run, "h1 long, h2 long, shard int, low long, high long")
+    rows = docs.select("doc_id", "text", _shard(shards)).mapInArrow(run, "h1 long, h2 int, shard int, low long, high long")
     # one shuffle: both groupings live on the partitioning by hash
     dealt = rows.repartition(parts, "h1", "h2")
     # at most one entry for each shard, whatever the number of documents
@@ -155,44 +153,57 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+class _Codes(dict):
+    """Word -> running number."""
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        return code
+
+
 def _coverage(ids: np.ndarray, texts: list[list[str]], h1: np.ndarray, h2: np.ndarray, first: np.ndarray, window: int) -> list[np.ndarray]:
     """Which words of each document of one shard an automaton of its recurring passages covers."""
     import ahocorasick
 
-    symbols: dict[str, int] = {}
-    encoded, memory = [], WordHashes()
-    order = np.lexsort((h2.view(np.uint64), h1.view(np.uint64)))
-    h1, h2, first = h1[order].view(np.uint64), h2[order].view(np.uint64), first[order]
+    codes, memory = _Codes(), WordHashes()
+    coded = [np.fromiter(map(codes.__getitem__, items), np.uint32, len(items)) for items in texts]
+    value = memory.of(list(codes)) if codes else np.empty(0, np.uint64)
+    order = np.lexsort((h2, h1.view(np.uint64)))
+    h1, h2, first = h1[order].view(np.uint64), h2[order], first[order]
+    encoded: list[str | None] = [None] * len(coded)
     automaton = ahocorasick.Automaton()
-    for doc, items in zip(ids.tolist(), texts):
-        # a symbol per word of the shard; surrogates are left out
-        codes = [symbols.setdefault(w, len(symbols)) for w in items]
-        line = "".join([chr(c + 1 if c < 0xD7FF else c + 0x801) for c in codes])
-        encoded.append(line)
-        a, b = _window_hashes(memory.of(items), window)
+    for k, (doc, own) in enumerate(zip(ids.tolist(), coded)):
+        hashes = value[own]
+        a = rolling(hashes, window)
         if not len(a) or not len(h1):
             continue
         at = np.searchsorted(h1, a)
+        live = np.flatnonzero(h1[np.minimum(at, len(h1) - 1)] == a)
+        if not len(live):  # no window of it recurs: no passage can occur in it
+            continue
+        b = _second(hashes, window)
         source = np.full(len(a), np.iinfo(np.int64).max)
-        live = np.flatnonzero(at < len(h1))
         while len(live):  # h1 alone may repeat
-            same = h1[at[live]] == a[live]
-            live = live[same]
             hit = h2[at[live]] == b[live]
             source[live[hit]] = first[at[live[hit]]]
             live = live[~hit]
             at[live] += 1
             live = live[at[live] < len(h1)]
+            live = live[h1[at[live]] == a[live]]
+        # a character per word of the shard; surrogates are left out
+        line = encoded[k] = (own + np.where(own < 0xD7FF, 1, 0x801).astype(np.uint32)).tobytes().decode("utf-32-le")
         for start, stop in _runs(source < doc):
             passage = line[start : stop + window - 1]
             sources = int(source[start:stop].max())
             known = automaton.get(passage, None)
             if known is None or sources < known[1]:
                 automaton.add_word(passage, (len(passage), sources))
-    out = [np.zeros(len(line), bool) for line in encoded]
+    out = [np.zeros(len(own), bool) for own in coded]
     if len(automaton):
         automaton.make_automaton()
         for doc, line, cover in zip(ids.tolist(), encoded, out):
+            if line is None:
+                continue
             reach = np.zeros(len(line) + 1, np.int64)
             for end, (length, sources) in automaton.iter(line):
                 if sources < doc:
@@ -202,12 +213,12 @@ def _coverage(ids: np.ndarray, texts: list[list[str]], h1: np.ndarray, h2: np.nd
     return out
 
 
-def locate(docs: DataFrame, window: int = 13, phrase: int = PHRASE, keep: tuple[str, ...] = ()) -> DataFrame:
+def locate(docs: DataFrame, window: int = 13, phrase: int = PHRASE, keep: tuple[str, ...] = (), cleaned: bool = False) -> DataFrame:
     """Remove words covered by windows that also start in a document with a smaller id.
 
     Returns, for every row of `docs`, `doc_id`, the columns of `keep`, `n_words`, `n_removed`,
-    `kept` (the kept words joined by one space) and `cleaned` (the text without the removed words and
-    the blanks that follow them, so that kept lines stay lines). A null text has no words and gives
+    and `kept` (the kept words joined by one space) or, if asked for, `cleaned` instead (the text
+    without the removed words and the blanks that follow them, so that kept lines stay lines). A null text has no words and gives
     empty texts; a row with a null doc_id is neither a source nor shortened; rows that share a doc_id
     are not compared with each other; a text of fewer words than a window stays. An empty table gives
     an empty one. Other columns are not read.
@@ -222,30 +233,30 @@ def locate(docs: DataFrame, window: int = 13, phrase: int = PHRASE, keep: tuple[
     found = confirmed(known, filter_, window, phrase, shards, max(parts, shards // 4))
     names = ["doc_id", *keep]
     source = docs.select(*names, "text", _shard(shards))
-    out = ", ".join([schema_of(docs, names), "n_words long, n_removed long, kept string, cleaned string"])
+    out = ", ".join([schema_of(docs, names), f"n_words long, n_removed long, {'cleaned' if cleaned else 'kept'} string"])
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         texts = [x or "" for x in left.column("text").to_pylist()]
         items = [words(x) for x in texts]
         null = left.column("doc_id").is_null().to_numpy(zero_copy_only=False)
         ids = left.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
         cover = _coverage(ids, items, *(right.column(c).to_numpy() for c in ("h1", "h2", "first")), window)
-        kept, cleaned, removed = [], [], []
+        left_over, removed = [], []
         for text, own, gone, skip in zip(texts, items, cover, null):
-            if skip or not gone.any():
-                removed.append(0)
-                kept.append(" ".join(own))
-                cleaned.append(text)
-                continue
-            removed.append(int(gone.sum()))
-            kept.append(" ".join([w for w, g in zip(own, gone) if not g]))
-            starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
-            parts_, at = [], 0
-            for a, b in _runs(gone):
-                parts_.append(text[at : starts[a]])
-                at = starts[b]
-            cleaned.append("".join([*parts_, text[at:]]))
-        arrays = [pa.array([len(x) for x in items], pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(cleaned, pa.string())]
-        return pa.table([*(left.column(n) for n in names), *arrays], names=[*names, "n_words", "n_removed", "kept", "cleaned"])
+            hit = not skip and bool(gone.any())
+            removed.append(int(gone.sum()) if hit else 0)
+            if not cleaned:
+                left_over.append(" ".join([w for w, g in zip(own, gone.tolist()) if not g] if hit else own))
+            elif hit:
+                starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
+                spans, at = [], 0
+                for a, b in _runs(gone):
+                    spans.append(text[at : starts[a]])
+                    at = starts[b]
+                left_over.append("".join([*spans, text[at:]]))
+            else:
+                left_over.append(text)
+        arrays = [pa.array([len(x) for x in items], pa.int64()), pa.array(removed, pa.int64()), pa.array(left_over, pa.string())]
+        return pa.table([*(left.column(n) for n in names), *arrays], names=[*names, "n_words", "n_removed", "cleaned" if cleaned else "kept"])
 
     return source.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(run, out)
