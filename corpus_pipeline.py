@@ -49,7 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every row; passages that also start in a document with a smaller id leave its text."""
-    out = passages.locate(docs, keep=("lang", "source"))
+    out = passages.locate(docs, keep=("lang", "source"), cleaned=True)
     text = F.col("cleaned")
     return out.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
 
