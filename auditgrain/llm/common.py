@@ -30,6 +30,11 @@ def words(text: str) -> list[str]:
     return text.split()
 
 
+def lower_ascii(text: str) -> str:
+    """A-Z in lower case, other letters as they are."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def fold(part: int) -> Column:
     """The fold of a row: crc32 of doc_id as text, modulo 5, equal to `part`; a null id is in no fold."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == part, F.lit(False))
