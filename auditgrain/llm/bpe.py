@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from auditgrain.llm.common import column, pieces, schema_of, texts_of
 
 NEVER = 1 << 62
-#: Chunks of text whose encoding a Python worker remembers; a full memory is begun anew.
-REMEMBERED = 250_000
+#: Chunks of text whose encoding a task remembers; a full memory is begun anew.
+REMEMBERED = 200_000
 
 
 class MergeAutomaton:
@@ -79,7 +79,7 @@ class MergeAutomaton:
         key = x << 32 | y
         found = self.allowed.get(key)
         if found is None:
-            if len(self.allowed) > 1_000_000:
+            if len(self.allowed) > 200_000:
                 self.allowed.clear()
             found = self.allowed[key] = self.closed_at(x, y) == NEVER
         return found
@@ -196,6 +196,11 @@ class Encoder:
             out += [struct.pack("<I", self.added[part])] if k % 2 else self._plain(part)
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Workers outlive their tasks: what a task remembered must not stay in memory beside the next stage."""
+        self.memory.clear()
+        self.words.clear()
+
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -224,6 +229,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[str
                 [*(column(batch, n) for n in names), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 names=[*names, "n_tokens", "ids"],
             )
+        one.forget()
 
     used = list(dict.fromkeys([*names, text]))
     return df.select(*used).mapInArrow(run, f"{schema_of(df, names)}, n_tokens long, ids binary")

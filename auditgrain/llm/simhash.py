@@ -21,7 +21,7 @@ from auditgrain.llm.common import TO_LOWER, column, pieces, schema_of, texts_of,
 from auditgrain.session import cut_lineage, materialize
 
 #: Fingerprints of one bucket above which stars are looked for first.
-CROWDED = 32
+CROWDED = 3
 
 
 def simhash(text: str, width: int = 4) -> int:
@@ -72,8 +72,8 @@ def _key(segment: int, start: int, bits: int, flip: int | None = None) -> Column
 def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """Edges `a`, `b` that connect what is linked: the distinct fingerprints `fp` at `distance` bits or fewer.
 
-    Every edge is a link, or leads over one shared neighbour at one bit from both ends; every link is
-    an edge or follows from such edges.
+    Every edge is a link, leads over one shared neighbour at one bit from both ends, or joins two such
+    stars of which members are linked; every link follows from edges.
     """
     parts = _segments(max(1, distance - 1))
     one = fps.select("fp").distinct()
@@ -94,7 +94,8 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     ])).alias("key"))
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance) & (F.col("fp") < F.col("other")) & (F.col("label") != F.col("other_label"))
     met = probes.join(entries.withColumnRenamed("key", "entry"), (F.col("key") == F.col("entry")) & near)
-    found = met.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
+    # members of one star are connected already, so links between two stars are one edge
+    found = met.select(F.least("label", "other_label").alias("a"), F.greatest("label", "other_label").alias("b")).distinct()
     return found.union(labels.filter("fp != label").select(F.col("fp").alias("a"), F.col("label").alias("b")))
 
 
