@@ -44,6 +44,11 @@ def _anchors(hashes: np.ndarray, window: int, phrase: int) -> np.ndarray:
     return out
 
 
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Without repeats of the value before: neighbouring windows mostly share their anchor."""
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def _second(hashes: np.ndarray, window: int) -> np.ndarray:
     """A second, independent hash of every window, 32 bits."""
     return (rolling(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), window) >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -56,15 +61,15 @@ def anchors(docs: DataFrame, window: int, phrase: int) -> DataFrame:
         memory = WordHashes()
         for batch in pieces(batches, chars=8_000_000):
             ids = int_column(batch, "doc_id")
-            found = [np.unique(_anchors(memory.of(words(x)), window, phrase)) for x in texts_of(batch)]
+            found = [_changes(_anchors(memory.of(words(x)), window, phrase)) for x in texts_of(batch)]
             all_, owner = np.concatenate(found), np.repeat(ids, [len(x) for x in found])
             if not len(all_):
                 continue
-            order = np.lexsort((owner, all_))
+            order = np.argsort(all_)
             all_, owner = all_[order], owner[order]
-            first = np.flatnonzero(np.r_[True, all_[1:] != all_[:-1]])
-            last = np.r_[first[1:], len(all_)] - 1
-            yield pa.RecordBatch.from_arrays([pa.array(all_[first].view(np.int64)), pa.array(owner[first]), pa.array(owner[last])], names=["anchor", "low", "high"])
+            start = np.flatnonzero(np.r_[True, all_[1:] != all_[:-1]])
+            low, high = np.minimum.reduceat(owner, start), np.maximum.reduceat(owner, start)
+            yield pa.RecordBatch.from_arrays([pa.array(all_[start].view(np.int64)), pa.array(low), pa.array(high)], names=["anchor", "low", "high"])
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "anchor long, low long, high long")
     return rows.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("anchor")
@@ -127,13 +132,13 @@ def confirmed(docs: DataFrame, table, window: int, phrase: int, shards: int, par
             if not kept:
                 continue
             a, b, doc, shard = (np.concatenate(x) for x in zip(*kept))
-            order = np.lexsort((doc, shard, b, a))
+            # equal windows of a shard sort together; a pair that is torn apart is joined in the shuffle
+            order = np.argsort(a ^ mix(shard.astype(np.uint64)))
             a, b, doc, shard = a[order], b[order], doc[order], shard[order]
-            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (shard[1:] != shard[:-1])]
-            start = np.flatnonzero(new)
-            last = np.r_[start[1:], len(a)] - 1
+            start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (shard[1:] != shard[:-1])])
+            low, high = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a[start].view(np.int64)), pa.array(b[start]), pa.array(shard[start].astype(np.int32)), pa.array(doc[start]), pa.array(doc[last])],
+                [pa.array(a[start].view(np.int64)), pa.array(b[start]), pa.array(shard[start].astype(np.int32)), pa.array(low), pa.array(high)],
                 names=["h1", "h2", "shard", "low", "high"],
             )
 
