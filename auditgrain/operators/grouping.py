@@ -34,6 +34,7 @@ BOOST_WORDS = ["contemporaneous", "retrospectiv", "backdat", "after testing"]
 BOOST_TOKEN, BOOST_COUNT = "record_timing", 5
 DEFAULT_THRESHOLD = 0.78
 LSH_TABLES, LSH_BITS, LSH_SEED = 12, 12, 42
+POSTING_BLOCK = 1024
 # --- end of fixed values ------------------------------------------------------------------------
 METHOD = "lexical_cosine"
 SLACK = 1e-9
@@ -134,7 +135,12 @@ def similar_pairs(
     so the cosine is at most the dot product over the prefixes plus the larger dropped norm. Pairs
     that cannot reach the threshold go before any vector is fetched.
     """
-    pairs = _shared(left_postings, right_postings, ["theme", "token"]).groupBy("left_node", "right_node", "precedes").agg(
+    return _scored(_shared(left_postings, right_postings, ["theme", "token"]), left, right, threshold)
+
+
+def _scored(shared: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Shared prefix tokens of pairs, bounded, then scored on the vectors."""
+    pairs = shared.groupBy("left_node", "right_node", "precedes").agg(
         F.sum(F.col("left_weight") * F.col("right_weight")).alias("_dot"),
         F.max(F.greatest("left_dropped", "right_dropped")).alias("_rest"),
     ).filter(F.col("_dot") + F.col("_rest") >= threshold - 2 * SLACK).select("left_node", "right_node", "precedes")
@@ -154,6 +160,25 @@ def text_similarity_join(nodes: DataFrame, representatives: DataFrame, threshold
     return similar_pairs(nodes, representatives, postings, chosen, threshold).filter("precedes").drop("precedes")
 
 
+def similarity_links(nodes: DataFrame, threshold: float = DEFAULT_THRESHOLD, block: int = POSTING_BLOCK) -> DataFrame:
+    """(left_node, right_node, similarity): all pairs of nodes of a theme with a cosine >= threshold.
+
+    The right node is the one that starts earlier. A posting list longer than `block` is dealt to a
+    grid of its blocks, so a hot token is met in many tasks and each pair once per token.
+    """
+    nodes = cut_lineage(nodes.filter(F.size("vec") > 0))
+    postings = cut_lineage(prefix_postings(nodes, threshold))
+    blocks = postings.groupBy("theme", "token").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_n"))
+    dealt = postings.join(blocks, ["theme", "token"]).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    left = dealt.select("*", every.alias("_other")).withColumnsRenamed({"_own": "_row", "_other": "_column"})
+    right = dealt.select("*", every.alias("_other")).withColumnsRenamed({"_other": "_row", "_own": "_column"})
+    # a pair is wanted once, so a node that starts later meets those that start earlier
+    later = left.withColumn("last_hash", F.col("first_hash"))
+    on = ["theme", "token", "_row", "_column"]
+    return _scored(_shared(later, right, on), nodes, nodes, threshold).drop("precedes")
+
+
 def _first_leaders(block: DataFrame, edges: DataFrame) -> DataFrame:
     """Leaders of a block: the greedy choice in hash order, found in rounds.
 

@@ -14,6 +14,7 @@ from auditgrain.plans.base import (
     PARTS, PROSE, all_words, any_word, project_rows, quoted, sentence_tags, table, theme_list, with_views,
 )
 from auditgrain.plans.registry import query
+from auditgrain.session import cut_lineage
 
 CLEAN = ("docs", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM documents")
 
@@ -250,6 +251,29 @@ def _(spark, d):
     )
 
 
+@query("JOI-11", "text_similarity_links", with_views("", """SELECT a.hash AS hash, b.hash AS earlier_hash, n.theme, 'link' AS kind, round(sum(a.weight * b.weight), 6) AS similarity
+FROM nodes n JOIN nodes r ON r.theme = n.theme AND r.hash < n.hash JOIN vectors a ON a.hash = n.hash JOIN vectors b ON b.hash = r.hash AND b.token = a.token
+GROUP BY a.hash, b.hash, n.theme HAVING sum(a.weight * b.weight) >= 0.78 - 1e-9
+UNION ALL SELECT t.hash, n.hash, n.theme, 'copy', 1.0 FROM themes t JOIN packed p ON p.hash = t.hash JOIN nodes n ON n.theme = t.theme AND n.v = p.v WHERE n.hash < t.hash""", [
+    *VECTORS,
+    ("themes", "SELECT sha256(clean) AS hash, min(lang) AS theme FROM docs JOIN documents USING (doc_id) GROUP BY 1"),
+    ("packed", "SELECT hash, string_agg(token || ':' || CAST(weight AS VARCHAR), ',' ORDER BY token) AS v FROM vectors GROUP BY hash"),
+    ("nodes", "SELECT theme, v, min(hash) AS hash FROM themes JOIN packed USING (hash) GROUP BY theme, v"),
+]))
+def _(spark, d):
+    """All links of a theme between the first texts of equal vectors, and each later text with its first one."""
+    nodes, copies = S.vector_nodes(*document_vectors(spark, d))
+    first = cut_lineage(nodes)
+    names = first.select("node", "theme", "first_hash")
+    links = S.similarity_links(first).join(names.select(F.col("node").alias("left_node"), "theme", F.col("first_hash").alias("hash")), "left_node").join(
+        names.select(F.col("node").alias("right_node"), F.col("first_hash").alias("earlier_hash")), "right_node"
+    ).select("hash", "earlier_hash", "theme", F.lit("link").alias("kind"), F.round("similarity", 6).alias("similarity"))
+    members = copies.join(names.drop("theme"), "node").filter("first_hash < hash").select(
+        "hash", F.col("first_hash").alias("earlier_hash"), "theme", F.lit("copy").alias("kind"), F.lit(1.0).alias("similarity")
+    )
+    return links.unionByName(members)
+
+
 @query("TAG-12", "group_texts")
 def _(spark, d):
     return S.group_texts(*document_vectors(spark, d))

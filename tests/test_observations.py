@@ -124,6 +124,43 @@ def test_grouping_equals_the_sequential_rule(spark, threshold, first_block):
     assert len({r.group_id for r in got}) == len(leaders)
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_similarity_links_are_all_pairs(spark, block):
+    rng = random.Random(11)
+    texts = {" ".join(rng.choices([f"word{i}" for i in range(7)], k=rng.randint(2, 7))) for _ in range(80)} | {"!!"}
+    themes = {sha(t): rng.choice(["x", "y"]) for t in texts}
+    frame = spark.createDataFrame([(sha(t), t) for t in texts], "hash string, text string")
+    nodes, copies = S.vector_nodes(S.lexical_vector(frame), spark.createDataFrame(list(themes.items()), "hash string, theme string"))
+    first = {r.node: r.first_hash for r in nodes.collect()}
+    links = {(first[r.left_node], first[r.right_node]): r.similarity for r in S.similarity_links(nodes, 0.78, block).collect()}
+    same = {r.hash: first[r.node] for r in copies.collect()}
+    vectors = {}
+    for t in texts:
+        tokens = re.findall(S.TOKEN, t)
+        vectors[sha(t)] = {w: tokens.count(w) / math.sqrt(sum(tokens.count(x) ** 2 for x in set(tokens))) for w in set(tokens)}
+    want = {}
+    for a in set(same.values()):
+        for b in set(same.values()):
+            value = sum(w * vectors[b].get(t, 0) for t, w in vectors[a].items())
+            if b < a and themes[a] == themes[b] and value >= 0.78:
+                want[a, b] = value
+    assert len(want) > 30 and links == pytest.approx(want)
+
+
+def test_registered_links_equal_their_oracle(spark, small):
+    import duckdb
+
+    from auditgrain.plans.registry import load_all
+
+    q = load_all()["joi11_text_similarity_links"]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{small}/documents.parquet'")
+    columns = "hash, earlier_hash, theme, kind, similarity"
+    want = {r[:4]: float(r[4]) for r in con.execute(f"select {columns} from ({q.sql})").fetchall()}
+    got = {tuple(r)[:4]: r.similarity for r in q.plan(spark, small).select(*columns.split(", ")).collect()}
+    assert {k[3] for k in want} >= {"link"} and got == pytest.approx(want, abs=2e-6)
+
+
 def test_signatures_match_numpy(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(20, 8))
