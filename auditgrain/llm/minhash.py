@@ -2,13 +2,14 @@
 
 A signature holds, for each of many universal hash permutations, the least value over the word
 shingles of a text, computed for blocks of shingles at once in numpy. Band keys of the signatures are
-joined in Spark; each band bucket links its members to its smallest member, so a bucket with a third
-of all rows gives a row per member and not all pairs, and what is linked is verified on the shingles.
+joined in Spark; each band bucket links its members to its smallest member, and what that misses is
+joined in blocks. Links are verified on the shingles and span the classes, not all pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditgrain.llm.common import TO_LOWER, WordHashes, column, pieces, rolling, schema_of, texts_of, words
+from auditgrain.llm.simhash import components
 from auditgrain.session import materialize
 
 WIDTH = 5
 PERMUTATIONS = 128
-BANDS = 16
+#: Of pairs at exactly SIMILAR, 5 in 100,000 share no band of five.
+BANDS = 25
 SIMILAR = 0.8
+#: Rows of a block of a large bucket, about.
+BLOCK_ROWS = 256
 _BLOCK = 256
 
 
@@ -118,7 +123,7 @@ def _deal(docs: DataFrame, lows: list[int], highs: list[int], text: str) -> Data
 
 SCHEMA = (
     "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
-    "jaccard_edited double, jaccard_next double"
+    "jaccard_edited double, jaccard_next double, text_sha256 string"
 )
 
 
@@ -157,10 +162,12 @@ def edited_pairs(docs: DataFrame, text: str = "text", width: int = WIDTH, permut
     return dealt.mapInArrow(run, f"doc_id {own_type}, {SCHEMA}")
 
 
+_ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+
+
 def _arrow(own_type: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
     fields = [("doc_id", own_type), *[tuple(c.split(" ")) for c in SCHEMA.split(", ")]]
-    return pa.schema([(n, kinds[k]) for n, k in fields])
+    return pa.schema([(n, _ARROW[k]) for n, k in fields])
 
 
 def _pair(own: tuple, after: tuple, view) -> tuple:
@@ -171,47 +178,137 @@ def _pair(own: tuple, after: tuple, view) -> tuple:
     edited_found, edited_sig = view(edited)
     return (
         doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), sig.tobytes().hex(), edited_sig.tobytes().hex(),
-        likeness(sig, edited_sig), likeness(sig, next_sig), jaccard(found, edited_found), jaccard(found, next_found),
+        likeness(sig, edited_sig), likeness(sig, next_sig), jaccard(found, edited_found), jaccard(found, next_found), _body(text),
     )
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, permutations: int = PERMUTATIONS, width: int = WIDTH, text: str = "text") -> DataFrame:
-    """`a`, `b`, `jaccard`: verified links of the smaller doc_id of a band bucket with its other members.
+def _prints(docs: DataFrame, text: str, width: int, permutations: int) -> DataFrame:
+    """`doc_id`, `text_sha256` and `fingerprint` of every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, perms = WordHashes(), _permutations(permutations)
+        for batch in pieces(batches, chars=2_000_000):
+            texts = texts_of(batch)
+            signs = [signature(shingles(x, memory, width), perms).tobytes().hex() for x in texts]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([_body(x) for x in texts]), pa.array(signs, pa.string())], names=["doc_id", "text_sha256", "fingerprint"])
+
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, text_sha256 string, fingerprint string")
+
+
+def _body(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, permutations: int = PERMUTATIONS, width: int = WIDTH, text: str = "text", prints: DataFrame | None = None) -> DataFrame:
+    """`a`, `b`, `jaccard`: verified links that connect whatever shares a band and is similar.
 
     Equal texts are one node, named by their smallest doc_id; the membership of copies is
-    `copies(docs)`. A bucket's members are compared with its smallest node only, so links inside a
-    group are a spanning set and not all pairs. Rows without a doc_id are left out.
+    `copies(docs)`. A bucket's members are compared with its smallest node first. Members that are not
+    similar to it meet each other and those similar to it, unless the distances to the smallest node
+    rule a link out (Jaccard distance obeys the triangle inequality); large buckets are dealt as pairs
+    of blocks. Two members that other links of their blocks connect get no link of their own, so the
+    links span the classes of all similar pairs. `prints` holds the fingerprints where they are known.
+    Rows without a doc_id are left out.
     """
-    known = docs.filter("doc_id is not null").select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    nodes = known.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("body")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    wide = permutations // bands
+    if prints is None:
+        prints = materialize(_prints(docs, text, width, permutations), "minhash")
+    nodes = prints.filter("doc_id is not null").groupBy("text_sha256").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint"))
+    wide = permutations // bands * 4  # hex digits of a band
+    keys = [F.xxhash64(F.lit(k), F.substring("fingerprint", 1 + k * wide, wide)) for k in range(bands)]
+    dealt = materialize(nodes.select("doc_id", "text_sha256", F.explode(F.array(*keys)).alias("band")), "minhash")
+    rows = dealt.select("doc_id", "band")
+    centre = rows.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
+    members = materialize(rows.join(centre, "band").select("band", "a", F.col("doc_id").alias("b")), "minhash")
+    wanted = members.select(F.col("b").alias("doc_id")).distinct().join(dealt.select("doc_id", "text_sha256").distinct(), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, perms = WordHashes(), _permutations(permutations)
+        memory = WordHashes()
         for batch in pieces(batches, chars=2_000_000):
-            found = [shingles(x, memory, width) for x in texts_of(batch)]
-            keys = [[signature(f, perms)[k * wide : (k + 1) * wide].tobytes() + bytes([k]) for k in range(bands)] for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(keys, pa.list_(pa.binary())), pa.array([f.tobytes() for f in found], pa.binary())],
-                names=["doc_id", "bands", "shingles"],
-            )
-
-    signed = materialize(nodes.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, bands array<binary>, shingles binary"), "minhash")
-    rows = signed.select("doc_id", F.explode("bands").alias("band"))
-    centre = rows.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
-    pairs = rows.join(centre, "band").filter("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    left = signed.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = signed.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+            found = [shingles(x, memory, width).tobytes() for x in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+
+    body = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    given = docs.select("doc_id", F.col(text).alias("text"), body.alias("text_sha256")).join(wanted, ["doc_id", "text_sha256"], "left_semi")
+    sets = given.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
+    sets = materialize(sets, "minhash")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [[np.frombuffer(x, np.uint32) for x in column(batch, c).to_pylist()] for c in ("sa", "sb")]
-            values = [jaccard(x, y) for x, y in zip(*sets)]
+            both = [[np.frombuffer(x, np.uint32) for x in column(batch, c).to_pylist()] for c in ("sa", "sb")]
+            values = [jaccard(x, y) for x, y in zip(*both)]
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(values, pa.float64())], names=["a", "b", "jaccard"])
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(verify, f"a {kind}, b {kind}, jaccard double").filter(F.col("jaccard") >= similar)
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
+    pairs = members.filter("b > a").select("a", "b").distinct()
+    stars = materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(verify, f"a {kind}, b {kind}, jaccard double"), "minhash")
+    near = stars.filter(F.col("jaccard") >= similar)
+    return near.union(_beyond(members, stars, sets, similar, kind)).distinct()
+
+
+def _beyond(members: DataFrame, stars: DataFrame, sets: DataFrame, similar: float, kind: str) -> DataFrame:
+    """Links of members that are not similar to the smallest node of their bucket."""
+    measured = members.filter("b > a").join(stars, ["a", "b"]).select("band", F.col("b").alias("doc_id"), "jaccard")
+    apart = measured.filter(F.col("jaccard") < similar).groupBy("band").agg(F.max("jaccard").alias("top"))
+    left = measured.join(apart, "band").filter(F.col("jaccard") <= F.col("top") + (1 - similar) + 1e-9)
+    blocks = left.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int").alias("n"))
+    own = left.join(blocks, "band").select(
+        "band", "doc_id", (F.col("jaccard") >= similar).alias("linked"), F.pmod(F.xxhash64("doc_id", "band"), F.col("n")).cast("int").alias("own"), "n"
+    )
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).join(sets, "doc_id").select(
+        "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "doc_id", "linked", "own", "shingles"
+    )
+    schema = pa.schema([("a", _ARROW[kind]), ("b", _ARROW[kind]), ("jaccard", pa.float64())])
+
+    def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        names, linked, block = (rows.column(c).to_pylist() for c in ("doc_id", "linked", "own"))
+        found = [np.frombuffer(x, np.uint32) for x in rows.column("shingles").to_pylist()]
+        out = _span(names, found, linked, block if key[1].as_py() != key[2].as_py() else None, similar)
+        return pa.Table.from_pylist([dict(zip(schema.names, x)) for x in out], schema=schema)
+
+    return dealt.groupBy("band", "low", "high").applyInArrow(meet, f"a {kind}, b {kind}, jaccard double")
+
+
+def _span(names: list, found: list[np.ndarray], linked: list[bool], block: list[int] | None, similar: float) -> list[tuple]:
+    """Links that connect all similar pairs; of two blocks, pairs across them. `linked` members are connected already.
+
+    A pair is similar only if both hold one of the first values of the other (prefix), and at similar sizes.
+    """
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    together = [k for k, x in enumerate(linked) if x]
+    for k in together:
+        parent[k] = together[0]
+    out, holders = [], {}
+    for x in sorted(range(len(names)), key=lambda k: len(found[k])):
+        size = len(found[x])
+        first = found[x][: size - math.ceil(similar * size - 1e-9) + 1].tolist() or [None]
+        for y in sorted({y for v in first for y in holders.get(v, ())}):
+            if find(x) == find(y) or len(found[y]) < similar * size - 1e-9 or block is not None and block[x] == block[y]:
+                continue
+            value = jaccard(found[x], found[y])
+            if value >= similar:
+                parent[find(x)] = find(y)
+                out.append((min(names[x], names[y]), max(names[x], names[y]), value))
+        for v in first:
+            holders.setdefault(v, []).append(x)
+    return out
+
+
+def with_classes(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`edited_pairs` with `near_class`, the smallest doc_id that verified links reach from a row's text."""
+    rows = materialize(edited_pairs(docs, text), "minhash")
+    nodes = rows.groupBy("text_sha256").agg(F.min("doc_id").alias("least"))
+    roots = components(near_duplicates(docs, text=text, prints=rows))
+    named = nodes.join(roots, nodes.least == roots.node, "left").select("text_sha256", F.coalesce("root", "least").alias("near_class"))
+    return rows.join(named, "text_sha256").select(*rows.columns, "near_class")
 
 
 def copies(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ def op1_language_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, d: str) -> DataFrame:
-    return minhash.edited_pairs(table(spark, d, "documents"))
+    return minhash.with_classes(table(spark, d, "documents"))
 
 
 def op3_html_consensus(spark: SparkSession, d: str) -> DataFrame:

@@ -84,6 +84,32 @@ def test_minhash_links_are_verified(spark):
     assert want <= got and all(minhash.jaccard(sets[a], sets[b]) >= minhash.SIMILAR for a, b in got)
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_minhash_links_span_the_classes_of_all_similar_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(3)
+    rows = [(900, "", "x", "s", 0), (901, " ", "x", "s", 1)]
+    for group in range(6):
+        base = [f"g{group}w{k}" for k in range(200)]
+        for k in range(14):  # twins: 0.95 to each other, less than or about 0.8 to the others
+            if k % 2 == 0:
+                at, n = int(rng.integers(0, 150)), int(rng.integers(8, 26))
+            own = list(base)
+            own[at : at + n] = [f"g{group}c{k // 2}x{j}" for j in range(n)]
+            own[190 + k % 2] = "twin"
+            rows.append((group * 20 + k, " ".join(own), "x", "s", 1))
+    docs, memory = frame(spark, rows), WordHashes()
+    sets = {r[0]: minhash.shingles(r[1], memory) for r in rows}
+    links = minhash.near_duplicates(docs).collect()
+    assert all(minhash.jaccard(sets[r["a"]], sets[r["b"]]) == pytest.approx(r["jaccard"]) and r["jaccard"] >= 0.8 for r in links)
+    want = components_of(sets, lambda a, b: minhash.jaccard(a, b) >= 0.8)
+    pairs = {(r["a"], r["b"]) for r in links}
+    got = components_of({k: k for k in sets}, lambda a, b: (min(a, b), max(a, b)) in pairs)
+    assert got == want and len(set(want.values())) > 7
+    if block == 256:
+        assert {r["doc_id"]: r["near_class"] for r in minhash.with_classes(docs).collect()} == want
+
+
 def brute_simhash(text):
     import xxhash
 
