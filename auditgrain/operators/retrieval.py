@@ -20,6 +20,8 @@ KEYWORD_STOP = (
 ).split()
 FUSION_CONSTANT = 60
 STRONG_HIT, WEAK_HIT, MISS = "STRONG_HIT", "WEAK_HIT", "MISS"
+QUERY_BYTES, CHUNK_BYTES, LEAST_CHUNK_BLOCKS = 8 << 20, 64 << 20, 16
+SCORES_AT_ONCE = 1 << 22
 # --- end of fixed values ------------------------------------------------------------------------
 
 
@@ -75,23 +77,33 @@ def _unit(table: pa.Table, name: str) -> np.ndarray:
     return vectors / np.where(norms == 0, np.nan, norms)[:, None]
 
 
+def blocks_for(df: DataFrame, most: int, least: int, vector: str = "embedding") -> int:
+    """Blocks of about `most` bytes of vectors, 8 bytes a component, `least` at least; one row comes to the driver."""
+    total = df.agg(F.sum(F.greatest(F.size(vector), F.lit(0)).cast("long") * 8)).first()[0] or 0
+    return max(least, -(-total // most))
+
+
 def vector_search(
     queries: DataFrame, chunks: DataFrame, k: int, filters: Mapping[str, str] | None = None,
-    query_blocks: int = 4, chunk_blocks: int = 16, rows_at_once: int = 2048,
+    query_blocks: int | None = None, chunk_blocks: int | None = None, rows_at_once: int = 2048,
 ) -> DataFrame:
     """Exact cosine top-k of every query: (query_id, chunk_id, score, rank), ties by chunk id.
 
-    Queries and chunks are dealt to fixed blocks by hash. A task gets one block of either, scans the
+    Queries and chunks are dealt to blocks by hash. A task gets one block of either, scans the
     chunks in slices with one matrix product each and keeps k rows per query, ids compared in their
-    own type; the rest is a top-k over those. Nothing passes through the driver. At scale raise the
-    numbers of blocks until a pair of blocks fits into a task.
+    own type; the rest is a top-k over those. No row passes through the driver. Unless given, the
+    numbers of blocks follow from the bytes of the vectors, so that a block holds about QUERY_BYTES or
+    CHUNK_BYTES at any input size; the result does not depend on them.
     """
+    chunks = metadata_filter(chunks, filters)
+    query_blocks = query_blocks or blocks_for(queries, QUERY_BYTES, 1)
+    chunk_blocks = chunk_blocks or blocks_for(chunks, CHUNK_BYTES, LEAST_CHUNK_BLOCKS)
     types = dict(queries.dtypes) | {f"c_{c}": t for c, t in chunks.dtypes}
     schema = f"query_id {types['query_id']}, chunk_id {types['c_chunk_id']}, score double"
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     asked = queries.select("query_id", "embedding", deal("query_id", query_blocks).alias("q"), every(chunk_blocks).alias("c"))
-    held = metadata_filter(chunks, filters).select("chunk_id", "embedding", deal("chunk_id", chunk_blocks).alias("c"), every(query_blocks).alias("q"))
+    held = chunks.select("chunk_id", "embedding", deal("chunk_id", chunk_blocks).alias("c"), every(query_blocks).alias("q"))
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = right.column("chunk_id").to_numpy()
@@ -100,8 +112,9 @@ def vector_search(
         out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * left.num_rows
         if left.num_rows and right.num_rows:
             matrix = _unit(left, "embedding")
-            for start in range(0, right.num_rows, rows_at_once):
-                scores = matrix @ _unit(right.slice(start, rows_at_once), "embedding").T
+            step = max(1, min(rows_at_once, SCORES_AT_ONCE // left.num_rows))
+            for start in range(0, right.num_rows, step):
+                scores = matrix @ _unit(right.slice(start, step), "embedding").T
                 for n, row in enumerate(scores):
                     usable = np.flatnonzero(~np.isnan(row))
                     if len(usable) > k:

@@ -188,6 +188,22 @@ def test_vector_search_is_exact(spark, blocks):
         assert [r.chunk_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == best
 
 
+def test_vector_search_blocks_follow_the_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    frame = lambda a, n: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(a)], f"{n} int, embedding array<double>")
+    asked, docs = frame(rng.normal(size=(9, 6)), "query_id"), frame(rng.normal(size=(60, 6)), "chunk_id")
+    want = sorted(R.vector_search(asked, docs, 4, query_blocks=1, chunk_blocks=1).collect())
+    assert R.blocks_for(docs, 480, 1) == 6 and R.blocks_for(docs.union(docs), 480, 1) == 12 and R.blocks_for(docs.limit(0), 480, 16) == 16
+    for name, value in {"QUERY_BYTES": 96, "CHUNK_BYTES": 480, "LEAST_CHUNK_BLOCKS": 1, "SCORES_AT_ONCE": 5}.items():
+        monkeypatch.setattr(R, name, value)
+    asked_for = []
+    plain = R.blocks_for
+    monkeypatch.setattr(R, "blocks_for", lambda *a: asked_for.append(plain(*a)) or asked_for[-1])
+    got = sorted(R.vector_search(asked, docs, 4).collect())
+    assert asked_for == [5, 6] and [tuple(r)[:2] for r in got] == [tuple(r)[:2] for r in want]
+    assert [r.score for r in got] == pytest.approx([r.score for r in want])
+
+
 def test_chunks_equal_a_sliding_window(spark):
     rng = random.Random(3)
     docs = {n: "".join(f"w{i}" + rng.choice([" ", "  ", "\n", "\t"]) for i in range(n)) for n in (0, 1, 5, 6, 7, 11, 29)}
