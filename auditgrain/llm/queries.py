@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditgrain.llm import bpe, chat, decontam, language, licenses, minhash, pages, passages, pitman_yor, simhash
+from auditgrain.llm import bpe, chat, decontam, language, licenses, minhash, pages, passages, pitman_yor, runs, simhash, tokenfile, whitening
 from auditgrain.llm.common import fold
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -17,11 +17,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def tokenizer_file() -> str:
-    """Path of the public vocabulary file on the machine that asks; executors hold the same package."""
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public vocabulary file on the machine that asks; executors hold the same package."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_language_id(spark: SparkSession, d: str) -> DataFrame:
@@ -76,6 +76,24 @@ def op10_bpe_automaton(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    found = runs.periodic_runs(docs.select("doc_id", runs.planted(F.col("text"), F.col("doc_id")).alias("text")))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(runs.run_lines(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_files(spark: SparkSession, d: str) -> DataFrame:
+    back = tokenfile.token_files(table(spark, d, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 PLANS: dict[str, Plan] = {
     "op1_language_id": op1_language_id,
     "op2_minhash": op2_minhash,
@@ -87,5 +105,8 @@ PLANS: dict[str, Plan] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_bpe_automaton": op10_bpe_automaton,
+    "op11_whitening": op11_whitening,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_files": op13_token_files,
 }
 SQL: dict[str, str] = {"op9_license_scan": licenses.oracle()}
