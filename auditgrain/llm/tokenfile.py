@@ -29,14 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditgrain.llm.bpe import byte_symbols
 from auditgrain.llm.common import column, pieces, texts_of
 from auditgrain.session import fresh_path, materialize
 
 MAGIC = b"DACIDS1\n"
 #: Marks of a bitmap between two counts of its directory.
 BLOCK = 512
-#: Ids of a file (the last document may go beyond), bytes of text of a range, chunks of text a task remembers.
-IDS, RANGE_BYTES, REMEMBERED = 1 << 22, 32 << 20, 200_000
+#: Ids of a file (the last document may go beyond), bytes of text of a range, pieces of text a task remembers.
+IDS, RANGE_BYTES, REMEMBERED = 1 << 22, 32 << 20, 300_000
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -155,11 +156,17 @@ class TokenFile:
         return pa.ipc.open_stream(self._read(self._documents, 0, self._documents[1])).read_all()
 
 
+#: How the byte-level splitter of the library cuts a text: letters, numbers, others, white space (a fixed value).
+LETTER, NUMBER, OTHER = r"[^\W\d_]", r"\d", r"(?:[^\s\w]|_)"
+PIECES = rf"'(?:[stmd]|re|ve|ll)| ?{LETTER}+| ?{NUMBER}+| ?{OTHER}+|\s+(?!\S)|\s+"
+
+
 class Encoder:
-    """The tokenizers library behind a memory of chunks.
+    """The tokenizers library behind a memory of pieces.
 
-    The byte-level splitter always cuts before a blank that something other than white space follows,
-    so what stands between two such cuts is encoded alone and equal chunks are encoded once.
+    Texts are cut into pieces here and a piece that is not remembered goes to the model of the library.
+    A character counts only where the library's splitter classes it alike, which is asked once for
+    each; a text with another one, or with an added token, goes to the library as it is.
     """
 
     def __init__(self, path: str):
@@ -170,36 +177,49 @@ class Encoder:
         self.tokenizer.no_padding()
         spec = json.loads(self.tokenizer.to_str())
         splitter = spec["pre_tokenizer"] or {}
-        #: whether chunks may be cut apart; otherwise every text goes to the library whole
+        #: whether texts may be cut here
         self.apart = (splitter.get("type"), splitter.get("use_regex"), splitter.get("add_prefix_space"), spec["normalizer"]) == ("ByteLevel", True, False, None)
         self.added = [x["content"] for x in spec["added_tokens"]]
-        self.split = re.compile(r" (?=\S)").split
+        self.pieces = re.compile(PIECES).findall
+        self.classes = [re.compile(x).match for x in (LETTER, NUMBER, OTHER)]
+        self.alike: set[str] = set()
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.model = self.tokenizer.model
         self.memory: dict[str, bytes] = {}
 
+    def _same_class(self, c: str) -> bool:
+        """Letter, number, other or white space, in the library as here: what does it join?"""
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        return [len(cut(x + c)) == 1 for x in "a1!"] == [found(c) is not None for found in self.classes]
+
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _chunk(self, chunk: str) -> bytes:
-        out = self.whole(" " + chunk)
-        if len(chunk) <= 40:
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))]
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= 40:
             if len(self.memory) >= REMEMBERED:
                 self.memory.clear()
-            self.memory[chunk] = out
+            self.memory[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if not self.apart or any(x in text for x in self.added):
+        new = set(text) - self.alike
+        if new:
+            new = {c for c in new if not self._same_class(c)}
+            self.alike |= set(text) - new
+        if new or not self.apart or any(x in text for x in self.added):
             return self.whole(text)
-        first, *rest = self.split(text)
-        get, slow = self.memory.get, self._chunk
-        return self.whole(first) + b"".join([get(x) or slow(x) for x in rest])
+        get, slow = self.memory.get, self._piece
+        return b"".join([get(x) or slow(x) for x in self.pieces(text)])
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker; its memory of chunks is emptied at the end of a task."""
+    """One encoder for each Python worker; its memory of pieces is emptied at the end of a task."""
     return Encoder(path)
 
 

@@ -199,10 +199,11 @@ ODD = [
 ]
 
 
-def test_chunks_are_encoded_as_the_library_does():
+def test_pieces_are_encoded_as_the_library_does():
     rng = random.Random(8)
     made = ["".join(rng.choice("ab1.'\n\t  \x1c\x85\xa0 漢é") for _ in range(rng.randrange(60))) for _ in range(3000)]
     one = tokenfile.Encoder(tokenizer_file("byte_bpe_50k.json"))
+    made += [chr(c) * 2 + "a " + chr(c) + "1" + chr(c) + chr(c) + "!" for c in [*range(0x3000), *range(0x1F300, 0x1F400), 0xE000, 0x10FFFF]]
     every = [*ODD, *made]
     assert one.apart and [np.frombuffer(one.encode(x), "<u4").tolist() for x in every] == library_ids(every)
 
