@@ -6,10 +6,11 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditgrain.functions.expressions import compute_once, strip
+from auditgrain.operators.fulltext import Stemmer, fulltext_search
 from auditgrain.operators.ranking import top_k
 from auditgrain.session import materialize
 
@@ -22,6 +23,8 @@ FUSION_CONSTANT = 60
 STRONG_HIT, WEAK_HIT, MISS = "STRONG_HIT", "WEAK_HIT", "MISS"
 QUERY_BYTES, CHUNK_BYTES, LEAST_CHUNK_BLOCKS = 8 << 20, 64 << 20, 16
 SCORES_AT_ONCE = 1 << 22
+FIRST_POSTINGS = 1_000
+MOST_RESULTS = 100
 # --- end of fixed values ------------------------------------------------------------------------
 
 
@@ -140,51 +143,44 @@ def keyword_tokens(c: Column | str, stop: Sequence[str] = KEYWORD_STOP) -> Colum
     return F.array_distinct(F.filter(words, lambda t: (F.length(t) > 2) & ~t.isin(*stop)))
 
 
-def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 3, order: str = "chunk_id") -> DataFrame:
-    """Number of shared words per (query, document), best k; ties by document order; at least one word.
+def keyword_candidates(queries: DataFrame, docs: DataFrame, k: int, order: str = "chunk_id", first: int = FIRST_POSTINGS) -> DataFrame:
+    """(query_id, document, score): shared words of all pairs that may be among the best k of a query.
 
-    Inverted-index join: a query meets only documents that share a word with it.
+    Upper bounds keep frequent words from making pairs. A query's rarest words, as long as their
+    postings together stay below `first` (the rarest in any case), give candidates and with their whole
+    scores a k-th best. A document without any of the n - (k-th best) + 1 rarest words cannot reach that,
+    so only words up to there make further candidates; the words beyond only complete scores, on the
+    documents' own words. A query with fewer than k candidates so far takes all its words.
     """
     asked = queries.select("query_id", F.explode(keyword_tokens("text")).alias("token"))
-    words = docs.select(order, F.explode(keyword_tokens("text")).alias("token"))
-    shared = words.join(asked, "token").groupBy("query_id", order).agg(F.count("*").alias("score"))
-    return top_k(shared, ["query_id"], [F.col("score").desc(), F.col(order)], k)
-
-
-TERM = r"[\p{L}\p{N}]+"
-
-
-def _terms(c: str) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
-
+    held = materialize(docs.select(order, keyword_tokens("text").alias("_held")), "words")
+    postings = held.select(order, F.explode("_held").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    frequency = postings.groupBy("token").agg(F.count("*").alias("_df"))
+    rarest = Window.partitionBy("query_id").orderBy("_df", "token")
+    ranked = materialize(asked.join(frequency, "token").withColumns({
+        "_place": F.row_number().over(rarest), "_n": F.count("*").over(Window.partitionBy("query_id")),
+        "_sum": F.sum("_df").over(rarest.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+    }).withColumn("_early", (F.col("_place") == 1) | (F.col("_sum") <= first)), "ranked")
+    words = ranked.groupBy("query_id").agg(F.collect_list("token").alias("_asked"))
+
+    def pairs(tokens: DataFrame) -> DataFrame:
+        return postings.join(tokens.select("query_id", "token"), "token").select("query_id", order).distinct()
+
+    def scored(found: DataFrame) -> DataFrame:
+        both = found.join(held, order).join(words, "query_id")
+        return both.select("query_id", order, F.size(F.array_intersect("_asked", "_held")).cast("long").alias("score"))
+
+    early = materialize(scored(pairs(ranked.filter("_early"))), "early")
+    best = top_k(early, ["query_id"], [F.col("score").desc(), F.col(order)], k)
+    reached = best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0).alias("_kth"))
+    needed = ranked.filter(~F.col("_early")).join(reached, "query_id").filter((F.col("_kth") == 0) | (F.col("_place") <= F.col("_n") - F.col("_kth") + 1))
+    late = pairs(needed).join(early.select("query_id", order), ["query_id", order], "left_anti")
+    return early.unionByName(scored(late))
 
-def fulltext_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Chunks that contain every term of a query, by a tf-idf score over chunk length.
 
-    The score stands in for a database's cover-density rank. A query meets only chunks that hold its
-    rarest term; the other terms are checked on those.
-    """
-    wanted = queries.select("query_id", F.array_distinct(_terms("text")).alias("_q")).select(
-        "query_id", F.size("_q").alias("terms"), F.explode("_q").alias("term")
-    )
-    vocabulary = wanted.select("term").distinct()
-    # only words that some query asks for are counted; they feed frequencies, candidates and scores
-    held = chunks.select("chunk_id", _terms("text").alias("_w")).select("chunk_id", F.size("_w").alias("length"), F.explode("_w").alias("term"))
-    relevant = materialize(
-        held.join(vocabulary, "term", "left_semi").groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf")), "terms"
-    )
-    frequency = relevant.groupBy("term").agg(F.count("*").alias("df"))
-    total = chunks.agg(F.count("*")).scalar()
-    asked = wanted.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rarest = asked.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    candidates = relevant.select("chunk_id", "term").join(rarest, "term").select("query_id", "chunk_id")
-    checked = candidates.join(asked, "query_id").join(relevant, ["chunk_id", "term"])
-    idf = F.log(F.lit(1.0) + total.cast("double") / F.col("df"))
-    scored = checked.withColumn("_s", F.col("tf") * idf / F.sqrt(F.col("length").cast("double"))).groupBy(
-        "query_id", "chunk_id", "terms"
-    ).agg(F.count("*").alias("_found"), F.sum("_s").alias("score"))
-    hits = scored.filter(F.col("_found") == F.col("terms")).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
-    return top_k(hits, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
+def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 3, order: str = "chunk_id") -> DataFrame:
+    """Number of shared words per (query, document), best k; ties by document order; at least one word."""
+    return top_k(keyword_candidates(queries, docs, k, order), ["query_id"], [F.col("score").desc(), F.col(order)], k)
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, limit: int) -> DataFrame:
@@ -196,17 +192,28 @@ def fuse(vector: DataFrame, keyword: DataFrame, limit: int) -> DataFrame:
     return top_k(scored, ["query_id"], [F.col("final_score").desc(), F.col("chunk_id")], limit)
 
 
+def check_request(limit: int, filters: Mapping[str, str] | None, allowed: Sequence[str] | None = None, most: int = MOST_RESULTS) -> None:
+    """Refuses a limit outside 1 to `most` and filters on keys that are not allowed (any, if None)."""
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must lie in 1 to {most}")
+    unknown = set(filters or {}) - set(allowed) if allowed is not None else set()
+    if unknown:
+        raise ValueError(f"unsupported filter: {', '.join(sorted(unknown))}")
+
+
 def hybrid_search(
-    queries: DataFrame, chunks: DataFrame, limit: int, filters: Mapping[str, str] | None = None
+    queries: DataFrame, chunks: DataFrame, limit: int, filters: Mapping[str, str] | None = None, allowed: Sequence[str] | None = None,
+    stop: Sequence[str] = (), stem: Stemmer | None = None, plain: bool = False, most: int = MOST_RESULTS,
 ) -> DataFrame:
-    """Fusion of vector and full-text candidates, each three times the limit.
+    """Fusion of vector and full-text candidates, each three times the limit, among chunks that pass the filters.
 
     A query or chunk may lack its text or its embedding; it then takes part in the other search only.
     """
+    check_request(limit, filters, allowed, most)
     chunks = metadata_filter(chunks, filters)
     with_ = lambda df, c: df.filter(F.col(c).isNotNull())
     near = vector_search(with_(queries, "embedding"), with_(chunks, "embedding"), 3 * limit)
-    return fuse(near, fulltext_search(with_(queries, "text"), with_(chunks, "text"), 3 * limit), limit)
+    return fuse(near, fulltext_search(with_(queries, "text"), with_(chunks, "text"), 3 * limit, stop, stem, plain), limit)
 
 
 def hit_status(results: DataFrame, queries: DataFrame, strong: float = 0.65, weak: float = 0.55, mode: str = "vector") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from auditgrain.operators import conversations as C
 from auditgrain.operators import ranking as P
 from auditgrain.operators import retrieval as R
+from auditgrain.operators.fulltext import ENGLISH_STOP, TERM, fulltext_search, light_stem
 from auditgrain.plans.base import table, with_views
 from auditgrain.plans.registry import query
 
@@ -89,33 +90,118 @@ def _(spark, d):
     return R.keyword_search(passages(spark, d), texts(spark, d), 3)
 
 
-FULLTEXT = [
-    ("q", r"SELECT DISTINCT item_id AS query_id, t AS term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM benchmark)"),
-    ("words", r"SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents"),
-    ("tf", "SELECT chunk_id, len AS length, term, count(*) AS tf FROM (SELECT chunk_id, len(w) AS len, unnest(w) AS term FROM words) GROUP BY ALL"),
-    ("df", "SELECT term, count(*) AS df FROM tf GROUP BY term"),
-    ("need", "SELECT query_id, count(*) AS terms FROM q GROUP BY query_id"),
-    ("matched", """SELECT query_id, chunk_id, count(*) AS found, sum(tf * ln(1 + (SELECT count(*) FROM documents)::DOUBLE / df) / sqrt(length)) AS s FROM q JOIN tf USING (term) JOIN df USING (term) GROUP BY ALL"""),
-    ("text_hits", "SELECT query_id, chunk_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, chunk_id) AS rank FROM matched JOIN need USING (query_id) WHERE found = terms QUALIFY rank <= 15"),
-]
+def stem_sql(t: str) -> str:
+    ends = lambda x, n: f"{t} LIKE '%{x}' AND length({t}) >= {n}"
+    less = lambda n: f"left({t}, length({t}) - {n})"
+    base = f"""CASE WHEN {ends('sses', 5)} THEN {less(2)} WHEN {ends('ies', 5)} THEN {less(3)} || 'y' WHEN {t} LIKE '%ss' OR {t} LIKE '%us' THEN {t}
+      WHEN {ends('s', 4)} THEN {less(1)} WHEN {ends('ing', 6)} THEN {less(3)} WHEN {ends('ed', 5)} THEN {less(2)} ELSE {t} END"""
+    return rf"regexp_replace({base}, '^(.{{3,}})e$', '\1')"
+
+
+def fulltext_sql(raw: str, english: bool = False) -> list[tuple[str, str]]:
+    """Full-text search by its definition, from the words of each query: (query_id, alternative, clause, slot, word, negated)."""
+    stop = "WHERE word NOT IN (" + ", ".join(f"'{w}'" for w in ENGLISH_STOP) + ")" if english else ""
+    term = stem_sql("word") if english else "word"
+    return [
+        ("bw", r"SELECT item_id AS query_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: x <> 'or') AS w FROM benchmark"),
+        ("raw", raw),
+        ("ask", f"""SELECT *, count(*) OVER (PARTITION BY query_id, alternative, clause) AS need FROM (SELECT query_id, alternative, clause, slot, negated, {term} AS term FROM raw {stop})"""),
+        ("alts", """SELECT query_id, alternative, count(DISTINCT CASE WHEN NOT negated THEN clause END) AS clauses, count(CASE WHEN NOT negated THEN 1 END) AS asked,
+          count(DISTINCT CASE WHEN NOT negated THEN term END) AS terms FROM ask GROUP BY ALL"""),
+        ("words", r"SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents"),
+        ("pos", f"""SELECT chunk_id, p, {term} AS term FROM (SELECT chunk_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM words) {stop}"""),
+        ("has", "SELECT DISTINCT chunk_id, term FROM pos WHERE term IN (SELECT term FROM ask)"),
+        ("cand", """SELECT query_id, alternative, chunk_id FROM (SELECT DISTINCT query_id, alternative, term FROM ask WHERE NOT negated) JOIN has USING (term)
+          JOIN alts USING (query_id, alternative) GROUP BY query_id, alternative, chunk_id, terms HAVING count(*) = terms"""),
+        ("occ", """SELECT a.query_id, a.alternative, a.clause, a.negated, a.need, p.chunk_id, p.p - a.slot AS place, min(a.slot) AS lo, max(a.slot) AS hi
+          FROM cand c JOIN ask a ON a.query_id = c.query_id AND a.alternative = c.alternative JOIN pos p ON p.chunk_id = c.chunk_id AND p.term = a.term
+          GROUP BY a.query_id, a.alternative, a.clause, a.negated, a.need, p.chunk_id, p.p - a.slot HAVING count(*) = a.need"""),
+        ("good", """SELECT query_id, alternative, chunk_id FROM occ JOIN alts USING (query_id, alternative) GROUP BY query_id, alternative, chunk_id, clauses
+          HAVING count(DISTINCT CASE WHEN NOT negated THEN clause END) = clauses AND NOT bool_or(negated)"""),
+        ("ev", "SELECT query_id, chunk_id, alternative, clause, place + lo AS s, place + hi AS e FROM occ JOIN good USING (query_id, alternative, chunk_id)"),
+        ("latest", """SELECT x.query_id, x.chunk_id, x.e, o.alternative, o.clause, max(o.s) AS s FROM (SELECT DISTINCT query_id, chunk_id, e FROM ev) x
+          JOIN ev o ON o.query_id = x.query_id AND o.chunk_id = x.chunk_id AND o.e <= x.e GROUP BY ALL"""),
+        ("begins", """SELECT query_id, chunk_id, e, min(s) AS l, asked FROM latest JOIN alts USING (query_id, alternative)
+          GROUP BY query_id, chunk_id, e, alternative, asked, clauses HAVING count(*) = clauses"""),
+        ("ends", "SELECT * FROM begins QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id, e ORDER BY l DESC, asked DESC) = 1"),
+        ("covers", "SELECT query_id, chunk_id, l, min(e) AS e, arg_min(asked, e) AS asked FROM ends GROUP BY query_id, chunk_id, l"),
+        ("scored", "SELECT query_id, chunk_id, sum(100000000000 // (1 + greatest(0, e - l + 1 - asked)))::DOUBLE / 1e12 AS s FROM covers GROUP BY ALL"),
+        ("text_hits", "SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 15"),
+    ]
+
+
+FULLTEXT_HITS = "SELECT query_id, chunk_id, round(s, 6) AS score, rank FROM text_hits WHERE rank <= 10"
+PLAIN = """SELECT query_id, 0 AS alternative, row_number() OVER (PARTITION BY query_id ORDER BY word) AS clause, 0 AS slot, word, FALSE AS negated
+  FROM (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM benchmark)"""
+
+
+def raw_sql(*words: tuple[int, int, int, int, bool]) -> str:
+    """Words of every query from (alternative, clause, slot, number of the passage's word, negated)."""
+    return " UNION ALL ".join(
+        f"SELECT query_id, {a} AS alternative, {c} AS clause, {s} AS slot, w[{n}] AS word, {neg} AS negated FROM bw WHERE len(w) >= {n}" for a, c, s, n, neg in words
+    )
+
+
+def web_queries(spark, d, form: str, words: int):
+    """Queries in web-search syntax made of the first words of each passage; `{n}` in the form is the n-th."""
+    w = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda x: x != "or")
+    text = F.lit(form)
+    for n in range(1, words + 1):
+        text = F.replace(text, F.lit(f"{{{n}}}"), F.get("w", F.lit(n - 1)))
+    return passages(spark, d).select("query_id", w.alias("w")).filter(F.size("w") >= words).select("query_id", text.alias("text"))
+
+
+def ten(hits):
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("RTR-4", "fulltext_search", with_views("", "SELECT query_id, chunk_id, score, rank FROM text_hits WHERE rank <= 10", FULLTEXT))
+@query("RTR-4", "fulltext_search", with_views("", FULLTEXT_HITS, fulltext_sql(PLAIN)))
 def _(spark, d):
-    return R.fulltext_search(passages(spark, d), texts(spark, d), 10)
+    return ten(fulltext_search(passages(spark, d), texts(spark, d), 10, plain=True))
 
 
-FUSED = [*VECTORS, *FULLTEXT, ("fused", """SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.chunk_id, t.chunk_id) AS chunk_id,
-  coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + t.rank), 0) AS final_score FROM vec_hits v FULL JOIN text_hits t ON t.query_id = v.query_id AND t.chunk_id = v.chunk_id""")]
+@query("RTR-4", "fulltext_phrase", with_views("", FULLTEXT_HITS, fulltext_sql(raw_sql((0, 0, 0, 1, False), (0, 0, 1, 2, False), (0, 1, 0, 3, False)))))
+def _(spark, d):
+    return ten(fulltext_search(web_queries(spark, d, '"{1} {2}" {3}', 3), texts(spark, d), 10))
 
 
-@query("RTR-5", "hybrid_search", with_views("", "SELECT query_id, chunk_id, round(final_score, 6) AS final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank FROM fused QUALIFY rank <= 5", FUSED))
+@query("RTR-4", "fulltext_either", with_views("", FULLTEXT_HITS, fulltext_sql(raw_sql(
+    (0, 0, 0, 1, False), (0, 1, 0, 2, False), (1, 0, 0, 3, False), (1, 0, 1, 4, False), (2, 0, 0, 5, False), (2, 1, 0, 1, False)))))
+def _(spark, d):
+    return ten(fulltext_search(web_queries(spark, d, '{1} {2} or "{3} {4}" OR {5} {1}', 5), texts(spark, d), 10))
+
+
+@query("RTR-4", "fulltext_without", with_views("", FULLTEXT_HITS, fulltext_sql(raw_sql(
+    (0, 0, 0, 2, False), (0, 1, 0, 1, True), (0, 2, 0, 3, True), (0, 2, 1, 4, True)))))
 def _(spark, d):
-    # Queries are label means and benchmark passages, chunks embeddings and documents, joined by their ids.
+    return ten(fulltext_search(web_queries(spark, d, '{2} -{1} -"{3} {4}"', 4), texts(spark, d), 10))
+
+
+@query("RTR-4", "fulltext_stems", with_views("", FULLTEXT_HITS, fulltext_sql(raw_sql(
+    (0, 0, 0, 1, False), (0, 1, 0, 2, False), (0, 1, 1, 3, False), (1, 0, 0, 4, False), (1, 1, 0, 5, False)), english=True)))
+def _(spark, d):
+    return ten(fulltext_search(web_queries(spark, d, '{1} {2}-{3} or {4} {5}', 5), texts(spark, d), 10, ENGLISH_STOP, light_stem))
+
+
+FUSED = [
+    *VECTORS[:4], ("low_hits", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scores WHERE label < 5 QUALIFY rank <= 15"),
+    *fulltext_sql(PLAIN)[:-1],
+    ("text_hits", """SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM scored
+      WHERE chunk_id IN (SELECT vec_id FROM embeddings WHERE label < 5) QUALIFY rank <= 15"""),
+    ("fused", """SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.chunk_id, t.chunk_id) AS chunk_id,
+      coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + t.rank), 0) AS final_score FROM low_hits v FULL JOIN text_hits t ON t.query_id = v.query_id AND t.chunk_id = v.chunk_id"""),
+]
+
+
+def hybrid_tables(spark, d):
+    """Queries are label means and benchmark passages, chunks embeddings and documents, joined by their ids."""
     means = centroids(spark, d).withColumn("query_id", F.col("query_id").cast("long"))
-    asked = means.join(passages(spark, d), "query_id", "full")
-    chunks = vector_chunks(spark, d).join(texts(spark, d), "chunk_id", "full")
-    hits = R.hybrid_search(asked, chunks, 5)
+    return means.join(passages(spark, d), "query_id", "full"), vector_chunks(spark, d).join(texts(spark, d), "chunk_id", "full")
+
+
+@query("RTR-5", "hybrid_search", with_views("", "SELECT query_id, chunk_id, round(final_score, 6) AS final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank FROM fused QUALIFY rank <= 5", FUSED))
+def _(spark, d):
+    hits = R.hybrid_search(*hybrid_tables(spark, d), 5, {"half": "low"}, allowed=["half"], plain=True)
     return hits.select("query_id", "chunk_id", F.round("final_score", 6).alias("final_score"), "rank")
 
 
@@ -152,9 +238,7 @@ def _(spark, d):
 
 @query("SRT-4", "top_k_per_query", with_views("", "SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM hits QUALIFY rank <= 5", KEYWORD))
 def _(spark, d):
-    words = lambda df, key: df.select(key, F.explode(R.keyword_tokens("text")).alias("t"))
-    shared = words(passages(spark, d), "query_id").join(words(texts(spark, d), "chunk_id"), "t").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
-    return P.top_k_per_query(shared, 5)
+    return P.top_k_per_query(R.keyword_candidates(passages(spark, d), texts(spark, d), 5), 5)
 
 
 @query("WIN-6", "last_turns", """SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 3""")

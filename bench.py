@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditgrain.functions.expressions import squeeze
-from auditgrain.operators import alerts, browse, grouping, metrics, normalize, qc, retrieval, risk, rollup, tagging, trend
+from auditgrain.operators import alerts, browse, fulltext, grouping, metrics, normalize, qc, retrieval, risk, rollup, tagging, trend
 from auditgrain.operators.observations import dedupe_texts
 from auditgrain.plans import base
-from auditgrain.plans.retrieval import centroids, passages, texts, vector_chunks
+from auditgrain.plans.retrieval import centroids, hybrid_tables, passages, texts, vector_chunks
 from auditgrain.session import local_session, materialize
 
 
@@ -76,7 +76,8 @@ def main() -> None:
     timed("chunk_documents", lambda: retrieval.chunk_documents(docs)[0])
     timed("vector_search", lambda: retrieval.vector_search(centroids(spark, d), vector_chunks(spark, d), 10))
     timed("keyword_search", lambda: retrieval.keyword_search(passages(spark, d), texts(spark, d), 5))
-    timed("fulltext_search", lambda: retrieval.fulltext_search(passages(spark, d), texts(spark, d), 10))
+    timed("fulltext_search", lambda: fulltext.fulltext_search(passages(spark, d), texts(spark, d), 10, plain=True))
+    timed("hybrid_search", lambda: retrieval.hybrid_search(*hybrid_tables(spark, d), 5, {"half": "low"}, plain=True))
 
     print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(d)}))
     spark.stop()
