@@ -34,6 +34,7 @@ BOOST_WORDS = ["contemporaneous", "retrospectiv", "backdat", "after testing"]
 BOOST_TOKEN, BOOST_COUNT = "record_timing", 5
 DEFAULT_THRESHOLD = 0.78
 LSH_TABLES, LSH_BITS, LSH_SEED = 12, 12, 42
+LSH_PROBES, LSH_RECALL = 24, 0.95
 POSTING_BLOCK = 1024
 # --- end of fixed values ------------------------------------------------------------------------
 METHOD = "lexical_cosine"
@@ -113,17 +114,34 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(common, F.lit(0.0), lambda acc, t: acc + F.element_at(a, t) * F.element_at(b, t))
 
 
-def _shared(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """(left_node, right_node, precedes) per shared bucket.
+def _in_grid(left: DataFrame, right: DataFrame, on: Sequence[str], block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `_row` and `_column`: a bucket beyond `block` rows a side is dealt to a grid of tasks.
+
+    A left row has its own row of the grid and is copied to all columns, a right row the other way
+    round, so each pair still meets once. Only buckets that need a grid are counted on.
+    """
+    size = lambda df, name: df.groupBy(*on).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name)).filter(F.col(name) > 1)
+    large = size(left, "_rows").join(size(right, "_columns"), list(on), "full_outer").fillna(1, ["_rows", "_columns"])
+    own = lambda n: F.pmod(F.xxhash64("node"), F.coalesce(F.col(n), F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+    a = left.join(large, list(on), "left").select(*left.columns, own("_rows").alias("_row"), every("_columns").alias("_column"))
+    b = right.join(large, list(on), "left").select(*right.columns, own("_columns").alias("_column"), every("_rows").alias("_row"))
+    return a, b
+
+
+def _shared(left: DataFrame, right: DataFrame, on: Sequence[str], block: int = POSTING_BLOCK) -> DataFrame:
+    """(left_node, right_node, precedes) per shared bucket, crowded buckets dealt in a grid.
 
     The right node starts before the last copy of the left one, so that some copy may join it;
     `precedes` tells whether it starts before the first copy too.
     """
     extra = [c for c in ("weight", "dropped") if c in left.columns]
+    left, right = _in_grid(left, right, on, block)
+    on = [*on, "_row", "_column"]
     a = left.select(*on, F.col("node").alias("left_node"), F.col("first_hash").alias("_f"), F.col("last_hash").alias("_l"), *[F.col(c).alias(f"left_{c}") for c in extra])
     b = right.select(*on, F.col("node").alias("right_node"), F.col("first_hash").alias("_r"), *[F.col(c).alias(f"right_{c}") for c in extra])
     before = (F.col("_r") < F.col("_l")) & (F.col("left_node") != F.col("right_node"))
-    return a.join(b, list(on)).filter(before).withColumn("precedes", F.col("_r") < F.col("_f")).drop("_f", "_l", "_r")
+    return a.join(b, on).filter(before).withColumn("precedes", F.col("_r") < F.col("_f")).drop("_f", "_l", "_r", *on)
 
 
 def similar_pairs(
@@ -168,38 +186,30 @@ def similarity_links(nodes: DataFrame, threshold: float = DEFAULT_THRESHOLD, blo
     """
     nodes = cut_lineage(nodes.filter(F.size("vec") > 0))
     postings = cut_lineage(prefix_postings(nodes, threshold))
-    blocks = postings.groupBy("theme", "token").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_n"))
-    dealt = postings.join(blocks, ["theme", "token"]).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    left = dealt.select("*", every.alias("_other")).withColumnsRenamed({"_own": "_row", "_other": "_column"})
-    right = dealt.select("*", every.alias("_other")).withColumnsRenamed({"_other": "_row", "_own": "_column"})
     # a pair is wanted once, so a node that starts later meets those that start earlier
-    later = left.withColumn("last_hash", F.col("first_hash"))
-    on = ["theme", "token", "_row", "_column"]
-    return _scored(_shared(later, right, on), nodes, nodes, threshold).drop("precedes")
+    later = postings.withColumn("last_hash", F.col("first_hash"))
+    return _scored(_shared(later, postings, ["theme", "token"], block), nodes, nodes, threshold).drop("precedes")
 
 
 def _first_leaders(block: DataFrame, edges: DataFrame) -> DataFrame:
     """Leaders of a block: the greedy choice in hash order, found in rounds.
 
-    `edges` are (left_node later, right_node earlier). Each round makes leaders of all nodes without
-    an undecided earlier neighbour and removes what they cover.
+    `edges` are (left_node later, right_node earlier), one table for all rounds. A round covers the
+    undecided nodes with an earlier leader and makes leaders of those whose earlier neighbours are all
+    covered; only the state of the nodes is written again.
     """
-    undecided = cut_lineage(block.select("node"))
-    edges = cut_lineage(edges.select("left_node", "right_node"))
-    leaders = None
-    while not undecided.isEmpty():
-        fresh = cut_lineage(undecided.join(edges.select(F.col("left_node").alias("node")).distinct(), "node", "left_anti"))
-        leaders = fresh if leaders is None else leaders.unionByName(fresh)
-        covered = edges.join(fresh.withColumnRenamed("node", "right_node"), "right_node", "left_semi").select(
-            F.col("left_node").alias("node")
-        ).distinct()
-        undecided = cut_lineage(undecided.join(fresh, "node", "left_anti").join(covered, "node", "left_anti"))
-        edges = cut_lineage(
-            edges.join(undecided.withColumnRenamed("node", "left_node"), "left_node", "left_semi")
-            .join(undecided.withColumnRenamed("node", "right_node"), "right_node", "left_semi")
+    state = cut_lineage(block.select("node", F.lit(None).cast("boolean").alias("leads")))
+    edges = cut_lineage(edges.select("left_node", "right_node").distinct())
+    of = lambda side: state.withColumnsRenamed({"node": f"{side}_node", "leads": f"_{side}"})
+    while not state.filter(F.col("leads").isNull()).isEmpty():
+        # what earlier neighbours of undecided nodes are by now; the edges themselves are written once
+        seen = edges.join(of("left").filter(F.col("_left").isNull()), "left_node").join(of("right"), "right_node").groupBy("left_node").agg(
+            F.coalesce(F.bool_or("_right"), F.lit(False)).alias("_covered"), F.bool_or(F.col("_right").isNull()).alias("_waits")
         )
-    return leaders if leaders is not None else block.select("node")
+        known = state.join(seen, F.col("node") == F.col("left_node"), "left")
+        fresh = F.when(F.coalesce("_covered", F.lit(False)), F.lit(False)).when(~F.coalesce("_waits", F.lit(False)), F.lit(True))
+        state = cut_lineage(known.select("node", F.coalesce("leads", fresh).alias("leads")))
+    return state.filter("leads").select("node")
 
 
 def _boundaries(n: int, first_block: int) -> list[str | None]:
@@ -281,15 +291,39 @@ def hyperplanes(dimensions: int, tables: int = LSH_TABLES, bits: int = LSH_BITS,
     return np.random.default_rng(seed).normal(size=(tables, bits, dimensions))
 
 
-def lsh_signatures(
-    df: DataFrame, dimensions: int, key: str = "vec_id", vector: str = "embedding", tables: int = LSH_TABLES,
-    bits: int = LSH_BITS, seed: int = LSH_SEED,
-) -> DataFrame:
-    """(key, table, signature): which side of each random hyperplane a vector lies on, as bits.
+def _flips(bits: int) -> np.ndarray:
+    """All choices of at most two bits, as rows of booleans; the first chooses none."""
+    one = np.eye(bits, dtype=bool)
+    return np.concatenate([np.zeros((1, bits), bool), one, *[one[i] | one[i + 1 :] for i in range(bits - 1)]])
+
+
+def hit_rate(threshold: float, bits: int = LSH_BITS, probes: int = LSH_PROBES, pairs: int = 20_000, seed: int = LSH_SEED) -> float:
+    """How often the probes of one table reach a vector whose cosine is the threshold, from simulated projections."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(pairs, bits))
+    y = threshold * x + np.sqrt(1 - threshold * threshold) * rng.normal(size=(pairs, bits))
+    differ, flips = (x >= 0) != (y >= 0), _flips(bits)
+    costs = np.partition((x * x) @ flips.T, min(probes, len(flips)) - 1, axis=1)[:, min(probes, len(flips)) - 1]
+    return float(((differ.sum(axis=1) <= 2) & ((x * x * differ).sum(axis=1) <= costs + 1e-12)).mean())
+
+
+def tables_for(threshold: float, recall: float, bits: int = LSH_BITS, probes: int = LSH_PROBES) -> int:
+    """Tables that find a pair at the threshold with the wanted probability; pairs above it are found more often."""
+    if not 0 < recall < 1:
+        raise ValueError("recall must lie in (0, 1)")
+    missed = 1 - hit_rate(threshold, bits, probes)
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log(missed)))) if missed > 0 else 1
+
+
+def _hashed(df: DataFrame, dimensions: int, key: str, vector: str, tables: int, bits: int, seed: int, probes: int) -> DataFrame:
+    """(key, table, signature): the bucket of a vector in each table, first, and its nearest others, `probes` in all.
 
     One matrix product per Arrow batch; the planes follow from the seed and are never shipped as data.
+    The buckets probed are those whose change of sides costs least: the sum of the squared distances to
+    the planes that are crossed, two at most.
     """
-    powers = 1 << np.arange(bits)
+    powers, flips = 1 << np.arange(bits), _flips(bits)
+    changes = flips @ powers
 
     @F.pandas_udf("array<long>")
     def signs(batch: pd.Series) -> pd.Series:
@@ -297,45 +331,83 @@ def lsh_signatures(
             return pd.Series([], dtype=object)
         planes = hyperplanes(dimensions, tables, bits, seed).reshape(tables * bits, dimensions)
         matrix = np.stack(batch.to_numpy()).astype(float)
-        sides = (matrix @ planes.T >= 0).reshape(len(batch), tables, bits)
-        return pd.Series(list((sides * powers).sum(axis=2)))
+        away = (matrix @ planes.T).reshape(len(batch) * tables, bits)
+        own = ((away >= 0) * powers).sum(axis=1)[:, None]
+        if probes > 1:
+            near = np.argpartition((away * away) @ flips.T, min(probes, len(flips)) - 1, axis=1)[:, :probes]
+            own = own ^ changes[near]
+        return pd.Series(list(own.reshape(len(batch), -1)))
 
-    return df.select(key, F.posexplode(signs(vector)).alias("table", "signature"))
+    rows = df.select(key, F.posexplode(signs(vector)).alias("table", "signature"))
+    return rows.withColumn("table", F.floor(F.col("table") / min(probes, len(flips))).cast("int"))
+
+
+def lsh_signatures(
+    df: DataFrame, dimensions: int, key: str = "vec_id", vector: str = "embedding", tables: int = LSH_TABLES,
+    bits: int = LSH_BITS, seed: int = LSH_SEED,
+) -> DataFrame:
+    """(key, table, signature): which side of each random hyperplane a vector lies on, as bits."""
+    return _hashed(df, dimensions, key, vector, tables, bits, seed, 1)
 
 
 def probe_signatures(signatures: DataFrame, bits: int = LSH_BITS) -> DataFrame:
-    """Each signature and its neighbours at one flipped bit (multi-probe)."""
+    """Each signature and its neighbours at one flipped bit, for signatures without their vectors."""
     flips = F.array(F.col("signature"), *[F.col("signature").bitwiseXOR(F.lit(1 << b)) for b in range(bits)])
     return signatures.withColumn("signature", F.explode(flips))
 
 
-def group_dense(
-    df: DataFrame, dimensions: int, threshold: float = DEFAULT_THRESHOLD, first_block: int = 4096,
-    model: str = "dense", version: str = "3",
+def lsh_probes(
+    df: DataFrame, dimensions: int, key: str = "vec_id", vector: str = "embedding", tables: int = LSH_TABLES,
+    bits: int = LSH_BITS, seed: int = LSH_SEED, probes: int = LSH_PROBES,
 ) -> DataFrame:
-    """Leader grouping of dense unit vectors (hash, theme, embedding), candidates by hyperplane hashing."""
-    unit = F.transform("embedding", lambda x: x.cast("double"))
-    size = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x * x))
-    scaled = df.select("hash", "theme", F.transform(unit, lambda x: x / size).alias("vec"))
-    keyed = scaled.withColumn("node", F.sha2(F.concat_ws("|", "theme", F.to_json("vec")), 256))
-    nodes = cut_lineage(keyed.groupBy("node", "theme").agg(
-        F.min("hash").alias("first_hash"), F.max("hash").alias("last_hash"), F.min_by("vec", "hash").alias("vec")
-    ))
-    signatures = cut_lineage(
-        lsh_signatures(nodes, dimensions, "node", "vec")
-        .join(nodes.select("node", "theme", "first_hash", "last_hash"), "node")
-    )
+    """(key, table, signature): the buckets in which to look for a vector's neighbours, nearest ones first to be kept."""
+    return _hashed(df, dimensions, key, vector, tables, bits, seed, probes)
+
+
+def unit_vector(vector: str = "embedding") -> Column:
+    """The vector at length one; a zero vector stays as it is and is similar to none."""
+    x = F.transform(vector, lambda v: v.cast("double"))
+    length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
+    return F.transform(F.arrays_zip(x.alias("v"), F.array_repeat(length, F.size(vector)).alias("n")), lambda e: F.when(e["n"] > 0, e["v"] / e["n"]).otherwise(e["v"]))
+
+
+def dense_pairs(nodes: DataFrame, dimensions: int, threshold: float, recall: float = LSH_RECALL, bits: int = LSH_BITS, probes: int = LSH_PROBES):
+    """A function of two sets of nodes that gives their pairs with a cosine at or above the threshold.
+
+    Nodes are (node, theme, first_hash, last_hash, vec). Buckets are found for all of them once: the own
+    one of each, and the probed ones that others are looked for in. A pair at the threshold is found
+    with the wanted recall.
+    """
+    tables = tables_for(threshold, recall, bits, probes)
+    rest = nodes.select("node", "theme", "first_hash", "last_hash")
+    own = cut_lineage(lsh_signatures(nodes, dimensions, "node", "vec", tables, bits).join(rest, "node"))
+    probed = cut_lineage(lsh_probes(nodes, dimensions, "node", "vec", tables, bits, probes=probes).join(rest, "node"))
 
     def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
-        cut = lambda side: signatures.join(side.select("node"), "node", "left_semi")
-        pairs = _shared(probe_signatures(cut(left)), cut(right), ["theme", "table", "signature"]).select(
-            "left_node", "right_node", "precedes"
-        ).distinct()
+        met = _shared(probed.join(left.select("node"), "node", "left_semi"), own.join(right.select("node"), "node", "left_semi"), ["theme", "table", "signature"])
         vec = lambda d, s: d.select(F.col("node").alias(f"{s}_node"), F.col("vec").alias(f"_{s}"))
-        both = pairs.join(vec(left, "left"), "left_node").join(vec(right, "right"), "right_node")
+        both = met.distinct().join(vec(left, "left"), "left_node").join(vec(right, "right"), "right_node")
         dot = F.aggregate(F.zip_with("_left", "_right", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
         return both.select("left_node", "right_node", "precedes", dot.alias("similarity")).filter(F.col("similarity") >= threshold - SLACK)
 
+    return pairs_of
+
+
+def group_dense(
+    df: DataFrame, dimensions: int, threshold: float = DEFAULT_THRESHOLD, first_block: int = 4096,
+    model: str = "dense", version: str = "3", recall: float = LSH_RECALL,
+) -> DataFrame:
+    """Leader grouping of dense vectors (hash, theme, embedding), candidates by hyperplane hashing.
+
+    Each pair at the threshold is found with probability `recall`, pairs above it more often: the number
+    of tables follows from both.
+    """
+    scaled = df.select("hash", "theme", unit_vector().alias("vec"))
+    keyed = scaled.withColumn("node", F.sha2(F.concat_ws("|", "theme", F.to_json("vec")), 256))
+    nodes = cut_lineage(keyed.groupBy("node", "theme").agg(
+        F.min("hash").alias("first_hash"), F.max("hash").alias("last_hash"), F.min_by("vec", "hash").alias("vec")
+    ))
+    pairs_of = dense_pairs(nodes, dimensions, threshold, recall)
     leaders, pairs = leader_pairs(nodes, pairs_of, first_block)
     label = F.concat_ws("|", F.lit(model), F.lit(version), F.lit(str(threshold)), F.col("theme"), F.col("first_hash"))
     group_id = F.concat(F.lit("GRP-"), F.substring(F.sha2(label, 256), 1, 20))

@@ -274,29 +274,85 @@ def _(spark, d):
     return links.unionByName(members)
 
 
-@query("TAG-12", "group_texts")
+def leader_sql(threshold: float, model: str, method: str, name: str) -> list[tuple[str, str]]:
+    """The sequential rule over `texts` (hash, theme) and `sims` (hash, theme, earlier, similarity >= threshold)."""
+    return [
+        ("turn", "SELECT theme, hash, row_number() OVER (PARTITION BY theme ORDER BY hash) AS i FROM texts"),
+        ("near", "SELECT t.theme, t.i, t.hash, list(s.earlier) FILTER (s.earlier IS NOT NULL) AS earlier FROM turn t LEFT JOIN sims s ON s.theme = t.theme AND s.hash = t.hash GROUP BY ALL"),
+        ("walk", """SELECT theme, 0::BIGINT AS i, []::VARCHAR[] AS leaders FROM (SELECT DISTINCT theme FROM texts)
+          UNION ALL SELECT w.theme, n.i, CASE WHEN list_has_any(w.leaders, coalesce(n.earlier, [])) THEN w.leaders ELSE list_append(w.leaders, n.hash) END
+          FROM walk w JOIN near n ON n.theme = w.theme AND n.i = w.i + 1"""),
+        ("heads", "SELECT theme, unnest(leaders) AS leader FROM (SELECT theme, arg_max(leaders, i) AS leaders FROM walk GROUP BY theme)"),
+        ("choices", "SELECT s.hash, s.theme, s.earlier AS leader, s.similarity FROM sims s JOIN heads l ON l.theme = s.theme AND l.leader = s.earlier UNION ALL SELECT leader, theme, leader, 1.0 FROM heads"),
+        ("named", f"SELECT *, 'GRP-' || left(sha256('{model}|3|{threshold}|' || theme || '|' || leader), 20) AS group_id FROM choices"),
+        (name, f"""SELECT hash, theme, group_id, round(least(1.0, similarity), 6) AS similarity, leader = hash AS is_leader, '{method}' AS method FROM named
+          QUALIFY row_number() OVER (PARTITION BY hash, theme ORDER BY (leader = hash) DESC, round(similarity, 12) DESC, group_id) = 1"""),
+    ]
+
+
+GROUPED = "SELECT hash, theme, group_id, similarity, is_leader, method FROM grouped"
+
+
+def recursive(body: str, extra: list[tuple[str, str]], names: str = "") -> str:
+    return with_views(names, body, extra).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def rounded(groups):
+    return groups.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("TAG-12", "group_texts", recursive(GROUPED, [
+    *VECTORS,
+    ("texts", "SELECT sha256(clean) AS hash, min(lang) AS theme FROM docs JOIN documents USING (doc_id) GROUP BY 1"),
+    ("sims", """SELECT x.hash, x.theme, y.hash AS earlier, sum(a.weight * b.weight) AS similarity FROM texts x JOIN texts y ON y.theme = x.theme AND y.hash < x.hash
+      JOIN vectors a ON a.hash = x.hash JOIN vectors b ON b.hash = y.hash AND b.token = a.token GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.78 - 1e-9"""),
+    *leader_sql(0.78, "local-lexical", "lexical_cosine", "grouped"),
+]))
 def _(spark, d):
-    return S.group_texts(*document_vectors(spark, d))
+    return rounded(S.group_texts(*document_vectors(spark, d)))
 
 
-@query("TAG-12", "group_part_texts")
+@query("TAG-12", "group_part_texts", recursive(GROUPED, [
+    ("docs", r"SELECT DISTINCT sha256(c) AS doc_id, c AS clean FROM (SELECT trim(regexp_replace(long_text, '\s+', ' ', 'g')) AS c FROM project_rows)"),
+    *sentence_tags("docs", "clean", PARTS),
+    ("texts", "SELECT doc_id AS hash, theme FROM classified"),
+    ("counts", "SELECT hash, t AS token, count(*) AS c FROM (SELECT doc_id AS hash, unnest(regexp_extract_all(lower(clean), '[a-z0-9]{3,}')) AS t FROM docs) GROUP BY ALL"),
+    ("vectors", "SELECT hash, token, c / sqrt(sum(c * c) OVER (PARTITION BY hash))::DOUBLE AS weight FROM counts"),
+    ("sims", """SELECT x.hash, x.theme, y.hash AS earlier, sum(a.weight * b.weight) AS similarity FROM texts x JOIN texts y ON y.theme = x.theme AND y.hash < x.hash
+      JOIN vectors a ON a.hash = x.hash JOIN vectors b ON b.hash = y.hash AND b.token = a.token GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.6 - 1e-9"""),
+    *leader_sql(0.6, "local-lexical", "lexical_cosine", "grouped"),
+], "project_rows"))
 def _(spark, d):
     rows = project_rows(spark, d).select(F.col("long_text").alias("text"))
     texts = dedupe_texts(rows)
     tagged = G.classify_observation(texts, PARTS).select("hash", "theme")
-    return S.group_texts(S.lexical_vector(texts, {}, [], []), tagged, 0.6)
+    return rounded(S.group_texts(S.lexical_vector(texts, {}, [], []), tagged, 0.6))
 
 
-@query("TAG-13", "lsh_signatures")
+def planes_sql(dimensions: int) -> str:
+    """The hyperplanes of the seed as a literal table (tab, bit, plane)."""
+    planes = S.hyperplanes(dimensions)
+    rows = (f"({t}, {b}, [{', '.join(repr(float(x)) for x in plane)}]::DOUBLE[])" for t, table_ in enumerate(planes) for b, plane in enumerate(table_))
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) v(tab, bit, plane)"
+
+
+@query("TAG-13", "lsh_signatures", with_views("", """SELECT vec_id, tab AS "table", sum(CASE WHEN list_inner_product(embedding::DOUBLE[], plane) >= 0 THEN 1::BIGINT << bit ELSE 0 END)::BIGINT AS signature
+FROM embeddings, planes GROUP BY ALL""", [("planes", planes_sql(64))]))
 def _(spark, d):
     return S.lsh_signatures(table(spark, d, "embeddings"), 64)
 
 
-@query("TAG-13", "group_dense")
+@query("TAG-13", "group_dense", recursive(GROUPED, [
+    ("texts", "SELECT sha256(vec_id::VARCHAR) AS hash, label::VARCHAR AS theme, embedding::DOUBLE[] AS v FROM embeddings"),
+    ("sims", """SELECT x.hash, x.theme, y.hash AS earlier, list_cosine_similarity(x.v, y.v) AS similarity FROM texts x JOIN texts y ON y.theme = x.theme AND y.hash < x.hash
+      WHERE list_cosine_similarity(x.v, y.v) >= 0.6 - 1e-9"""),
+    *leader_sql(0.6, "dense", "hyperplane_cosine", "grouped"),
+]))
 def _(spark, d):
     dense = table(spark, d, "embeddings").select(
         F.sha2(F.col("vec_id").cast("string"), 256).alias("hash"), F.col("label").cast("string").alias("theme"), "embedding"
     )
-    return S.group_dense(dense, 64, 0.6)
+    # at this recall no pair of the given vectors is lost, so that the rule can be checked by SQL
+    return rounded(S.group_dense(dense, 64, 0.6, recall=0.999))
 
 
