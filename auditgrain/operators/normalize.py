@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditgrain.functions.expressions import count_if
-from auditgrain.operators.ranking import two_level_rank
+from auditgrain.operators.ranking import range_rank, two_level_rank
 from auditgrain.session import materialize
 from auditgrain.sources.readers import apply_mapping_columns
 
@@ -197,13 +197,10 @@ def attach_site_counts(df: DataFrame, key: str = "site_key") -> DataFrame:
 def recency_rank(df: DataFrame, key: str = "site_key") -> DataFrame:
     """Newest first per site, undated last, then id.
 
-    A site may hold a third of all rows, so ranks are built from per-(site, day) ranks plus the
-    running count of later days.
+    A site may hold a third of all rows, and all of them undated, so rows are dealt to ranges of the
+    whole order.
     """
-    return two_level_rank(
-        df, [key], [F.col("inspection_date").alias("_day")], [F.col("inspection_id")],
-        "inspection_rank", coarse_order=[F.col("_day").desc_nulls_last()],
-    )
+    return range_rank(df, [key], [F.col("inspection_date").desc_nulls_last(), F.col("inspection_id")], "inspection_rank")
 
 
 def quality_report(ranked: DataFrame, missing_columns: Sequence[str] = ()) -> DataFrame:

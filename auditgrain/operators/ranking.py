@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditgrain.session import materialize
+
 
 def two_level_rank(
     df: DataFrame,
@@ -39,6 +41,28 @@ def two_level_rank(
     )
 
 
+def range_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, ranges: int | None = None) -> DataFrame:
+    """Exact row numbers per key where a key, or one block of it, may own a third of all rows.
+
+    Rows are dealt to ranges of (keys, order), whose bounds Spark samples, so a large key spans many
+    tasks. A row's place in its sorted range comes with the write; its rank is that place since the
+    key began there, and the rows of the key in earlier ranges, a prefix sum over (key, range).
+    """
+    whole = [*[F.col(k) for k in keys], *order]
+    dealt = df.repartitionByRange(ranges, *whole) if ranges else df.repartitionByRange(*whole)
+    placed = materialize(dealt.sortWithinPartitions(*whole).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("_at", 33)
+    blocks = placed.groupBy(*keys, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    left, right = placed.withColumn("_part", part).alias("l"), offsets.alias("r")
+    same = F.lit(True)
+    for c in [*keys, "_part"]:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    rank = F.col("l._at") - F.col("r._first") + F.col("r._offset") + 1
+    return left.join(right, same).select(*[F.col(f"l.{c}") for c in df.columns], rank.cast("long").alias(name))
+
+
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0, most: int = 1000) -> DataFrame:
     """One page with the total beside it. The order must end in a unique key."""
     if not 1 <= limit <= most or offset < 0:

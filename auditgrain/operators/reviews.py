@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditgrain.functions.taxonomy import OBSERVATION_TAXONOMY, Taxonomy
 from auditgrain.operators.tagging import SEVERITIES, UNCLASSIFIED
-from auditgrain.session import cut_lineage
 
 KEYS = ["run_id", "observation_id"]
 DECIDED = ("Approve", "Modify")
@@ -38,9 +40,10 @@ def apply_reviews(
     """Judge a batch of reviews in arrival order: `accepted`, `conflict`, `invalid` or `unknown`.
 
     A review is accepted when the revision it was written against is still the current one; it then
-    becomes the next revision. Follow-ups inside the batch are honoured: each round accepts, per
-    observation, the first review that fits, and the loop ends when a round accepts nothing. Rounds
-    are as many as the longest chain of follow-ups.
+    becomes the next revision, which later reviews of the batch may follow. Reviews that arrive at once
+    are taken by revision. One pass: reviews are dealt by observation and sorted there by arrival, and a
+    fold over the sorted rows carries the current revision alone, so that a task holds no observation's
+    reviews at once, however many there are.
     """
     known = index.select(*KEYS).distinct().withColumn("_known", F.lit(True))
     latest = current.groupBy(*KEYS).agg(F.max("revision").alias("_current"))
@@ -49,27 +52,31 @@ def apply_reviews(
         & F.coalesce(F.col("severity").isin(*SEVERITIES), F.lit(False))
     )
     judged = incoming.join(known, KEYS, "left").join(latest, KEYS, "left").select(
-        *incoming.columns, F.coalesce("_current", F.lit(0)).alias("_current"),
-        F.when(F.col("_known").isNull(), "unknown").when(modified, "invalid").alias("_status"),
+        *incoming.columns, F.coalesce("_current", F.lit(0)).cast("long").alias("_current"),
+        F.when(F.col("_known").isNull(), "unknown").when(modified, "invalid").alias("status"),
     )
-    judged = cut_lineage(judged)
-    pending = judged.filter(F.col("_status").isNull())
-    accepted = None
-    while True:
-        fits = pending.filter(F.col("revision") == F.col("_current"))
-        won = cut_lineage(fits.groupBy(*KEYS).agg(F.min(arrival).alias("_won"), F.first("_current").alias("_at")))
-        if won.isEmpty():
-            break
-        step = won.select(*KEYS, F.col("_won").alias(arrival), (F.col("_at") + 1).alias("new_revision"))
-        accepted = step if accepted is None else accepted.unionByName(step)
-        pending = cut_lineage(
-            pending.join(won, KEYS).filter(F.col(arrival) > F.col("_won"))
-            .withColumn("_current", F.col("_at") + 1).drop("_won", "_at")
-        )
-    out = judged.drop("_current")
-    if accepted is None:
-        out = out.withColumn("new_revision", F.lit(None).cast("int"))
-    else:
-        out = out.join(accepted, [*KEYS, arrival], "left")
-    status = F.coalesce("_status", F.when(F.col("new_revision").isNotNull(), "accepted").otherwise("conflict"))
-    return out.withColumn("status", status).drop("_status")
+    ordered = judged.repartition(*KEYS).sortWithinPartitions(*KEYS, arrival, "revision")
+    kind = incoming.schema["revision"].dataType.simpleString()
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in incoming.schema.fields)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now = None, 0
+        for batch in batches:
+            of = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: B023, E731
+            status, made = of("status"), [None] * batch.num_rows
+            for n, (key, revision, start) in enumerate(zip(zip(*map(of, KEYS), strict=True), of("revision"), of("_current"), strict=True)):
+                if key != at:
+                    at, now = key, start
+                if status[n] is None:
+                    status[n] = "accepted" if revision == now else "conflict"
+                    if revision == now:
+                        now += 1
+                        made[n] = now
+            new = pa.array(made, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in range(len(incoming_names))), new, pa.array(status, pa.string())], names=[*incoming_names, "new_revision", "status"]
+            )
+
+    incoming_names = incoming.columns
+    out = ordered.mapInArrow(judge, f"{given}, new_revision long, status string")
+    return out.withColumn("new_revision", F.col("new_revision").cast(kind))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from auditgrain.functions.expressions import count_if, first_row, squeeze
 from auditgrain.operators.normalize import CANONICAL
+from auditgrain.session import materialize
 
 CLASS_RANK = {"NAI": 0, "VAI": 1, "OAI": 2}
 JOIN_KEYS = ["id", "fei", "date"]
@@ -157,33 +158,45 @@ def _long(df: DataFrame, section: str, label: Column | None, values: Sequence[st
 
 
 def source_audit(project_rows: DataFrame, citations: DataFrame, annual: DataFrame, examples: int = 5) -> DataFrame:
-    """The audit of the three sources in one long table."""
+    """The audit of the three sources in one long table; every source is read once.
+
+    Project rows are counted by what the audit looks at and written; their totals by id, class, posted
+    flag and site come from one pass over grouping sets of those counts.
+    """
     from functools import reduce
 
-    per_id = project_rows.groupBy("id").agg(
-        F.count("*").alias("n"), F.min("fei").alias("f1"), F.max("fei").alias("f2"), F.min("date").alias("d1"),
-        F.max("date").alias("d2"), F.min("classification").alias("c1"), F.max("classification").alias("c2"),
-        F.array_join(F.sort_array(F.collect_set("classification")), ",").alias("classifications"),
-        F.array_join(F.sort_array(F.collect_set("project")), ",").alias("projects"),
-    )
-    ids = per_id.agg(
-        F.sum("n").alias("rows"), F.count("*").alias("inspections"),
-        count_if((F.col("f1") != F.col("f2")) | (F.col("d1") != F.col("d2"))).alias("conflicting_ids"),
-        count_if(F.col("c1") != F.col("c2")).alias("multi_class_ids"),
-        F.min("d1").alias("min_date"), F.max("d2").alias("max_date"),
-    )
-    sites = project_rows.agg(F.countDistinct("fei").alias("sites"))
-    top = per_id.filter(F.col("n") > 1).orderBy(F.col("n").desc(), "id").limit(examples)
+    seen = materialize(project_rows.groupBy("id", "fei", "date", "classification", "posted", "project").agg(F.count("*").alias("_n")), "audit")
+    sets = {"id": 7, "classification": 11, "posted": 13, "fei": 14}  # the bits of columns that a set leaves out
+    copies = {f"_{c}": F.col(c) for c in ("fei", "classification")}
+    totals = materialize(
+        seen.withColumns(copies).groupingSets([[c] for c in sets], *sets).agg(
+            F.grouping_id().alias("_set"), F.sum("_n").alias("n"), F.min("_fei").alias("f1"), F.max("_fei").alias("f2"), F.min("date").alias("d1"),
+            F.max("date").alias("d2"), F.min("_classification").alias("c1"), F.max("_classification").alias("c2"),
+        ), "audit-totals",
+    )
+    of = lambda name: F.col("_set") == sets[name]
+    ids = totals.filter(of("id") | of("fei")).agg(
+        F.sum(F.when(of("id"), F.col("n"))).alias("rows"), count_if(of("id")).alias("inspections"),
+        count_if(of("id") & ((F.col("f1") != F.col("f2")) | (F.col("d1") != F.col("d2")))).alias("conflicting_ids"),
+        count_if(of("id") & (F.col("c1") != F.col("c2"))).alias("multi_class_ids"),
+        F.min("d1").alias("min_date"), F.max("d2").alias("max_date"), count_if(of("fei") & F.col("fei").isNotNull()).alias("sites"),
+    )
+    most = totals.filter(of("id") & (F.col("n") > 1)).orderBy(F.col("n").desc(), "id").limit(examples).select("id", "n")
+    listed = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+    top = seen.join(most, "id").groupBy("id", "n").agg(listed("classification").alias("classifications"), listed("project").alias("projects"))
+    labels = totals.filter(of("classification") | of("posted")).select(
+        F.when(of("classification"), "classification").otherwise("posted").alias("section"),
+        F.when(of("classification"), F.col("classification")).otherwise(F.col("posted")).cast("string").alias("label"),
+        F.lit("n").alias("measure"), F.col("n").cast("string").alias("value"),
+    )
     repeats = citations.groupBy(*[c for c in citations.columns if c != "source_row"]).agg(F.count("*").alias("n"))
+    cited = repeats.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.countDistinct("id").alias("inspections"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extras")
+    )
+    kind = F.when(F.col("measure") == "extras", "duplicate_citations").otherwise("citations")
     parts = [
-        _long(ids, "inspections", None, ids.columns), _long(sites, "inspections", None, ["sites"]),
-        _long(project_rows.groupBy("classification").agg(F.count("*").alias("n")), "classification", F.col("classification"), ["n"]),
-        _long(project_rows.groupBy("posted").agg(F.count("*").alias("n")), "posted", F.col("posted"), ["n"]),
-        _long(top, "duplicate_examples", F.col("id"), ["n", "classifications", "projects"]),
-        _long(citations.agg(F.count("*").alias("rows"), F.countDistinct("id").alias("inspections")), "citations", None,
-              ["rows", "inspections"]),
-        _long(repeats.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).alias("extras")),
-              "duplicate_citations", None, ["extras"]),
+        _long(ids, "inspections", None, ids.columns), labels, _long(top, "duplicate_examples", F.col("id"), ["n", "classifications", "projects"]),
+        _long(cited, "citations", None, cited.columns).withColumn("section", kind),
         _long(annual.groupBy("year").agg(F.count("*").alias("citation_categories"), F.sum("frequency").alias("frequency_sum")),
               "annual", F.col("year"), ["citation_categories", "frequency_sum"]),
     ]

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,40 +72,148 @@ def redact_secrets(c: Column, names: Sequence[str] = NAMED_SECRETS) -> Column:
     return F.regexp_replace(out, _named(names), "$1$2" + REDACTED)
 
 
+#: A JSON text holds neither of these characters; they stand for two escapes while it is cut into tokens.
+_BACKSLASH, _QUOTE = "\x01", "\x02"
+_TOKENS = r'"[^"]*+"|[\[\]{}:,]|[^ \t\r\n"\[\]{}:,]++|"'
+_SCALAR = r"^(?:true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)$"
+_NO_STRING = r"[\x00\x03-\x1f]|\\(?![/bfnrt]|u[0-9a-fA-F]{4})"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _hide(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+
+
+def _show(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+
+
+def _plain(token: Column) -> Column:
+    """What a string token says; null where it cannot be read."""
+    read = F.element_at(F.from_json(F.concat(F.lit("["), _show(token), F.lit("]")), "array<string>"), 1)
+    return F.when(token.rlike(r"[\x01\x02\\]"), read).otherwise(F.substring(token, F.lit(2), F.length(token) - 2))
+
+
+def _clean_token(token: Column, names: Sequence[str]) -> Column:
+    """A string token without secrets; one without any stays as it is written."""
+
+    def written(said: Column) -> Column:
+        clean = redact_secrets(said, names)
+        listed = F.to_json(F.array(clean))
+        return F.when(clean == said, token).otherwise(_hide(F.substring(listed, F.lit(2), F.length(listed) - 2)))
+
+    return _let(_plain(token), lambda said: F.coalesce(written(said), token))
+
+
+def _classed(tokens: Column, pattern: str, names: Sequence[str]) -> Column:
+    """Tokens with their kind: a bracket, : or , itself, k a key, S a sensitive one, s another text, v a scalar, x no JSON.
+
+    Keys are the texts before a colon. What a text holds is looked at here, once, and secrets leave it.
+    """
+
+    def one(token: Column, i: Column) -> Column:
+        before_colon = F.get(tokens, i + 1) == ":"
+        spoiled = (F.length(token) == 1) | token.rlike(_NO_STRING)
+        sensitive = F.coalesce(_plain(token).rlike(pattern), F.lit(False))
+        as_is = lambda kind: F.struct(F.lit(kind).alias("kind"), token.alias("text"))
+        return (
+            F.when(token.isin(*"[]{}:,"), F.struct(token.alias("kind"), token.alias("text")))
+            .when(~token.startswith('"'), F.when(token.rlike(_SCALAR), as_is("v")).otherwise(as_is("x"))).when(spoiled, as_is("x"))
+            .when(F.coalesce(before_colon, F.lit(False)), F.when(sensitive, as_is("S")).otherwise(as_is("k")))
+            .otherwise(F.struct(F.lit("s").alias("kind"), _clean_token(token, names).alias("text")))
+        )
+
+    return F.transform(tokens, one)
+
+
+def _move(state: Column, kind: Column) -> Column:
+    """What a token does: o opens, c closes, 1 is a whole value, k a key, : and , themselves, x a mistake.
+
+    `need` is what may come next: v a value, V that or the end of a list, k a key or the end of an
+    object, K a key, : or , after a value, or $ at the end; x after a mistake.
+    """
+    need, inner = state["need"], state["inner"]
+    return (
+        F.when(need == ",", F.when(kind == ",", ",").when((kind == "}") & (inner == "{") | (kind == "]") & (inner == "["), "c").otherwise("x"))
+        .when(need == ":", F.when(kind == ":", ":").otherwise("x"))
+        .when(need.isin("v", "V"), F.when(kind.isin("s", "v"), "1").when(kind.isin("{", "["), "o").when((kind == "]") & (need == "V"), "c").otherwise("x"))
+        .when(need.isin("k", "K"), F.when(kind.isin("k", "S"), "k").when((kind == "}") & (need == "k"), "c").otherwise("x"))
+        .otherwise("x")
+    )
+
+
+def _json_step(state: Column, token: Column) -> Column:
+    """One token further.
+
+    Spark copies the state of a fold at every step, so it holds no text. Open containers are runs of one
+    kind: `inner` and `depth` the innermost, `around` those about it. `hidden` counts the open
+    containers of a hidden value that began at token `since`; `secret` tells that the next value is one;
+    `cuts` are the tokens of hidden values.
+    """
+    kind, at = token["kind"], state["at"]
+    move = _move(state, kind)
+    inside = state["hidden"] > 0
+    grows = kind == state["inner"]
+    shrinks = state["depth"] > 1
+    outside = F.struct(state["inner"].alias("kind"), state["depth"].alias("depth"))
+    empty = ~shrinks & (F.size(state["around"]) == 0)
+    need = (
+        F.when(move == "x", "x").when(move == ":", "v").when(move == "k", ":").when(move == ",", F.when(state["inner"] == "{", "K").otherwise("v"))
+        .when(move == "o", F.when(kind == "{", "k").otherwise("V")).when(move == "c", F.when(empty, "$").otherwise(","))
+        .otherwise(F.when(state["depth"] == 0, "$").otherwise(","))
+    )
+    below = F.element_at(state["around"], -1)
+    ends = inside & (move == "c") & (state["hidden"] == 1)
+    cut = F.when(ends, F.struct(state["since"].alias("start"), (at + 1).alias("stop"))).when(
+        state["secret"] & (move == "1"), F.struct(at.alias("start"), (at + 1).alias("stop"))
+    )
+    return F.struct(
+        need.alias("need"),
+        F.when(move == "o", kind).when((move == "c") & ~shrinks, F.when(empty, "").otherwise(below["kind"])).otherwise(state["inner"]).alias("inner"),
+        F.when(move == "o", F.when(grows, state["depth"] + 1).otherwise(1)).when(
+            move == "c", F.when(shrinks, state["depth"] - 1).otherwise(F.when(empty, 0).otherwise(below["depth"]))
+        ).otherwise(state["depth"]).alias("depth"),
+        F.when((move == "o") & ~grows & (state["depth"] > 0), F.concat(state["around"], F.array(outside)))
+        .when((move == "c") & ~shrinks & ~empty, F.slice(state["around"], F.lit(1), F.size(state["around"]) - 1)).otherwise(state["around"]).alias("around"),
+        F.when(move == "o", F.when(inside | state["secret"], state["hidden"] + 1).otherwise(0)).when((move == "c") & inside, state["hidden"] - 1)
+        .otherwise(state["hidden"]).alias("hidden"),
+        F.when(inside, state["since"]).otherwise(at).alias("since"),
+        F.when(move == "k", ~inside & (kind == "S")).when(move == ":", state["secret"]).otherwise(False).alias("secret"),
+        (at + 1).alias("at"), F.when(cut.isNotNull(), F.concat(state["cuts"], F.array(cut))).otherwise(state["cuts"]).alias("cuts"),
+    )
+
+
+def _masked(tokens: Column, cuts: Column) -> Column:
+    """The tokens as one text, every cut replaced."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda x: x["stop"]))
+    stops = F.concat(F.transform(cuts, lambda x: x["start"]), F.array(F.size(tokens)))
+    between = F.zip_with(starts, stops, lambda a, b: F.array_join(F.transform(F.slice(tokens, a + 1, b - a), lambda t: t["text"]), ""))
+    return F.array_join(between, f'"{REDACTED}"')
+
+
 def redact_json_keys(c: Column, pattern: str = SENSITIVE_KEYS, names: Sequence[str] = NAMED_SECRETS) -> Column:
     """Mask the values of sensitive keys in a JSON text at any depth, in objects and lists, and clean other texts.
 
-    Numbers, flags and nulls keep their types. A text that is no JSON is cleaned as a text; null stays null.
+    The text is cut into tokens and a fold over them carries the open containers and whether the key in
+    force is sensitive, so depth has no limit. Everything but masked values and texts that hold a secret
+    stays as it is written, blanks between tokens apart: long numbers, repeated keys, unpaired escapes.
+    A text that is no JSON is cleaned as a text; null stays null.
     """
-    hidden = re.compile(pattern)
-    cleaners = [
-        (re.compile(DATABASE_URL), REDACTED_URL), (re.compile(KEY_TOKEN), REDACTED), (re.compile(HEADER_SECRET), r"\1\2" + REDACTED),
-        (re.compile(_named(names)), r"\1\2" + REDACTED),
-    ]
-
-    def clean(text: str) -> str:
-        for found, replacement in cleaners:
-            text = found.sub(replacement, text)
-        return text
-
-    def walk(value: object) -> object:
-        if isinstance(value, dict):
-            return {k: REDACTED if hidden.search(k) else walk(v) for k, v in value.items()}
-        if isinstance(value, list):
-            return [walk(v) for v in value]
-        return clean(value) if isinstance(value, str) else value
-
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        try:
-            parsed = json.loads(text)
-        except ValueError:
-            return clean(text)
-        return json.dumps(walk(parsed), ensure_ascii=False, separators=(",", ":"))
-
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        return texts.map(one, na_action="ignore")
-
-    return masked(c)
+    start = F.struct(
+        F.lit("v").alias("need"), F.lit("").alias("inner"), F.lit(0).alias("depth"), F.array().cast("array<struct<kind:string,depth:int>>").alias("around"),
+        F.lit(0).alias("hidden"), F.lit(0).alias("since"), F.lit(False).alias("secret"), F.lit(0).alias("at"),
+        F.array().cast("array<struct<start:int,stop:int>>").alias("cuts"),
+    )
+    found = F.regexp_extract_all(_hide(c), F.lit(_TOKENS), F.lit(0))
+    classed = _let(found, lambda tokens: _classed(tokens, pattern, names))
+    whole = _let(classed, lambda tokens: F.aggregate(
+        tokens, start, _json_step, lambda state: F.when(state["need"] == "$", _show(_masked(tokens, state["cuts"])))
+    ))
+    clean = redact_secrets(c, names)
+    # without sensitive words, escapes and blanks between tokens a text stays what it is, JSON or not
+    plain = (clean == c) & ~c.rlike(pattern) & ~F.contains(c, F.lit("\\")) & ~F.regexp_replace(c, '"[^"]*+"', "").rlike(r"[ \t\r\n]")
+    return F.when(plain, c).when(c.rlike(r"[\x01\x02]"), clean).otherwise(F.coalesce(whole, clean))
