@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from auditgrain.functions.expressions import count_if, known_ratio
 from auditgrain.functions.taxonomy import RISK_TAXONOMY, SEVERITY_WEIGHTS, Taxonomy, theme_array
 from auditgrain.operators.ranking import page
 from auditgrain.operators.tagging import SEVERITIES, UNCLASSIFIED, severity_rank
+from auditgrain.session import fresh_path, materialize
 
 INDEX_COLUMNS = [
     "run_id", "observation_id", "hash", "inspection_id", "dataset", "grain", "company", "site", "year", "product",
@@ -76,6 +78,58 @@ def browse(index: DataFrame, sort: str = "date", direction: str = "desc", limit:
     return page(index, browse_order(sort, direction), limit, offset)
 
 
+@dataclass(frozen=True)
+class StoredIndex:
+    """A browsing index written for reading: rows clustered by company, and pages by each stored order.
+
+    `pages` has, for each order, the rows in ranges of it and how many every range holds, in order.
+    """
+
+    rows: DataFrame
+    pages: Mapping[tuple[str, str], tuple[DataFrame, Sequence[tuple[int, int]]]]
+    total: int
+
+
+def store_index(index: DataFrame, orders: Sequence[tuple[str, str]] = (("date", "desc"),), ranges: int | None = None) -> StoredIndex:
+    """Write an index once for many questions.
+
+    The first copy is in ranges of the company, so that files of other companies are skipped by their
+    statistics. Each order is a further copy in ranges of that order, one folder a range, with the sizes
+    of the ranges, as many as there are partitions, kept beside it: a page reads the ranges it lies in.
+    """
+    spark = index.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    company = [F.col("company").asc_nulls_last(), F.col("observation_id")]
+    rows = materialize(index.repartitionByRange(n, *company).sortWithinPartitions(*company), "index-company")
+    pages = {}
+    for sort, direction in orders:
+        order = browse_order(sort, direction)
+        path = fresh_path(spark, f"index-{sort}-{direction}")
+        dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+        dealt.write.partitionBy("_range").parquet(path)
+        held = spark.read.schema(dealt.schema).parquet(path)
+        pages[sort, direction] = (held, [(r["_range"], r["count"]) for r in held.groupBy("_range").count().orderBy("_range").collect()])
+    total = sum(c for _, c in next(iter(pages.values()))[1]) if pages else rows.count()
+    return StoredIndex(rows, pages, total)
+
+
+def stored_page(stored: StoredIndex, sort: str = "date", direction: str = "desc", limit: int = 25, offset: int = 0, most: int = 1000) -> DataFrame:
+    """The page that `browse` gives, read from the ranges it lies in."""
+    if not 1 <= limit <= most or offset < 0:
+        raise ValueError("invalid page")
+    if (sort, direction) not in stored.pages:
+        raise ValueError("order is not stored")
+    held, sizes = stored.pages[sort, direction]
+    wanted, before, skipped = [], 0, 0
+    for part, size in sizes:
+        if before + size > offset and before < offset + limit:
+            wanted.append(part)
+            skipped = skipped if len(wanted) > 1 else before
+        before += size
+    near = held.filter(F.col("_range").isin(wanted) if wanted else F.lit(False)).drop("_range")
+    return near.orderBy(*browse_order(sort, direction)).offset(max(0, offset - skipped)).limit(limit).withColumn("total_rows", F.lit(stored.total).cast("long"))
+
+
 def similar_observations(index: DataFrame, observation_id: str, limit: int = 20) -> DataFrame:
     """Other observations in the same text group and grain, by id."""
     target = index.filter(F.col("observation_id") == observation_id).select("run_id", "group_id", "grain").limit(1)
@@ -95,13 +149,13 @@ def related_inspections(index: DataFrame) -> DataFrame:
 METRIC_GROUPS = ("theme", "year", "company", "site", "product", "inspection_type")
 
 
-def observation_theme_metrics(index: DataFrame, group_by: str = "theme", limit: int = 200) -> DataFrame:
+def observation_theme_metrics(index: DataFrame, group_by: str = "theme", limit: int | None = 200, most: int = 1000) -> DataFrame:
     """Counts, distinct inspections and sites, severity pivot and recurrence score per theme and group.
 
     Rows are first merged per (group, inspection, site), so the two exact distinct counts run over
-    far fewer rows than the corpus has.
+    far fewer rows than the corpus has. Without a limit all groups come back, unordered and without their total.
     """
-    if group_by not in METRIC_GROUPS or not 1 <= limit <= 1000:
+    if group_by not in METRIC_GROUPS or (limit is not None and not 1 <= limit <= most):
         raise ValueError("invalid grouping or limit")
     keys = ["theme"] if group_by == "theme" else ["theme", group_by]
     merged = index.groupBy(*keys, "inspection_id", "site").agg(
@@ -115,10 +169,12 @@ def observation_theme_metrics(index: DataFrame, group_by: str = "theme", limit:
     )
     n = F.col("inspection_count")
     scored = grouped.withColumn("recurrence_score", F.coalesce(known_ratio(F.greatest(n - 1, F.lit(0)), n), F.lit(0.0)))
-    total = grouped.agg(F.count("*")).scalar()
+    if limit is None:
+        return scored
+    groups = materialize(scored, "groups")  # counted and ordered from one aggregation
     return (
-        scored.orderBy(F.col("observation_count").desc(), *[F.col(k).asc_nulls_last() for k in keys])
-        .limit(limit).withColumn("total_groups", total)
+        groups.orderBy(F.col("observation_count").desc(), *[F.col(k).asc_nulls_last() for k in keys])
+        .limit(limit).withColumn("total_groups", groups.agg(F.count("*")).scalar())
     )
 
 

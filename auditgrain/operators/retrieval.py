@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditgrain.functions.expressions import compute_once, strip
+from auditgrain.operators.folds import ordered_fold
 from auditgrain.operators.fulltext import Stemmer, fulltext_search
 from auditgrain.operators.ranking import top_k
 from auditgrain.session import materialize
@@ -25,6 +26,7 @@ QUERY_BYTES, CHUNK_BYTES, LEAST_CHUNK_BLOCKS = 8 << 20, 64 << 20, 16
 SCORES_AT_ONCE = 1 << 22
 FIRST_POSTINGS = 1_000
 MOST_RESULTS = 100
+MAX_CHUNKS = 25_000
 # --- end of fixed values ------------------------------------------------------------------------
 
 
@@ -267,6 +269,37 @@ def upsert_chunks(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return rest.unionByName(merged.select(*existing.columns))
 
 
-def capacity(chunks: DataFrame, max_chunks: int = 25_000) -> DataFrame:
+def admit_documents(existing: DataFrame, incoming: DataFrame, max_chunks: int = MAX_CHUNKS, arrival: str = "document_id") -> DataFrame:
+    """One row for each incoming document, in order of arrival in its space: its chunks, those it replaces, the space's total then, and the verdict.
+
+    A document is refused when the space, without the chunks it replaces, would hold more than
+    `max_chunks`; the next one is judged by what the space holds then. The running total of a space is
+    carried over documents, not chunks.
+    """
+    counted = incoming.groupBy(*DOCUMENT_KEY).agg(F.count("*").alias("chunks"), F.min(arrival).alias("_arrival"))
+    held = existing.groupBy(*DOCUMENT_KEY).agg(F.count("*").alias("replaced"))
+    total = held.groupBy("space").agg(F.sum("replaced").alias("_total"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    judged = counted.join(held, DOCUMENT_KEY, "left").join(total, "space", "left").withColumns({"replaced": none(F.col("replaced")), "_total": none(F.col("_total"))})
+
+    def admit(now: int | None, chunks: int, replaced: int, start: int) -> tuple[int, tuple[int, str]]:
+        now = start if now is None else now
+        after = now - replaced + chunks
+        return (after, (after, "admitted")) if after <= max_chunks else (now, (now, "refused"))
+
+    out = ordered_fold(judged, ["space"], ["_arrival", "document_id"], ["chunks", "replaced", "_total"], {"total": "long", "verdict": "string"}, admit)
+    return out.select(*DOCUMENT_KEY, "chunks", "replaced", "total", "verdict")
+
+
+def upsert_within_capacity(
+    existing: DataFrame, incoming: DataFrame, max_chunks: int = MAX_CHUNKS, arrival: str = "document_id"
+) -> tuple[DataFrame, DataFrame]:
+    """(chunks, documents): the upsert of the documents that fit, and the verdict on every incoming one."""
+    documents = materialize(admit_documents(existing, incoming, max_chunks, arrival), "admitted")
+    fitting = documents.filter(F.col("verdict") == "admitted").select(*DOCUMENT_KEY)
+    return upsert_chunks(existing, incoming.join(fitting, DOCUMENT_KEY, "left_semi").select(*incoming.columns)), documents
+
+
+def capacity(chunks: DataFrame, max_chunks: int = MAX_CHUNKS) -> DataFrame:
     """Chunks per space against the configured capacity."""
     return chunks.groupBy("space").agg(F.count("*").alias("chunks")).withColumn("within_capacity", F.col("chunks") <= max_chunks)

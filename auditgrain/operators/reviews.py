@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditgrain.functions.taxonomy import OBSERVATION_TAXONOMY, Taxonomy
+from auditgrain.operators.folds import ordered_fold
 from auditgrain.operators.tagging import SEVERITIES, UNCLASSIFIED
 
 KEYS = ["run_id", "observation_id"]
@@ -53,30 +51,13 @@ def apply_reviews(
     )
     judged = incoming.join(known, KEYS, "left").join(latest, KEYS, "left").select(
         *incoming.columns, F.coalesce("_current", F.lit(0)).cast("long").alias("_current"),
-        F.when(F.col("_known").isNull(), "unknown").when(modified, "invalid").alias("status"),
+        F.when(F.col("_known").isNull(), "unknown").when(modified, "invalid").alias("_known_status"),
     )
-    ordered = judged.repartition(*KEYS).sortWithinPartitions(*KEYS, arrival, "revision")
-    kind = incoming.schema["revision"].dataType.simpleString()
-    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in incoming.schema.fields)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, now = None, 0
-        for batch in batches:
-            of = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: B023, E731
-            status, made = of("status"), [None] * batch.num_rows
-            for n, (key, revision, start) in enumerate(zip(zip(*map(of, KEYS), strict=True), of("revision"), of("_current"), strict=True)):
-                if key != at:
-                    at, now = key, start
-                if status[n] is None:
-                    status[n] = "accepted" if revision == now else "conflict"
-                    if revision == now:
-                        now += 1
-                        made[n] = now
-            new = pa.array(made, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(len(incoming_names))), new, pa.array(status, pa.string())], names=[*incoming_names, "new_revision", "status"]
-            )
-
-    incoming_names = incoming.columns
-    out = ordered.mapInArrow(judge, f"{given}, new_revision long, status string")
-    return out.withColumn("new_revision", F.col("new_revision").cast(kind))
+    def judge(now: int | None, revision: int | None, start: int, status: str | None) -> tuple[int, tuple[int | None, str]]:
+        now = start if now is None else now
+        if status is not None:
+            return now, (None, status)
+        return (now + 1, (now + 1, "accepted")) if revision == now else (now, (None, "conflict"))
+
+    out = ordered_fold(judged, KEYS, [arrival, "revision"], ["revision", "_current", "_known_status"], {"new_revision": "long", "status": "string"}, judge)
+    return out.select(*incoming.columns, F.col("new_revision").cast(incoming.schema["revision"].dataType).alias("new_revision"), "status")

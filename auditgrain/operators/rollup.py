@@ -38,11 +38,20 @@ def citation_texts(citations: DataFrame) -> DataFrame:
     )
 
 
+def _in_order(rows: DataFrame) -> Column:
+    """All rows of an inspection as structs in source order, without its id."""
+    order = ["source_row", *sorted(c for c in rows.columns if c not in ("id", "source_row"))]
+    return F.array_sort(F.collect_list(F.struct(*order)))
+
+
 def roll_up_projects(project_rows: DataFrame, citations: DataFrame, as_of: str) -> DataFrame:
     """One row per inspection: worst class, distinct projects and products, posted flag, citation text.
 
     Each side is aggregated before the join. True citation flag and count stay null. The text of every
     citation is in the packed text; `citation_texts` is the long form that the observation operators read.
+    Nothing is lost: `project_areas`, `product_types` and `project_classifications` are lists, and
+    `source_record` holds all source rows of both sides as JSON, in source order. What a query does not
+    select is not gathered.
     """
     names = lambda c: F.sort_array(F.collect_set(F.nullif(F.col(c), F.lit(""))))
     per_id = project_rows.groupBy("id").agg(
@@ -51,9 +60,10 @@ def roll_up_projects(project_rows: DataFrame, citations: DataFrame, as_of: str)
         F.max(_rank(F.col("classification"))).alias("_rank"),
         names("project").alias("project_areas"), names("product").alias("product_types"),
         F.max((F.col("posted") == "Yes").cast("int")).alias("posted_citation_indicator"),
-        F.count("*").alias("source_project_rows"),
+        F.count("*").alias("source_project_rows"), _in_order(project_rows).alias("_projects"),
     )
     texts = citation_texts(citations)
+    records = citations.groupBy("id").agg(_in_order(citations).alias("_citations"))
     cited = texts.groupBy(F.col("inspection_id").alias("id")).agg(
         F.count("*").alias("available_citation_count"),
         F.array_join(
@@ -61,7 +71,9 @@ def roll_up_projects(project_rows: DataFrame, citations: DataFrame, as_of: str)
         ).alias("observation_text"),
     )
     day = F.col("f.date")
-    joined = per_id.join(cited, "id", "left")
+    joined = per_id.join(cited, "id", "left").join(records, "id", "left")
+    classes = F.transform("_projects", lambda r: F.struct(r["project"].alias("project_area"), r["classification"].alias("classification"), r["source_row"].alias("source_row")))
+    record = F.to_json(F.struct(F.col("_projects").alias("inspection_rows"), F.coalesce("_citations", F.array()).alias("citation_rows")), {"ignoreNullFields": "false"})
     label = _label(F.col("_rank"))
     count = F.coalesce("available_citation_count", F.lit(0))
     company = squeeze("f.company")
@@ -83,6 +95,7 @@ def roll_up_projects(project_rows: DataFrame, citations: DataFrame, as_of: str)
         F.nullif(F.col("observation_text"), F.lit("")).alias("observation_text"),
         (label == "OAI").cast("int").alias("OAI_indicator"), (label == "VAI").cast("int").alias("VAI_indicator"),
         F.col("f.source_row").cast("string").alias("source_row"), "source_project_rows",
+        "project_areas", "product_types", classes.alias("project_classifications"), record.alias("source_record"),
     )
 
 
@@ -90,10 +103,7 @@ def nest_evidence(project_rows: DataFrame, citations: DataFrame) -> DataFrame:
     """Arrays of all source rows behind each inspection, in source order."""
 
     def nested(rows: DataFrame, name: str) -> DataFrame:
-        fields = sorted(c for c in rows.columns if c != "id")
-        # source_row leads the struct so that the array order is the source order.
-        order = ["source_row", *[c for c in fields if c != "source_row"]]
-        return rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias(name))
+        return rows.groupBy("id").agg(_in_order(rows).alias(name))
 
     left = nested(project_rows, "project_evidence")
     return left.join(nested(citations, "citation_evidence"), "id", "left").withColumnRenamed("id", "inspection_id")

@@ -165,15 +165,27 @@ def tag_rubric(df: DataFrame, taxonomy: Taxonomy = RISK_TAXONOMY, text: str = "t
 
 
 def _quote_contexts(text: Column, quote: Column) -> Column:
-    """For each occurrence of the quote: the text from the sentence before it to its end."""
-    literal = F.concat(F.lit(r"\Q"), F.replace(quote, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    pieces = F.split(text, literal, -1)
-    return F.transform(
-        F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-        lambda p, i: F.concat(
-            F.regexp_extract(F.call_function("array_join", F.slice(pieces, F.lit(1), i + 1), quote), r"[^.!?]*$", 0), quote
-        ),
-    )
+    """For each occurrence of the quote: the text from the sentence before it to its end.
+
+    Occurrences are located one behind the other. A sentence begins behind the last full stop since the
+    occurrence before, or else where that one's began, so no part of the text is looked through twice.
+    """
+    size = F.length(quote)
+    count = F.floor((F.length(text) - F.length(F.replace(text, quote, F.lit("")))) / size).cast("int")
+    start = F.struct(F.lit(1).alias("at"), F.lit(1).alias("since"), F.array().cast("array<struct<start:int,stop:int>>").alias("found"))
+
+    def next_one(state: Column, _: Column) -> Column:
+        at = F.call_function("locate", quote, text, state["at"])
+        behind = F.regexp_extract(F.substring(text, state["since"], at - state["since"]), r"[^.!?]*$", 0)
+        since = at - F.length(behind)
+        return F.struct(
+            (at + size).alias("at"), since.alias("since"),
+            F.concat(state["found"], F.array(F.struct(since.alias("start"), (at + size).alias("stop")))).alias("found"),
+        )
+
+    found = F.aggregate(F.sequence(F.lit(1), count), start, next_one, lambda state: state["found"])
+    # sequence(1, 0) would count down
+    return F.when(count > 0, F.transform(found, lambda f: F.substring(text, f["start"], f["stop"] - f["start"]))).otherwise(F.array().cast("array<string>"))
 
 
 def verify_tags(tags: DataFrame, texts: DataFrame, taxonomy: Taxonomy = OBSERVATION_TAXONOMY) -> DataFrame:

@@ -100,8 +100,9 @@ def _(spark, d):
 DECIDED = ("decided", """SELECT run_id, observation_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, observation_id ORDER BY revision DESC) AS rn FROM reviews) WHERE rn = 1 AND action IN ('Approve', 'Modify')""")
 
 
-@query("JOI-7", "needs_review", with_views("idx reviews", "SELECT observation_id, theme FROM idx ANTI JOIN decided USING (run_id, observation_id)", [DECIDED]))
+@query("JOI-7", "needs_review", with_views("idx", "SELECT observation_id, theme FROM (SELECT *, CAST('0x' || left(hash, 2) AS INTEGER) AS digit FROM idx) WHERE NOT (digit % 6 = 1 OR (digit % 3 <> 0 AND digit % 2 = 0))"))
 def _(spark, d):
+    # the last review of every sixth hash modifies, of the others an even one approves
     index = stored_index(spark, d)
     return V.needs_review(index, label_reviews(spark, d, index)).select("observation_id", "theme")
 
@@ -285,6 +286,20 @@ def _(spark, d):
     return a.unionByName(B.browse(index, "facility", "asc", 25).select("observation_id", "severity_rank", "total_rows"))
 
 
+@query("SRT-2", "browse_stored", with_views("idx", """SELECT observation_id, severity_rank, total_rows FROM (SELECT observation_id, severity_rank, count(*) OVER () AS total_rows FROM idx ORDER BY severity_rank DESC, observation_id LIMIT 40 OFFSET 9000)
+UNION ALL SELECT observation_id, severity_rank, total_rows FROM (SELECT observation_id, severity_rank, count(*) OVER () AS total_rows FROM idx ORDER BY company NULLS LAST, observation_id LIMIT 25)"""))
+def _(spark, d):
+    index = B.store_index(labelled_index(spark, d), [("severity", "desc"), ("facility", "asc")])
+    a, b = B.stored_page(index, "severity", "desc", 40, 9000), B.stored_page(index, "facility", "asc", 25)
+    return a.unionByName(b).select("observation_id", "severity_rank", "total_rows")
+
+
+@query("AGG-10", "company_theme_metrics", with_views("idx", theme_metrics_sql().replace("FROM idx", "FROM (SELECT * FROM idx WHERE grain = 'inspection' AND company = 'HOUSEHOLD NATION_3')")))
+def _(spark, d):
+    index = B.store_index(labelled_index(spark, d), []).rows
+    return B.observation_theme_metrics(B.filter_observations(index, company="HOUSEHOLD NATION_3"))
+
+
 @query("SRT-3", "benchmark_rows", with_views("annual", "SELECT year, cite_id, frequency, count(*) OVER () AS total_rows FROM annual ORDER BY frequency DESC, year, cite_id, program LIMIT 25 OFFSET 25"))
 def _(spark, d):
     return B.benchmark_rows(annual(spark, d), 25, 25).select("year", "cite_id", "frequency", "total_rows")

@@ -236,6 +236,39 @@ def _(spark, d):
     return out.select("space", "document_id", "doc_id", "domain", F.try_element_at("metadata", F.lit("version")).alias("version"))
 
 
+CAPACITY = [
+    ("old", "SELECT lang AS space, source || '-' || (doc_id % 7) AS document_id, count(*) AS replaced FROM documents WHERE doc_id % 3 <> 0 GROUP BY ALL"),
+    ("new", "SELECT lang AS space, source || '-' || (doc_id % 11) AS document_id, count(*) AS chunks, min(doc_id) AS arrival FROM documents GROUP BY ALL"),
+    ("judged", """SELECT new.*, coalesce(old.replaced, 0) AS replaced, (SELECT coalesce(sum(replaced), 0) FROM old o WHERE o.space = new.space) AS start,
+      row_number() OVER (PARTITION BY new.space ORDER BY arrival, new.document_id) AS i FROM new LEFT JOIN old USING (space, document_id)"""),
+    ("walk", """SELECT space, 0::BIGINT AS i, max(start)::BIGINT AS total, NULL::VARCHAR AS verdict FROM judged GROUP BY space
+      UNION ALL SELECT j.space, j.i, CASE WHEN w.total - j.replaced + j.chunks <= 220 THEN w.total - j.replaced + j.chunks ELSE w.total END,
+        CASE WHEN w.total - j.replaced + j.chunks <= 220 THEN 'admitted' ELSE 'refused' END FROM walk w JOIN judged j ON j.space = w.space AND j.i = w.i + 1"""),
+]
+
+
+def spaces(spark, d):
+    """Chunks already held and chunks that arrive: documents of a language are a space, parts of a source its documents."""
+    base = table(spark, d, "documents").select("doc_id", F.col("lang").alias("space"), "source", F.lit("prose").alias("source_type"), F.col("lang").alias("domain"), F.create_map(F.lit("k"), F.lit("v")).alias("metadata"))
+    named = lambda df, n: df.withColumn("document_id", F.concat_ws("-", "source", (F.col("doc_id") % n).cast("string")))
+    return named(base.filter("doc_id % 3 <> 0"), 7), named(base, 11)
+
+
+@query("RTR-8", "admit_documents", with_views("", """SELECT j.space, j.document_id, j.chunks, j.replaced, w.total, w.verdict FROM judged j JOIN walk w ON w.space = j.space AND w.i = j.i""", CAPACITY).replace("WITH ", "WITH RECURSIVE ", 1))
+def _(spark, d):
+    return R.admit_documents(*spaces(spark, d), 220, "doc_id")
+
+
+@query("RTR-8", "upsert_within_capacity", with_views("", """SELECT space, document_id, count(*) AS chunks FROM (
+SELECT lang AS space, source || '-' || (doc_id % 7) AS document_id FROM documents WHERE doc_id % 3 <> 0 AND (lang, source || '-' || (doc_id % 7)) NOT IN (SELECT (space, document_id) FROM taken)
+UNION ALL SELECT lang, source || '-' || (doc_id % 11) FROM documents WHERE (lang, source || '-' || (doc_id % 11)) IN (SELECT (space, document_id) FROM taken)) GROUP BY ALL""", [
+    *CAPACITY, ("taken", "SELECT j.space, j.document_id FROM judged j JOIN walk w ON w.space = j.space AND w.i = j.i WHERE w.verdict = 'admitted'"),
+]).replace("WITH ", "WITH RECURSIVE ", 1))
+def _(spark, d):
+    chunks_, _ = R.upsert_within_capacity(*spaces(spark, d), 220, "doc_id")
+    return chunks_.groupBy("space", "document_id").agg(F.count("*").alias("chunks"))
+
+
 @query("SRT-4", "top_k_per_query", with_views("", "SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM hits QUALIFY rank <= 5", KEYWORD))
 def _(spark, d):
     return P.top_k_per_query(R.keyword_candidates(passages(spark, d), texts(spark, d), 5), 5)

@@ -168,15 +168,6 @@ def _(spark, d):
     return risk.unionByName(recurrence).unionByName(years)
 
 
-@query("RSK-7", "entity_profile", with_views("inspections", """SELECT i.inspection_id, i.inspection_year, r.score, r.band, r.total FROM inspections i JOIN risk r USING (company_key)""", [
-    ("one", "SELECT * FROM inspections WHERE company_key = 'household nation_3'"), *factors_sql("company_key", "one")]))
-def _(spark, d):
-    profile = K.entity_profile(inspections(spark, d), "company_key", "household nation_3", AS_OF, taxonomy=PARTS)
-    return profile["records"].select("company_key", "inspection_id", "inspection_year").join(
-        profile["risk"].select("company_key", "score", "band", "total"), "company_key"
-    ).drop("company_key")
-
-
 # --------------------------------------------------------------------------------------- trend
 
 _CH = ", ".join(
@@ -209,6 +200,27 @@ JOIN (SELECT site_key, inspection_year, count(*) AS total_inspections, round(sum
   FROM inspections GROUP BY ALL) m ON m.site_key = c.s AND m.inspection_year = c.y"""
 
 
+ONE = "SELECT * FROM inspections WHERE company_key = 'household nation_3'"
+#: The entity's history at each of its years, and, as year 0, all of it.
+ONE_HISTORY = [
+    ("one", ONE),
+    ("cuts", "SELECT DISTINCT inspection_year AS y, least(make_date(inspection_year, 12, 31), DATE '2001-06-30') AS cutoff FROM one UNION ALL SELECT 0, DATE '2001-06-30'"),
+    ("history", "SELECT i.*, CAST(y AS VARCHAR) AS sy, y, cutoff FROM cuts JOIN one i ON y = 0 OR i.inspection_date <= cutoff"),
+]
+
+
+@query("RSK-7", "entity_profile", with_views("inspections", f"""SELECT 'risk' AS what, band AS label, score AS value FROM risk WHERE sy = '0'
+UNION ALL SELECT 'trend', CAST(c.y AS VARCHAR) || ' ' || coalesce(r.band, 'INSUFFICIENT DATA'), r.score FROM cuts c LEFT JOIN risk r ON r.sy = CAST(c.y AS VARCHAR) WHERE c.y > 0
+UNION ALL SELECT 'recurrence', theme, count(DISTINCT inspection_id) FROM (SELECT *, unnest({theme_list('lower(observation_text)', PARTS)}) AS theme FROM one) GROUP BY theme
+UNION ALL SELECT 'record', inspection_id, inspection_year FROM one""", [*ONE_HISTORY, *_TREND_CHAIN]))
+def _(spark, d):
+    profile = K.entity_profile(inspections(spark, d), "company_key", "household nation_3", AS_OF, taxonomy=PARTS)
+    part = lambda name, label, value: profile[name].select(F.lit(name).alias("what"), label.cast("string").alias("label"), F.col(value).cast("double").alias("value"))
+    year = F.concat_ws(" ", F.col("inspection_year").cast("string"), "band")
+    records = part("records", F.col("inspection_id"), "inspection_year").withColumn("what", F.lit("record"))
+    return part("risk", F.col("band"), "score").unionByName(part("trend", year, "score")).unionByName(part("recurrence", F.col("theme"), "count")).unionByName(records)
+
+
 @query("TRD-2", "risk_trend", with_views("inspections", TREND_SQL, [*YEARS, *_TREND_CHAIN]))
 def _(spark, d):
     trend = T.risk_trend(inspections(spark, d), ["site_key"], AS_OF, taxonomy=PARTS)

@@ -9,6 +9,7 @@ from auditgrain.plans.base import (
     AS_OF, annual, citations, faulty_citations, faulty_projects, inspections, project_rows, projects, with_views,
 )
 from auditgrain.plans.registry import query
+from auditgrain.session import materialize
 
 ROLLED_SQL = """
 SELECT p.id AS inspection_id, p.fei AS fei_number, p.company AS company_name, p.date AS inspection_date,
@@ -23,7 +24,8 @@ LEFT JOIN (SELECT id, count(*) AS n, string_agg(coalesce(long, short), chr(10) |
 
 
 def rolled(spark, d):
-    rows = project_rows(spark, d)
+    """Both sides come from one view of five tables, which is read and written once."""
+    rows = materialize(project_rows(spark, d), "project-rows")
     return R.roll_up_projects(projects(rows), citations(rows), AS_OF)
 
 
@@ -35,6 +37,26 @@ def _(spark, d):
     )
 
 
+def _record_sql(fields: str, source: str) -> str:
+    return f"SELECT id, list({{{', '.join(f'{f!r}: {f}' for f in fields.split())}}} ORDER BY source_row) AS rows FROM {source} GROUP BY id"
+
+
+@query("JOI-1", "rollup_record", with_views("project_rows citations", """SELECT p.id AS inspection_id, array_to_string(areas, ',') AS project_areas, array_to_string(types, ',') AS product_types,
+array_to_string(list_transform(p.rows, lambda r: r.project || ':' || r.classification || ':' || r.source_row), ';') AS project_classifications,
+to_json({'inspection_rows': p.rows, 'citation_rows': coalesce(c.rows, [])})::VARCHAR AS source_record
+FROM p LEFT JOIN c USING (id) JOIN (SELECT id, list(DISTINCT project ORDER BY project) AS areas, list(DISTINCT product ORDER BY product) AS types FROM project_rows GROUP BY id) USING (id)""", [
+    ("narrow", "SELECT *, NULL::VARCHAR AS city, NULL::VARCHAR AS state FROM (SELECT * EXCLUDE (city, state) FROM (SELECT NULL AS city, NULL AS state, * FROM project_rows))"),
+    ("p", _record_sql("source_row city classification company country date fei fiscal_year posted product project state", "narrow")),
+    ("c", _record_sql("source_row date fei long program reference short", "citations")),
+]))
+def _(spark, d):
+    record = lambda r: F.concat_ws(":", r["project_area"], r["classification"], r["source_row"])
+    return rolled(spark, d).select(
+        "inspection_id", F.array_join("project_areas", ",").alias("project_areas"), F.array_join("product_types", ",").alias("product_types"),
+        F.array_join(F.transform("project_classifications", record), ";").alias("project_classifications"), "source_record",
+    )
+
+
 @query("JOI-2", "validate_rollup", with_views("faulty_projects faulty_citations", """
 SELECT id, 'Conflicting FEI/date' AS violation FROM faulty_projects GROUP BY id HAVING count(DISTINCT date) > 1 OR count(DISTINCT fei) > 1
 UNION ALL SELECT id, 'Future inspection date' FROM faulty_projects GROUP BY id HAVING max(date) > DATE '2001-06-30'

@@ -57,12 +57,18 @@ def main() -> None:
     timed("site_alerts", lambda: alerts.site_alerts(df, as_of, rules=base.ALERTS, taxonomy=parts))
     timed("unfiltered_recurrence", lambda: metrics.theme_recurrence(df, parts, "site_key"))
     timed("observation_summary", lambda: browse.workspace_summary(index))
-    timed("observation_page", lambda: browse.browse(index, "severity", "desc", 25, 25))
+    pages = browse.store_index(index, [("severity", "desc")])
+    timed("observation_page", lambda: browse.stored_page(pages, "severity", "desc", 25, 25))
     timed("observation_search", lambda: normalize.search_literal(base.table(spark, d, "documents"), 'token = "', ["text"]))
     timed("company_theme_metrics", lambda: browse.observation_theme_metrics(
-        browse.filter_observations(index, company="HOUSEHOLD NATION_3"), "theme"))
+        browse.filter_observations(pages.rows, company="HOUSEHOLD NATION_3"), "theme"))
     rows = base.project_rows(spark, d)
-    timed("roll_up_projects", lambda: rollup.roll_up_projects(base.projects(rows), base.citations(rows), as_of))
+
+    def rolled() -> DataFrame:
+        both = materialize(rows, "project-rows")
+        return rollup.roll_up_projects(base.projects(both), base.citations(both), as_of).drop("project_classifications", "source_record")
+
+    timed("roll_up_projects", rolled)
     timed("qc_forecast", lambda: qc.linear_forecast(qc.rate_history(base.measurements(spark, d), "2001-08-01"), "2001-08-01"))
 
     unique = materialize(dedupe_texts(rows.select(F.col("long_text").alias("text"))), "texts")

@@ -154,3 +154,55 @@ def test_the_audit_reads_each_source_once(spark, tmp_path):
     out = U.source_audit(spark.read.parquet(f"{tmp_path}/p"), spark.read.parquet(f"{tmp_path}/c"), annual)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert f"{tmp_path}/p" not in out._jdf.queryExecution().executedPlan().toString() and plan.count("source_row") <= 1
+
+
+def test_documents_beyond_the_capacity_are_refused_in_order(spark):
+    from auditgrain.operators import retrieval as R
+
+    rng = random.Random(4)
+    chunk = lambda space, document, n: [(space, document, f"{document}-{k}", "d", "t", {"a": "b"}) for k in range(n)]
+    schema = "space string, document_id string, chunk_id string, domain string, source_type string, metadata map<string,string>"
+    old = [r for k in range(10) for r in chunk("hot", f"d{k:03d}", 3)]
+    new = {(rng.choice(["hot", "hot", "hot", "cold"]), f"d{k:03d}"): rng.randrange(1, 9) for k in range(0, 60, 2)}
+    existing, incoming = spark.createDataFrame(old, schema), spark.createDataFrame([r for (s, d), n in new.items() for r in chunk(s, d, n)], schema)
+    held, total, want = {f"d{k:03d}": 3 for k in range(10)}, {"hot": 30, "cold": 0}, {}
+    for (space, document), n in sorted(new.items()):
+        replaced = held.get(document, 0) if space == "hot" else 0
+        fits = total[space] - replaced + n <= 60
+        total[space] += n - replaced if fits else 0
+        want[space, document] = (n, replaced, total[space], "admitted" if fits else "refused")
+    chunks, documents = R.upsert_within_capacity(existing, incoming.repartition(5), 60)
+    assert {(r["space"], r["document_id"]): tuple(r)[2:] for r in documents.collect()} == want and {v[3] for v in want.values()} == {"admitted", "refused"}
+    assert {r["space"]: r["count"] for r in chunks.groupBy("space").count().collect()} == {s: n for s, n in total.items() if n}
+
+
+def test_a_stored_page_is_the_page(spark):
+    from auditgrain.operators import browse as B
+
+    rng = random.Random(1)
+    rows = [(f"o{k:04d}", rng.choice([None, "a", "b", "c"]), rng.choice([1, 2, 3, None]), rng.choice([1999, 2000, None])) for k in range(500)]
+    index = spark.createDataFrame(rows, "observation_id string, company string, severity_rank int, year int")
+    orders = [("severity", "desc"), ("facility", "asc"), ("date", "desc")]
+    stored = B.store_index(index, orders, ranges=6)
+    for sort, direction in orders:
+        for limit, offset in ((25, 0), (10, 245), (60, 470), (5, 500), (1000, 0), (30, 70)):
+            want = [tuple(r) for r in B.browse(index, sort, direction, limit, offset).collect()]
+            assert [tuple(r) for r in B.stored_page(stored, sort, direction, limit, offset).collect()] == want
+    held, sizes = stored.pages["severity", "desc"]
+    assert sum(n for _, n in sizes) == 500 and len(sizes) > 1 and stored.total == 500
+    with pytest.raises(ValueError):
+        B.stored_page(stored, "theme", "asc")
+
+
+def test_contexts_of_every_occurrence(spark):
+    from auditgrain.operators.tagging import _quote_contexts
+
+    cases = [("One. Two x. Three x x? x", "x"), ("a.b a.b. c a.b", "a.b"), ("none", "x"), ("xx" * 5, "xx"), ("Start $1 \\E (x) end. (x)", "(x)"), ("no stop x and x and x", "x")]
+    df = spark.createDataFrame(cases, "t string, q string").coalesce(1)
+    got = [r[0] for r in df.select(_quote_contexts(F.col("t"), F.col("q"))).collect()]
+    for (t, q), found in zip(cases, got):
+        want, at = [], t.find(q)
+        while at >= 0:
+            want.append(re.search(r"[^.!?]*$", t[:at]).group() + q)
+            at = t.find(q, at + len(q))
+        assert found == want
