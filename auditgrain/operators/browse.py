@@ -130,8 +130,8 @@ def stored_page(stored: StoredIndex, sort: str = "date", direction: str = "desc"
     return near.orderBy(*browse_order(sort, direction)).offset(max(0, offset - skipped)).limit(limit).withColumn("total_rows", F.lit(stored.total).cast("long"))
 
 
-def similar_observations(index: DataFrame, observation_id: str, limit: int = 20) -> DataFrame:
-    """Other observations in the same text group and grain, by id."""
+def similar_observations(index: DataFrame, observation_id: str | Column, limit: int = 20) -> DataFrame:
+    """Other observations in the same text group and grain, by id; the id may be a scalar of another plan."""
     target = index.filter(F.col("observation_id") == observation_id).select("run_id", "group_id", "grain").limit(1)
     return (
         index.filter(F.col("observation_id") != observation_id)

@@ -1,4 +1,4 @@
-"""Names mentioned in texts, found through word n-grams and an equi-join."""
+"""Names mentioned in texts, found through their rarest pairs of words."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditgrain.session import materialize
+
 # --- fixed values: names that are ordinary question words are never matched -----------------------
 NAME_STOPWORDS = (
     "the a an why is this company companies site sites high low risk which show compare for of and what are over "
@@ -22,40 +24,47 @@ def _units(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
+def _named_pairs(names: DataFrame) -> DataFrame:
+    """Names with `key`: a unit alone, or of two and more the neighbouring pair that the fewest names hold."""
+    pair = F.transform(F.sequence(F.lit(1), F.size("_u") - 1), lambda i: F.array_join(F.slice("_u", i, F.lit(2)), " "))
+    keys = names.withColumn("key", F.explode(F.when(F.size("_u") > 1, pair).otherwise(F.col("_u"))))
+    held = keys.groupBy("key").agg(F.countDistinct("name").alias("_n"))
+    rarest = keys.join(held, "key").groupBy("name", "gram").agg(F.min_by("key", F.struct("_n", "key")).alias("key"))
+    return rarest
+
+
 def match_entity_mentions(
     texts: DataFrame, names: DataFrame, text_id: str = "text_id", stopwords: Sequence[str] = NAME_STOPWORDS
 ) -> DataFrame:
     """(text id, name, match): `full` for a whole name, else `first_word` where a text has no full match.
 
     Stop words and names of three characters or fewer never match; a name contained in a longer
-    matched name is dropped. Each text is cut into n-grams of the lengths that occur among the names
-    and joined on equality, so no text meets a name it does not contain.
+    matched name is dropped. A text meets a name through the one pair of neighbouring units that the
+    fewest names share, so neither long names nor common first words make many pairs; that the whole
+    name stands in the text is then one search in it, and names within longer ones leave inside the row.
     """
     clean = names.select(F.trim("name").alias("name")).filter(F.length("name") > 0).distinct()
     clean = clean.withColumn("_u", _units(F.col("name")))
-    usable = clean.filter(~F.lower("name").isin(*stopwords) & (F.length("name") > 3))
-    grams = usable.select("name", F.array_join("_u", " ").alias("gram"), F.size("_u").alias("_n"))
-    # Distinct name lengths in words: a handful of numbers, gathered as a scalar.
-    lengths = grams.agg(F.sort_array(F.collect_set("_n"))).scalar()
-    units = texts.select(text_id, _units(F.col("text")).alias("_t")).withColumn("_lengths", lengths)
-    ngrams = units.select(text_id, "_t", F.explode("_lengths").alias("_n")).select(
-        text_id, "_n",
-        F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("_t") - F.col("_n") + 1, F.lit(1))),
-            lambda i: F.array_join(F.slice("_t", i, F.col("_n")), " "),
-        ))).alias("gram"),
+    usable = clean.filter(~F.lower("name").isin(*stopwords) & (F.length("name") > 3) & (F.size("_u") > 0)).withColumn("gram", F.array_join("_u", " "))
+    cut = texts.select(text_id, _units(F.col("text")).alias("_t"))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - 1, F.lit(1))), lambda i: F.array_join(F.slice("_t", i, F.lit(2)), " "))
+    held = materialize(cut.select(
+        text_id, F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")).alias("_said"), F.array_distinct("_t").alias("_words"),
+        F.array_distinct(F.when(F.size("_t") > 1, F.concat("_t", pairs)).otherwise(F.col("_t"))).alias("_keys"),
+    ), "units")
+    met = held.select(text_id, F.explode("_keys").alias("key")).join(_named_pairs(usable), "key").groupBy(text_id).agg(
+        F.collect_set(F.struct("gram", "name")).alias("_met")
     )
-    full = ngrams.join(grams, ["gram", "_n"]).select(text_id, "name").distinct()
-    longer = full.select(F.col(text_id), F.col("name").alias("_other"))
-    contained = (
-        full.join(longer, text_id)
-        .filter((F.length("_other") > F.length("name")) & F.contains(F.lower("_other"), F.lower("name")))
-        .select(text_id, "name").distinct()
-    )
-    kept = full.join(contained, [text_id, "name"], "left_anti")
+    found = held.select(text_id, "_said").join(met, text_id).select(
+        text_id, F.filter("_met", lambda m: F.contains("_said", F.concat(F.lit(" "), m["gram"], F.lit(" ")))).alias("_full")
+    ).filter(F.size("_full") > 0)
+    within = lambda a, b: (F.length(b["name"]) > F.length(a["name"])) & F.contains(F.lower(b["name"]), F.lower(a["name"]))
+    whole = found.select(text_id, F.explode(F.filter("_full", lambda a: ~F.exists("_full", lambda b: within(a, b)))).alias("m"))
     first = clean.withColumn("_word", F.lower(F.get(F.split("name", r"\s+"), F.lit(0)))).filter(
         (F.length("_word") >= 4) & ~F.col("_word").isin(*stopwords)
     ).select("name", "_word")
-    words = units.select(text_id, F.explode(F.array_distinct("_t")).alias("_word"))
-    fallback = words.join(full.select(text_id).distinct(), text_id, "left_anti").join(first, "_word").select(text_id, "name")
-    return kept.withColumn("match", F.lit("full")).unionByName(fallback.distinct().withColumn("match", F.lit("first_word")))
+    rest = held.select(text_id, "_words").join(found.select(text_id), text_id, "left_anti")
+    fallback = rest.select(text_id, F.explode("_words").alias("_word")).join(first, "_word").select(text_id, "name")
+    return whole.select(text_id, "m.name", F.lit("full").alias("match")).distinct().unionByName(
+        fallback.distinct().withColumn("match", F.lit("first_word"))
+    )

@@ -17,6 +17,7 @@ from auditgrain.operators.normalize import filter_inspections
 from auditgrain.operators.reviews import needs_review
 from auditgrain.operators.risk import risk_score
 from auditgrain.operators.tagging import SEVERITIES, UNCLASSIFIED
+from auditgrain.session import materialize
 
 # --- fixed values: metric, dimension and filter names ---------------------------------------------
 INSPECTION_METRICS = [
@@ -102,19 +103,22 @@ def _inspection_columns(posted: bool) -> dict[str, list[Column]]:
     }
 
 
-def _page(df: DataFrame, spec: MetricSpec, keys: Sequence[str]) -> DataFrame:
+def _page(df: DataFrame, spec: MetricSpec, keys: Sequence[str], with_total: bool) -> DataFrame:
     order = [F.col(k).asc_nulls_last() for k in keys]
+    if with_total:
+        df = materialize(df, "groups")  # counted and paged from one evaluation
+        df = df.withColumn("total_groups", df.agg(F.count("*")).scalar())
     out = (df.orderBy(*order) if order else df).offset(spec.offset)
     return out if spec.limit is None else out.limit(spec.limit)
 
 
 def metric_query(
     spec: MetricSpec, inspections: DataFrame, index: DataFrame | None = None, reviews: DataFrame | None = None,
-    as_of: str | None = None, cfg: RiskConfig | None = None, taxonomy: Taxonomy = RISK_TAXONOMY,
+    as_of: str | None = None, cfg: RiskConfig | None = None, taxonomy: Taxonomy = RISK_TAXONOMY, with_total: bool = False,
 ) -> DataFrame:
-    """Evaluate a spec: one row per combination of its dimensions."""
+    """Evaluate a spec: one row per combination of its dimensions, on request with `total_groups`, those before paging."""
     if spec.grain == "observation":
-        return _observation_query(spec, index, reviews)
+        return _observation_query(spec, index, reviews, with_total)
     filters = dict(spec.filters)
     band = filters.pop("risk_band", None)
     df = filter_inspections(inspections, **filters)
@@ -147,7 +151,7 @@ def metric_query(
         out = out.join(scored, same).drop(*[f"r{t}" for t in temporary]) if keys else out.select(
             "*", scored.select("risk_score").scalar().alias("risk_score"), scored.select("risk_level").scalar().alias("risk_level")
         )
-    return _page(out, spec, keys)
+    return _page(out, spec, keys, with_total)
 
 
 def _day(as_of: str | None) -> str:
@@ -156,7 +160,7 @@ def _day(as_of: str | None) -> str:
     return date.fromisoformat(as_of).isoformat()
 
 
-def _observation_query(spec: MetricSpec, index: DataFrame | None, reviews: DataFrame | None) -> DataFrame:
+def _observation_query(spec: MetricSpec, index: DataFrame | None, reviews: DataFrame | None, with_total: bool) -> DataFrame:
     if index is None:
         raise ValueError("observation metrics need the browsing index")
     filters = dict(spec.filters)
@@ -199,7 +203,7 @@ def _observation_query(spec: MetricSpec, index: DataFrame | None, reviews: DataF
     for name in ("recurring_themes", "recurrence_count", "review_required_count"):
         if name in out.columns:
             out = out.withColumn(name, F.coalesce(name, F.lit(0)))
-    return _page(out, spec, keys)
+    return _page(out, spec, keys, with_total)
 
 
 def scope_evidence(df: DataFrame, filters: Mapping[str, object], limit: int = 10, offset: int = 0, quote: int = 1200) -> DataFrame:

@@ -42,6 +42,13 @@ def _(spark, d):
     return metric_query(spec, inspections(spark, d), index, label_reviews(spark, d, index))
 
 
+@query("SEM-1", "metric_query_page", with_views("inspections", """SELECT company_key AS company, inspection_year AS year, count(*) AS total_inspections, count(*) OVER () AS total_groups FROM inspections
+GROUP BY ALL ORDER BY company_key NULLS LAST, inspection_year NULLS LAST LIMIT 30 OFFSET 40"""))
+def _(spark, d):
+    spec = MetricSpec(["total_inspections"], ["company", "year"], limit=30, offset=40)
+    return metric_query(spec, inspections(spark, d), with_total=True)
+
+
 @query("SEM-2", "scope_evidence", with_views("inspections", """SELECT inspection_id, company_name, site_key, classification, inspection_date, substring(coalesce(observation_text, ''), 1, 1200) AS quote FROM inspections
 WHERE classification = 'OAI' ORDER BY inspection_year DESC, inspection_id LIMIT 10 OFFSET 20"""))
 def _(spark, d):

@@ -110,11 +110,9 @@ def _(spark, d):
 @query("JOI-8", "similar_observations", with_views("idx", """SELECT observation_id, inspection_id FROM idx WHERE grain = 'annual_template' AND hash = sha256('hot anvil promo')
 AND observation_id <> (SELECT min(observation_id) FROM idx WHERE grain = 'annual_template' AND hash = sha256('hot anvil promo')) ORDER BY observation_id LIMIT 20"""))
 def _(spark, d):
-    from pyspark.sql import functions as F
-
     index = stored_index(spark, d)
-    target = index.filter((F.col("grain") == "annual_template") & (F.col("hash") == F.sha2(F.lit("hot anvil promo"), 256))).agg(F.min("observation_id")).first()[0]
-    return B.similar_observations(index, target).select("observation_id", "inspection_id")
+    asked = index.filter((F.col("grain") == "annual_template") & (F.col("hash") == F.sha2(F.lit("hot anvil promo"), 256))).agg(F.min("observation_id"))
+    return B.similar_observations(index, asked.scalar()).select("observation_id", "inspection_id")
 
 
 @query("JOI-9", "related_inspections", with_views("idx", """SELECT observation_id, group_id, dataset, related_inspections FROM idx JOIN (SELECT group_id, dataset, count(DISTINCT inspection_id) AS related_inspections FROM idx GROUP BY ALL) USING (group_id, dataset)"""))

@@ -206,3 +206,23 @@ def test_contexts_of_every_occurrence(spark):
             want.append(re.search(r"[^.!?]*$", t[:at]).group() + q)
             at = t.find(q, at + len(q))
         assert found == want
+
+
+def test_mentions_equal_trying_every_name(spark):
+    from auditgrain.operators.mentions import NAME_STOPWORDS, match_entity_mentions
+
+    rng = random.Random(12)
+    words = ["the", "acme", "labs", "north", "food", "gear", "geared", "co", "x1", "river", "company"]
+    names = sorted({" ".join(rng.choices(words, k=rng.randrange(1, 5))).title() for _ in range(120)} | {"North, River", "Acme-Labs", "R&D Acme"})
+    texts = [(k, " ".join(rng.choices([*words, "Acme-Labs", "north, river", "(gear)"], k=rng.randrange(0, 14)))) for k in range(150)] + [(900, None), (901, "R&D acme!")]
+    units = lambda t: re.findall(r"\w+|[^\w\s]+", t.lower())
+    want = set()
+    for k, t in texts:
+        said = f" {' '.join(units(t or ''))} "
+        full = [n for n in names if n.lower() not in NAME_STOPWORDS and len(n) > 3 and f" {' '.join(units(n))} " in said]
+        kept = [n for n in full if not any(len(o) > len(n) and n.lower() in o.lower() for o in full)]
+        first = [n for n in names if len(w := n.lower().split()[0]) >= 4 and w not in NAME_STOPWORDS and w in units(t or "")]
+        want |= {(k, n, "full") for n in kept} if full else {(k, n, "first_word") for n in first}
+    frames = spark.createDataFrame(texts, "text_id int, text string").repartition(4), spark.createDataFrame([(n,) for n in names] * 2, "name string")
+    got = [tuple(r) for r in match_entity_mentions(*frames).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {m for _, _, m in want} == {"full", "first_word"}
