@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = str.maketrans(UPPER, LOWER)
@@ -85,9 +86,10 @@ class WordHashes(dict):
         self.most = most
 
     def __missing__(self, word: str) -> int:
-        import xxhash
-
-        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        try:
+            value = xxh3_64_intdigest(word)
+        except UnicodeEncodeError:  # a lone surrogate
+            value = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         if len(self) >= self.most:
             self.clear()
         self[word] = value
