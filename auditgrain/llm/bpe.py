@@ -30,7 +30,7 @@ from auditgrain.llm.common import column, pieces, schema_of, texts_of
 
 NEVER = 1 << 62
 #: Chunks of text whose encoding a task remembers; a full memory is begun anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 class MergeAutomaton:
@@ -79,7 +79,7 @@ class MergeAutomaton:
         key = x << 32 | y
         found = self.allowed.get(key)
         if found is None:
-            if len(self.allowed) > 200_000:
+            if len(self.allowed) > REMEMBERED:
                 self.allowed.clear()
             found = self.allowed[key] = self.closed_at(x, y) == NEVER
         return found
@@ -200,6 +200,7 @@ class Encoder:
         """Workers outlive their tasks: what a task remembered must not stay in memory beside the next stage."""
         self.memory.clear()
         self.words.clear()
+        self.automaton.allowed.clear()
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
