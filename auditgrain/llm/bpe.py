@@ -146,7 +146,7 @@ class Encoder:
         self.assigned: set[str] = set()
         self.file = path
         self.memory: dict[str, bytes] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
 
     def _newer(self, text: str) -> bytes:
         """A text with code points that Python's Unicode tables lack: normalised and split by the library."""
@@ -158,18 +158,18 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
+        parts: list[bytes] = []
         for piece in self.split(chunk):
             known = self.words.get(piece)
             if known is None:
-                known = self.automaton.encode_word("".join(map(self.symbols.__getitem__, piece.encode("utf-8", "surrogatepass"))))
+                ids = self.automaton.encode_word("".join(map(self.symbols.__getitem__, piece.encode("utf-8", "surrogatepass"))))
                 if len(self.words) >= REMEMBERED:
                     self.words.clear()
-                self.words[piece] = known = tuple(known)
-            ids += known
+                self.words[piece] = known = struct.pack(f"<{len(ids)}I", *ids)
+            parts.append(known)
         if len(self.memory) >= REMEMBERED:
             self.memory.clear()
-        out = self.memory[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.memory[chunk] = parts[0] if len(parts) == 1 else b"".join(parts)
         return out
 
     def _plain(self, text: str) -> list[bytes]:
@@ -201,6 +201,7 @@ class Encoder:
         self.memory.clear()
         self.words.clear()
         self.automaton.allowed.clear()
+        pa.default_memory_pool().release_unused()
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
