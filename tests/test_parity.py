@@ -17,7 +17,7 @@ PICKED = [
     "agg5_source_audit", "agg1_portfolio_metrics", "agg2_annual_metrics", "rsk4_rank_entities", "trd2_risk_trend", "trd6_chart_facts",
     "alr6_site_alerts", "qc6_linear_forecast", "set6_dedupe_observations", "agg10_observation_theme_metrics", "agg15_observation_insights",
     "win5_apply_reviews", "tag3_classify_observation", "tag6_tag_rubric", "tag7_verify_tags", "joi10_match_entity_mentions",
-    "joi11_text_similarity_join", "rtr1_chunk_documents", "rtr2_vector_search", "rtr4_fulltext_search", "rtr4_fulltext_phrase", "rtr4_fulltext_either", "rtr4_fulltext_without", "rtr4_fulltext_stems", "rtr5_hybrid_search", "rtr3_keyword_search", "evl1_grounding_check",
+    "joi11_text_similarity_join", "rtr1_chunk_documents", "rtr2_vector_search", "rtr4_fulltext_search", "rtr4_fulltext_phrase", "rtr4_fulltext_either", "rtr4_fulltext_without", "rtr4_fulltext_stems", "rtr5_hybrid_search", "rtr3_keyword_search", "rtr8_admit_documents", "tag13_lsh_signatures", "tag12_group_part_texts", "rsk7_entity_profile", "joi1_rollup_record", "sem1_metric_query_page", "win2_recency_rank", "prj19_redact_json_keys", "evl1_grounding_check",
     "sem1_metric_query_risk",
 ]
 
