@@ -49,6 +49,54 @@ def test_pages_query_on_the_given_table(spark, small):
         assert got[row["page_id"]] == " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(h1|p|br)>", " ", body))).split())
 
 
+LEAD = "This lead tells in some words what the article is about and why it matters."
+LONG = "A long section text with many words that goes on for a while, so that it wins. " * 4
+
+
+def main_text(page):
+    return pages.main_text(pages.parse(page), None)
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<body><article><h1>Head</h1><p>{LEAD}</p><section><p>{LONG}</p></section><section><p>{LONG}</p></section></article><div>x</div></body>", f"Head {LEAD} {LONG}{LONG}"),
+    (f"<body><div id=w><div class=intro><p>{LEAD}</p></div><div class=body><p>{LONG}</p></div></div><div>Buy this</div></body>", f"{LEAD} {LONG}"),
+    (f"<body><div id=w><div class=body><p>{LONG}</p></div><div class=zone>Buy <a href=x>this</a></div></div></body>", LONG),
+    (f"<body><div><p>{LEAD}</p><table><tr><td>{LONG}</td></tr></table><p>{LEAD}</p></div></body>", f"{LEAD} {LONG}{LEAD}"),
+    (f"<body><article><p>{LONG}</p><div class=related-work><p>{LONG}</p></div><h2 id=social-effects>Social</h2><p>{LEAD}</p></article></body>", f"{LONG}{LONG}Social {LEAD}"),
+    (f"<body><article><p>{LONG}</p><div class=comment-list><p>{LONG}</p></div><div class=share>Share this</div></article></body>", LONG),
+    (f"<body><article><p>{LONG}\u0130<script>x</script>{LEAD}</p></article></body>", f"{LONG}\u0130{LEAD}"),
+])
+def test_pages_keep_all_parts_of_an_article(page, want):
+    assert main_text(page) == " ".join(want.split())
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<b>" * 1100 + "deep", "deep"),
+    ("<div>" * 100_000 + "deep text" + "</div>" * 100_000, "deep text"),
+    ("<p>x" + "<b>" * 20_000 + "</i>" * 20_000 + "y", "xy"),
+    ("<div>" * 3000 + "<p>t</p>" * 3000, " ".join(["t"] * 3000)),
+])
+def test_pages_may_be_deep(page, want):
+    assert main_text(page) == want
+
+
+def test_pages_of_many_hosts_are_dealt(spark, monkeypatch):
+    rows = [(k, f"https://h{k % 3}.example/{k}", PAGE.replace("{n}", str(k)) + f"<!-- {k} -->") for k in range(12)] + [(12, None, None)]
+    df = frame(spark, rows, "page_id long, url string, html string")
+    want = {tuple(r) for r in pages.extract(df).collect()}
+    monkeypatch.setattr(pages, "BROADCAST_HOSTS", 0)
+    got = pages.extract(df).collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want
+
+
+def test_a_page_unlike_its_host_keeps_its_own_text(spark):
+    short = f"<body><div class=post><section class=s><p>{LONG}</p></section></div></body>"
+    odd = f"<body><div class=post><section class=s>Short.</section></div><div class=long><p>{LONG * 5}</p></div></body>"
+    df = spark.createDataFrame([(k, "https://h.example/", short) for k in range(5)] + [(9, "https://h.example/", odd)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extract(df).collect()}
+    assert got[0] == LONG.strip() and got[9] == " ".join((LONG * 5).split())
+
+
 def digests(turns):
     every = "".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)
     loss = "".join(t or "" for r, t in turns if r == "assistant")
