@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from auditgrain.session import cut_lineage
 
@@ -105,13 +106,23 @@ def prefix_postings(nodes: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Dot product of two token -> weight maps of unit length, walking their common tokens only.
+@F.pandas_udf(DoubleType())
+def dots(left: pd.Series, left_weights: pd.Series, right: pd.Series, right_weights: pd.Series) -> pd.Series:
+    """Dot products of pairs of sparse vectors, each as sorted numbers of tokens and their weights."""
+    out = np.zeros(len(left))
+    for k, (a, x, b, y) in enumerate(zip(left, left_weights, right, right_weights)):
+        if len(a):
+            at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+            same = a[at] == b
+            out[k] = x[at[same]] @ y[same]
+    return pd.Series(out)
 
-    Pass stored map columns: an expression here would be evaluated again for every token.
-    """
-    common = F.array_intersect(F.map_keys(a), F.map_keys(b))
-    return F.aggregate(common, F.lit(0.0), lambda acc, t: acc + F.element_at(a, t) * F.element_at(b, t))
+
+def _sparse(nodes: DataFrame, side: str) -> DataFrame:
+    """`<side>_node` with its vector as two arrays; tokens are 64-bit hashes, told apart within a pair only."""
+    entries = F.array_sort(F.transform("vec", lambda e: F.struct(F.xxhash64(e["token"]).alias("c"), e["weight"].alias("w"))))
+    packed = nodes.select(F.col("node").alias(f"{side}_node"), entries.alias("_e"))
+    return packed.select(f"{side}_node", F.col("_e.c").alias(f"_{side}_codes"), F.col("_e.w").alias(f"_{side}_weights"))
 
 
 def _in_grid(left: DataFrame, right: DataFrame, on: Sequence[str], block: int) -> tuple[DataFrame, DataFrame]:
@@ -162,10 +173,9 @@ def _scored(shared: DataFrame, left: DataFrame, right: DataFrame, threshold: flo
         F.sum(F.col("left_weight") * F.col("right_weight")).alias("_dot"),
         F.max(F.greatest("left_dropped", "right_dropped")).alias("_rest"),
     ).filter(F.col("_dot") + F.col("_rest") >= threshold - 2 * SLACK).select("left_node", "right_node", "precedes")
-    vec = lambda df, side: df.select(F.col("node").alias(f"{side}_node"), F.map_from_entries("vec").alias(f"_{side}"))
-    scored = pairs.join(vec(left, "left"), "left_node").join(vec(right, "right"), "right_node")
-    scored = scored.withColumn("similarity", cosine(F.col("_left"), F.col("_right"))).drop("_left", "_right")
-    return scored.filter(F.col("similarity") >= threshold - SLACK)
+    both = pairs.join(_sparse(left, "left"), "left_node").join(_sparse(right, "right"), "right_node")
+    similarity = dots("_left_codes", "_left_weights", "_right_codes", "_right_weights")
+    return both.select("left_node", "right_node", "precedes", similarity.alias("similarity")).filter(F.col("similarity") >= threshold - SLACK)
 
 
 def text_similarity_join(nodes: DataFrame, representatives: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
@@ -184,11 +194,30 @@ def similarity_links(nodes: DataFrame, threshold: float = DEFAULT_THRESHOLD, blo
     The right node is the one that starts earlier. A posting list longer than `block` is dealt to a
     grid of its blocks, so a hot token is met in many tasks and each pair once per token.
     """
-    nodes = cut_lineage(nodes.filter(F.size("vec") > 0))
-    postings = cut_lineage(prefix_postings(nodes, threshold))
+    # pairs travel as numbers, which the checkpoint fixes, and are named again at the end
+    known = cut_lineage(nodes.filter(F.size("vec") > 0).withColumn("_id", F.monotonically_increasing_id()))
+    numbered = known.drop("node").withColumnRenamed("_id", "node")
+    postings = cut_lineage(prefix_postings(numbered, threshold))
     # a pair is wanted once, so a node that starts later meets those that start earlier
     later = postings.withColumn("last_hash", F.col("first_hash"))
-    return _scored(_shared(later, postings, ["theme", "token"], block), nodes, nodes, threshold).drop("precedes")
+    found = _scored(_shared(later, postings, ["theme", "token"], block), numbered, numbered, threshold)
+    name = lambda side: known.select(F.col("_id").alias(f"{side}_node"), F.col("node").alias(f"_{side}"))
+    named = found.join(name("left"), "left_node").join(name("right"), "right_node")
+    return named.select(F.col("_left").alias("left_node"), F.col("_right").alias("right_node"), "similarity")
+
+
+def similarity_classes(nodes: DataFrame, copies: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """(hash, theme, class_hash, n_links) of every text: the first text with its vector, and how many other classes are similar.
+
+    This is the similarity join of all texts of a theme without its pairs: copies count once, and
+    links are counted on both sides before they are shuffled.
+    """
+    links = similarity_links(nodes, threshold)
+    ends = links.select(F.explode(F.array("left_node", "right_node")).alias("node"))
+    classes = nodes.select("node", "first_hash").join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node", "left")
+    return copies.join(classes, "node").select(
+        "hash", "theme", F.col("first_hash").alias("class_hash"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+    )
 
 
 def _first_leaders(block: DataFrame, edges: DataFrame) -> DataFrame:

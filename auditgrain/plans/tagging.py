@@ -233,33 +233,31 @@ def document_vectors(spark, d):
     return S.lexical_vector(texts), themes
 
 
-@query("JOI-11", "text_similarity_join", with_views("", """SELECT a.hash AS first_hash, round(sum(a.weight * b.weight), 6) AS similarity FROM nodes n JOIN vectors a ON a.hash = n.hash
-JOIN reps r ON r.theme = n.theme JOIN vectors b ON b.hash = r.hash AND b.token = a.token WHERE r.hash < n.hash GROUP BY a.hash HAVING sum(a.weight * b.weight) >= 0.3 - 1e-9""", [
+THEME_NODES = [
     *VECTORS,
     ("themes", "SELECT sha256(clean) AS hash, min(lang) AS theme FROM docs JOIN documents USING (doc_id) GROUP BY 1"),
-    ("packed", "SELECT hash, string_agg(token || ':' || CAST(c AS VARCHAR), ',' ORDER BY token) AS v FROM counts GROUP BY hash"),
+    ("packed", "SELECT hash, string_agg(token || ':' || CAST(weight AS VARCHAR), ',' ORDER BY token) AS v FROM vectors GROUP BY hash"),
     ("nodes", "SELECT theme, v, min(hash) AS hash FROM themes JOIN packed USING (hash) GROUP BY theme, v"),
-    ("reps", "SELECT theme, min(hash) AS hash FROM nodes GROUP BY theme"),
+]
+
+
+@query("JOI-11", "text_similarity_join", with_views("", """SELECT t.hash, t.theme, coalesce(n.hash, t.hash) AS class_hash, coalesce(d.n_links, 0) AS n_links
+FROM themes t LEFT JOIN packed p ON p.hash = t.hash LEFT JOIN nodes n ON n.theme IS NOT DISTINCT FROM t.theme AND n.v = p.v LEFT JOIN degrees d ON d.theme = n.theme AND d.hash = n.hash""", [
+    *THEME_NODES,
+    ("pairs", """SELECT n.theme, a.hash, b.hash AS other FROM nodes n JOIN nodes r ON r.theme = n.theme AND r.hash < n.hash JOIN vectors a ON a.hash = n.hash
+      JOIN vectors b ON b.hash = r.hash AND b.token = a.token GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.78 - 1e-9"""),
+    ("degrees", "SELECT theme, hash, count(*) AS n_links FROM (SELECT theme, hash FROM pairs UNION ALL SELECT theme, other FROM pairs) GROUP BY ALL"),
 ]))
 def _(spark, d):
-    nodes, _ = S.vector_nodes(*document_vectors(spark, d))
-    full = nodes.filter(F.size("vec") > 0)
-    first = full.groupBy("theme").agg(F.min_by(F.struct("node", "first_hash", "last_hash", "vec"), "first_hash").alias("r")).select("theme", "r.*")
-    pairs = S.text_similarity_join(full, first, 0.3)
-    return pairs.join(full.select(F.col("node").alias("left_node"), "first_hash"), "left_node").select(
-        "first_hash", F.round("similarity", 6).alias("similarity")
-    )
+    """All texts of a theme against each other at 0.78: each text with its class of equal vectors and the number of similar classes."""
+    nodes, copies = S.vector_nodes(*document_vectors(spark, d))
+    return S.similarity_classes(cut_lineage(nodes), copies)
 
 
 @query("JOI-11", "text_similarity_links", with_views("", """SELECT a.hash AS hash, b.hash AS earlier_hash, n.theme, 'link' AS kind, round(sum(a.weight * b.weight), 6) AS similarity
 FROM nodes n JOIN nodes r ON r.theme = n.theme AND r.hash < n.hash JOIN vectors a ON a.hash = n.hash JOIN vectors b ON b.hash = r.hash AND b.token = a.token
 GROUP BY a.hash, b.hash, n.theme HAVING sum(a.weight * b.weight) >= 0.78 - 1e-9
-UNION ALL SELECT t.hash, n.hash, n.theme, 'copy', 1.0 FROM themes t JOIN packed p ON p.hash = t.hash JOIN nodes n ON n.theme = t.theme AND n.v = p.v WHERE n.hash < t.hash""", [
-    *VECTORS,
-    ("themes", "SELECT sha256(clean) AS hash, min(lang) AS theme FROM docs JOIN documents USING (doc_id) GROUP BY 1"),
-    ("packed", "SELECT hash, string_agg(token || ':' || CAST(weight AS VARCHAR), ',' ORDER BY token) AS v FROM vectors GROUP BY hash"),
-    ("nodes", "SELECT theme, v, min(hash) AS hash FROM themes JOIN packed USING (hash) GROUP BY theme, v"),
-]))
+UNION ALL SELECT t.hash, n.hash, n.theme, 'copy', 1.0 FROM themes t JOIN packed p ON p.hash = t.hash JOIN nodes n ON n.theme = t.theme AND n.v = p.v WHERE n.hash < t.hash""", THEME_NODES))
 def _(spark, d):
     """All links of a theme between the first texts of equal vectors, and each later text with its first one."""
     nodes, copies = S.vector_nodes(*document_vectors(spark, d))

@@ -145,6 +145,9 @@ def test_similarity_links_are_all_pairs(spark, block):
             if b < a and themes[a] == themes[b] and value >= 0.78:
                 want[a, b] = value
     assert len(want) > 30 and links == pytest.approx(want)
+    ends = [x for pair in want for x in pair]
+    classes = {r.hash: (r.theme, r.class_hash, r.n_links) for r in S.similarity_classes(nodes, copies).collect()}
+    assert classes == {h: (themes[h], same[h], ends.count(same[h])) for h in themes}
 
 
 def test_registered_links_equal_their_oracle(spark, small):
