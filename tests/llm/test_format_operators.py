@@ -174,15 +174,34 @@ def test_predictive_probabilities_sum_to_one():
         assert abs(p[(context == c) & known[word]].sum() + unknown[c] - 1) < 1e-9
 
 
-def test_seating_keeps_all_customers():
+def plain_seating(customers, fresh, discount, rng):
+    sizes = []
+    for n in range(customers):
+        if not sizes or rng.random() < fresh / (n - discount * len(sizes) + fresh):
+            sizes.append(1)
+        else:  # which of the tables has no influence on their number
+            sizes[0] += 1
+    return len(sizes)
+
+
+@pytest.mark.parametrize("customers,runs", [(1, 3), (2, 4000), (20, 2000), (200, 400), (2000, 150), (100_000, 12)])
+@pytest.mark.parametrize("fresh", [0.05, 4.0])
+def test_tables_are_as_many_as_in_a_plain_sampler(customers, runs, fresh):
+    rng, own = np.random.default_rng(5), random.Random(5)
+    got = pitman_yor.seat_anew(np.full(20_000, customers), np.full(20_000, fresh), 0.75, rng)
+    want = [plain_seating(customers, fresh, 0.75, own) for _ in range(runs)]
+    assert 1 <= got.min() and got.max() <= customers
+    assert abs(got.mean() - np.mean(want)) < 0.02 * got.mean() + 3 * np.std(want) / math.sqrt(runs)
+    assert 0.6 * np.std(want) <= got.std() <= 1.6 * np.std(want) or runs < 100
+
+
+def test_seating_of_none_and_of_mixed_pairs():
     rng = np.random.default_rng(3)
-    customers = rng.integers(0, 40, 300)
-    tables = pitman_yor.Restaurants(customers, rng, 0.75)
-    for _ in range(200):
-        tables.move(np.full(300, 0.5))
-    assert (np.bincount(tables.pair, weights=tables.size, minlength=300) == customers).all()
-    assert (tables.size > 0).all() and (np.diff(tables.pair) >= 0).all()
-    assert tables.tables()[customers > 20].mean() > 1.5
+    assert pitman_yor.seat_anew(np.zeros(0, np.int64), np.zeros(0), 0.75, rng).shape == (0,)
+    customers = rng.integers(0, 400, 300)
+    tables = pitman_yor.seat_anew(customers, np.full(300, 0.5), 0.75, rng)
+    assert ((tables > 0) == (customers > 0)).all() and (tables <= customers).all()
+    assert tables[customers > 200].mean() > tables[(customers > 0) & (customers < 20)].mean()
 
 
 def test_license_scan_against_sql(spark, tmp_path):
