@@ -38,12 +38,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group; rows without an id are not grouped and stay.
 
-    Repeated rows of that document are one document: one of them stays.
+    A document is an id with a text: different texts that share an id are different documents, of
+    which a group keeps the one with the smaller hash. Repeated rows of the document that stays are
+    one document: one of them stays.
     """
-    named = docs.filter("doc_id is not null")
-    groups = simhash.near_duplicates(named)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    out = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.filter("doc_id is not null").select(*COLUMNS, F.xxhash64("text").alias("body"))
+    groups = simhash.near_duplicates(named.select(F.struct("doc_id", "body").alias("doc_id"), "text"))
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id.doc_id", "doc_id.body").distinct()
+    out = named.join(kept, ["doc_id", "body"], "left_semi").dropDuplicates(["doc_id", "body"])
     return out.select(*COLUMNS).unionAll(docs.filter("doc_id is null").select(*COLUMNS))
 
 
@@ -55,11 +57,16 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which a benchmark item is found; others stay as they are."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    """Drops the documents in which a benchmark item is found; others stay as they are.
+
+    Only the text decides, so texts are judged and dropped by their hash: rows without an id, and rows
+    that share one, are judged like any other.
+    """
+    body = F.sha2(F.col("text").cast("binary"), 256)
+    found = decontam.contaminated(docs.select(body.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     # bounded by the contaminated documents; the plan broadcasts it where its measured size allows
-    leaks = materialize(found, "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    leaks = materialize(found.select(F.col("doc_id").alias("body")).distinct(), "leaks")
+    return docs.withColumn("body", body).join(leaks, "body", "left_anti").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -314,3 +314,25 @@ def test_pipeline_of_an_empty_and_an_odd_table(spark, small, tmp_path):
         table(spark, small, "benchmark").write.parquet(f"{folder}/benchmark.parquet")
         got = P.run(spark, str(folder)).collect()
         assert (not rows and not got) or (rows and got)
+
+
+def test_pipeline_drops_leaks_of_rows_without_an_id_or_with_a_shared_one(spark, small):
+    import corpus_pipeline as P
+
+    leak = next(r["text"] for r in table(spark, small, "benchmark").collect() if r["text"] and len(r["text"].split()) > 8)
+    clean = "nothing of any test is told here at all"
+    rows = [(None, leak), (None, clean), (None, None), (7, clean), (7, f"Before it. {leak} After it."), (8, leak), (8, leak), (9, "")]
+    docs = frame(spark, [(k, t, None, None, 0) for k, t in rows])
+    got = P.decontaminate(spark, docs, small).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, ""), (0, clean), (7, clean), (9, "")]
+
+
+def test_pipeline_keeps_different_texts_that_share_an_id(spark, small):
+    import corpus_pipeline as P
+
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(3))
+    rows = [(5, a), (5, b), (5, b), (6, a), (7, c), (4, c), (None, a), (8, None), (8, "")]
+    docs = frame(spark, [(k, t, None, None, 0) for k, t in rows])
+    got = P.drop_near_duplicates(spark, docs, small).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(5, a), (5, b), (4, c), (0, a), (8, "")])
