@@ -77,3 +77,15 @@ def test_zero_vectors_lead_themselves(spark):
     got = {r["hash"]: (r["is_leader"], round(r["similarity"], 6)) for r in S.group_dense(df, 2, 0.9).collect()}
     assert got["c"] == (True, 1.0) and got["d"] == (False, 1.0) and got["a"][0]
     assert df.select(S.unit_vector().alias("v")).filter(F.exists("v", lambda x: x.isNull() | F.isnan(x))).count() == 0
+
+
+def test_tokens_of_a_text_are_counted_within_its_row(spark):
+    texts = {"a": "Record records the laboratories, backdated RECORD", "b": "no", "c": " ".join(f"w{k % 700:03d}" for k in range(5000)), "d": None}
+    frame = spark.createDataFrame(list(texts.items()), "hash string, text string")
+    vectors = S.lexical_vector(frame)
+    assert "Exchange" not in vectors._jdf.queryExecution().executedPlan().toString()
+    got = {(r["hash"], r["token"]): r["weight"] for r in vectors.collect()}
+    a = {"records": 3, "laboratory": 1, "backdated": 1, S.BOOST_TOKEN: S.BOOST_COUNT}
+    c = {f"w{k:03d}": 8 if k < 100 else 7 for k in range(700)}
+    want = {(h, t): n / np.sqrt(sum(x * x for x in counts.values())) for h, counts in (("a", a), ("c", c)) for t, n in counts.items()}
+    assert got == pytest.approx(want)
