@@ -74,7 +74,7 @@ def redact_secrets(c: Column, names: Sequence[str] = NAMED_SECRETS) -> Column:
 
 #: A JSON text holds neither of these characters; they stand for two escapes while it is cut into tokens.
 _BACKSLASH, _QUOTE = "\x01", "\x02"
-_TOKENS = r'"[^"]*+"|[\[\]{}:,]|[^ \t\r\n"\[\]{}:,]++|"'
+_TOKENS = r'"[^"]*+"(?:[ \t\r\n]*+:)?+|[\[\]{}:,]|[^ \t\r\n"\[\]{}:,]++|"'
 _SCALAR = r"^(?:true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)$"
 _NO_STRING = r"[\x00\x03-\x1f]|\\(?![/bfnrt]|u[0-9a-fA-F]{4})"
 
@@ -106,84 +106,86 @@ def _clean_token(token: Column, names: Sequence[str]) -> Column:
         listed = F.to_json(F.array(clean))
         return F.when(clean == said, token).otherwise(_hide(F.substring(listed, F.lit(2), F.length(listed) - 2)))
 
-    return _let(_plain(token), lambda said: F.coalesce(written(said), token))
+    # one look for all kinds of secrets; most texts hold none
+    held = "|".join(f"(?:{p})" for p in (DATABASE_URL, KEY_TOKEN, HEADER_SECRET, _named(names)))
+    return _let(_plain(token), lambda said: F.when(said.rlike(held), F.coalesce(written(said), token)).otherwise(token))
 
 
 def _classed(tokens: Column, pattern: str, names: Sequence[str]) -> Column:
     """Tokens with their kind: a bracket, : or , itself, k a key, S a sensitive one, s another text, v a scalar, x no JSON.
 
-    Keys are the texts before a colon. What a text holds is looked at here, once, and secrets leave it.
+    Keys are the texts with a colon behind them, which belongs to their token. What a text holds is looked
+    at here, once, and secrets leave it.
     """
 
-    def one(token: Column, i: Column) -> Column:
-        before_colon = F.get(tokens, i + 1) == ":"
-        spoiled = (F.length(token) == 1) | token.rlike(_NO_STRING)
-        sensitive = F.coalesce(_plain(token).rlike(pattern), F.lit(False))
-        as_is = lambda kind: F.struct(F.lit(kind).alias("kind"), token.alias("text"))
+    def one(token: Column) -> Column:
+        # a text ends with its quote, so what is trimmed is the colon and the blanks before it
+        name = F.rtrim(token, F.lit(" \t\r\n:"))
+        spoiled = lambda text: (F.length(text) == 1) | text.rlike(_NO_STRING)
+        sensitive = F.coalesce(_plain(name).rlike(pattern), F.lit(False))
+        as_is = lambda kind, text=token: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+        key = lambda kind: as_is(kind, F.concat(name, F.lit(":")))
         return (
             F.when(token.isin(*"[]{}:,"), F.struct(token.alias("kind"), token.alias("text")))
-            .when(~token.startswith('"'), F.when(token.rlike(_SCALAR), as_is("v")).otherwise(as_is("x"))).when(spoiled, as_is("x"))
-            .when(F.coalesce(before_colon, F.lit(False)), F.when(sensitive, as_is("S")).otherwise(as_is("k")))
+            .when(~token.startswith('"'), F.when(token.rlike(_SCALAR), as_is("v")).otherwise(as_is("x")))
+            .when(token.endswith(":"), F.when(spoiled(name), as_is("x")).when(sensitive, key("S")).otherwise(key("k")))
+            .when(spoiled(token), as_is("x"))
             .otherwise(F.struct(F.lit("s").alias("kind"), _clean_token(token, names).alias("text")))
         )
 
     return F.transform(tokens, one)
 
 
-def _move(state: Column, kind: Column) -> Column:
-    """What a token does: o opens, c closes, 1 is a whole value, k a key, : and , themselves, x a mistake.
-
-    `need` is what may come next: v a value, V that or the end of a list, k a key or the end of an
-    object, K a key, : or , after a value, or $ at the end; x after a mistake.
-    """
-    need, inner = state["need"], state["inner"]
-    return (
-        F.when(need == ",", F.when(kind == ",", ",").when((kind == "}") & (inner == "{") | (kind == "]") & (inner == "["), "c").otherwise("x"))
-        .when(need == ":", F.when(kind == ":", ":").otherwise("x"))
-        .when(need.isin("v", "V"), F.when(kind.isin("s", "v"), "1").when(kind.isin("{", "["), "o").when((kind == "]") & (need == "V"), "c").otherwise("x"))
-        .when(need.isin("k", "K"), F.when(kind.isin("k", "S"), "k").when((kind == "}") & (need == "k"), "c").otherwise("x"))
-        .otherwise("x")
-    )
-
-
 def _json_step(state: Column, token: Column) -> Column:
     """One token further.
 
+    `need` is what may come next: v a value, V that or the end of a list, k a key or the end of an
+    object, K a key, a comma after a value, or $ at the end; x after a mistake. It decides first, so that
+    a step looks at few conditions and writes one state.
+
     Spark copies the state of a fold at every step, so it holds no text. Open containers are runs of one
     kind: `inner` and `depth` the innermost, `around` those about it. `hidden` counts the open
     containers of a hidden value that began at token `since`; `secret` tells that the next value is one;
     `cuts` are the tokens of hidden values.
     """
-    kind, at = token["kind"], state["at"]
-    move = _move(state, kind)
+    kind, at, need = token["kind"], state["at"], state["need"]
     inside = state["hidden"] > 0
     grows = kind == state["inner"]
     shrinks = state["depth"] > 1
     outside = F.struct(state["inner"].alias("kind"), state["depth"].alias("depth"))
     empty = ~shrinks & (F.size(state["around"]) == 0)
-    need = (
-        F.when(move == "x", "x").when(move == ":", "v").when(move == "k", ":").when(move == ",", F.when(state["inner"] == "{", "K").otherwise("v"))
-        .when(move == "o", F.when(kind == "{", "k").otherwise("V")).when(move == "c", F.when(empty, "$").otherwise(","))
-        .otherwise(F.when(state["depth"] == 0, "$").otherwise(","))
-    )
     below = F.element_at(state["around"], -1)
-    ends = inside & (move == "c") & (state["hidden"] == 1)
-    cut = F.when(ends, F.struct(state["since"].alias("start"), (at + 1).alias("stop"))).when(
-        state["secret"] & (move == "1"), F.struct(at.alias("start"), (at + 1).alias("stop"))
+    cut = lambda since: F.concat(state["cuts"], F.array(F.struct(since.alias("start"), (at + 1).alias("stop"))))
+    since = F.when(inside, state["since"]).otherwise(at).alias("since")
+    off, ahead = F.lit(False), (at + 1).alias("at")
+
+    def same(need: Column, secret: Column = off, cuts: Column = state["cuts"]) -> Column:
+        held = [state[n].alias(n) for n in ("inner", "depth", "around", "hidden")]
+        return F.struct(need.alias("need"), *held, since, secret.alias("secret"), ahead, cuts.alias("cuts"))
+
+    wrong = same(F.lit("x"))
+    comma = same(F.when(state["inner"] == "{", "K").otherwise("v"))
+    key = same(F.lit("v"), ~inside & (kind == "S"))
+    value = same(F.when(state["depth"] == 0, "$").otherwise(","), off, F.when(state["secret"], cut(at)).otherwise(state["cuts"]))
+    opened = F.struct(
+        F.when(kind == "{", "k").otherwise("V").alias("need"), kind.alias("inner"), F.when(grows, state["depth"] + 1).otherwise(1).alias("depth"),
+        F.when(grows | (state["depth"] == 0), state["around"]).otherwise(F.concat(state["around"], F.array(outside))).alias("around"),
+        F.when(inside | state["secret"], state["hidden"] + 1).otherwise(0).alias("hidden"), since, off.alias("secret"), ahead, state["cuts"].alias("cuts"),
+    )
+    closed = F.struct(
+        F.when(empty, "$").otherwise(",").alias("need"),
+        F.when(shrinks, state["inner"]).when(empty, "").otherwise(below["kind"]).alias("inner"),
+        F.when(shrinks, state["depth"] - 1).when(empty, 0).otherwise(below["depth"]).alias("depth"),
+        F.when(shrinks | empty, state["around"]).otherwise(F.slice(state["around"], F.lit(1), F.size(state["around"]) - 1)).alias("around"),
+        F.when(inside, state["hidden"] - 1).otherwise(state["hidden"]).alias("hidden"), since, off.alias("secret"), ahead,
+        F.when(state["hidden"] == 1, cut(state["since"])).otherwise(state["cuts"]).alias("cuts"),
     )
-    return F.struct(
-        need.alias("need"),
-        F.when(move == "o", kind).when((move == "c") & ~shrinks, F.when(empty, "").otherwise(below["kind"])).otherwise(state["inner"]).alias("inner"),
-        F.when(move == "o", F.when(grows, state["depth"] + 1).otherwise(1)).when(
-            move == "c", F.when(shrinks, state["depth"] - 1).otherwise(F.when(empty, 0).otherwise(below["depth"]))
-        ).otherwise(state["depth"]).alias("depth"),
-        F.when((move == "o") & ~grows & (state["depth"] > 0), F.concat(state["around"], F.array(outside)))
-        .when((move == "c") & ~shrinks & ~empty, F.slice(state["around"], F.lit(1), F.size(state["around"]) - 1)).otherwise(state["around"]).alias("around"),
-        F.when(move == "o", F.when(inside | state["secret"], state["hidden"] + 1).otherwise(0)).when((move == "c") & inside, state["hidden"] - 1)
-        .otherwise(state["hidden"]).alias("hidden"),
-        F.when(inside, state["since"]).otherwise(at).alias("since"),
-        F.when(move == "k", ~inside & (kind == "S")).when(move == ":", state["secret"]).otherwise(False).alias("secret"),
-        (at + 1).alias("at"), F.when(cut.isNotNull(), F.concat(state["cuts"], F.array(cut))).otherwise(state["cuts"]).alias("cuts"),
+    ends = (kind == "}") & (state["inner"] == "{") | (kind == "]") & (state["inner"] == "[")
+    return (
+        F.when(need == ",", F.when(kind == ",", comma).when(ends, closed).otherwise(wrong))
+        .when((need == "v") | (need == "V"), F.when((kind == "s") | (kind == "v"), value).when((kind == "{") | (kind == "["), opened).when((kind == "]") & (need == "V"), closed).otherwise(wrong))
+        .when((need == "k") | (need == "K"), F.when((kind == "k") | (kind == "S"), key).when((kind == "}") & (need == "k"), closed).otherwise(wrong))
+        .otherwise(wrong)
     )
 
 
@@ -215,5 +217,5 @@ def redact_json_keys(c: Column, pattern: str = SENSITIVE_KEYS, names: Sequence[s
     ))
     clean = redact_secrets(c, names)
     # without sensitive words, escapes and blanks between tokens a text stays what it is, JSON or not
-    plain = (clean == c) & ~c.rlike(pattern) & ~F.contains(c, F.lit("\\")) & ~F.regexp_replace(c, '"[^"]*+"', "").rlike(r"[ \t\r\n]")
+    plain = ~c.rlike(pattern) & ~F.contains(c, F.lit("\\")) & ~F.regexp_replace(c, '"[^"]*+"', "").rlike(r"[ \t\r\n]") & (clean == c)
     return F.when(plain, c).when(c.rlike(r"[\x01\x02]"), clean).otherwise(F.coalesce(whole, clean))
