@@ -9,7 +9,6 @@ from auditgrain.plans.base import (
     AS_OF, annual, citations, faulty_citations, faulty_projects, inspections, project_rows, projects, with_views,
 )
 from auditgrain.plans.registry import query
-from auditgrain.session import materialize
 
 ROLLED_SQL = """
 SELECT p.id AS inspection_id, p.fei AS fei_number, p.company AS company_name, p.date AS inspection_date,
@@ -24,8 +23,8 @@ LEFT JOIN (SELECT id, count(*) AS n, string_agg(coalesce(long, short), chr(10) |
 
 
 def rolled(spark, d):
-    """Both sides come from one view of five tables, which is read and written once."""
-    rows = materialize(project_rows(spark, d), "project-rows")
+    """Both sides come from one view of five tables. Its rows lie by id, so that neither side is shuffled to be grouped."""
+    rows = project_rows(spark, d)
     return R.roll_up_projects(projects(rows), citations(rows), AS_OF)
 
 
