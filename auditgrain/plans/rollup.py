@@ -24,7 +24,7 @@ LEFT JOIN (SELECT id, count(*) AS n, string_agg(coalesce(long, short), chr(10) |
 
 def rolled(spark, d):
     """Both sides come from one view of five tables. Its rows lie by id, so that neither side is shuffled to be grouped."""
-    rows = project_rows(spark, d)
+    rows = project_rows(spark, d, by_id=True)
     return R.roll_up_projects(projects(rows), citations(rows), AS_OF)
 
 
