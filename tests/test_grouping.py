@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -89,3 +90,25 @@ def test_tokens_of_a_text_are_counted_within_its_row(spark):
     c = {f"w{k:03d}": 8 if k < 100 else 7 for k in range(700)}
     want = {(h, t): n / np.sqrt(sum(x * x for x in counts.values())) for h, counts in (("a", a), ("c", c)) for t, n in counts.items()}
     assert got == pytest.approx(want)
+
+
+def test_what_a_step_shuffles_is_deleted_once_it_is_written(spark):
+    from auditgrain.session import CLEANUP, cut_lineage, materialize
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    shuffled = lambda: {x.rsplit("/", 1)[-1] for x in files().split(" ") if "/shuffle_" in x}
+    df = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.max("id").alias("m"))
+    for write in (materialize, cut_lineage):
+        before, written = shuffled(), write(df)
+        deadline = time.time() + 10  # files go in the background
+        while shuffled() - before and time.time() < deadline:
+            time.sleep(0.2)
+        assert not shuffled() - before and spark.conf.get(CLEANUP, None) is None
+        assert written.count() == 700
+    spark.conf.set(CLEANUP, "false")  # what the session says holds
+    try:
+        before = shuffled()
+        materialize(df)
+        assert shuffled() - before and spark.conf.get(CLEANUP) == "false"
+    finally:
+        spark.conf.unset(CLEANUP)
