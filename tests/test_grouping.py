@@ -92,6 +92,20 @@ def test_tokens_of_a_text_are_counted_within_its_row(spark):
     assert got == pytest.approx(want)
 
 
+def test_postings_and_pairs_carry_numbers_that_keep_the_order_of_hashes(spark):
+    texts = ["old red gear broke", "old red gear broke again", "new bolt came loose", "New bolt, came loose", *[f"case {k} item{k}" for k in range(20)]]
+    frame = spark.createDataFrame([(sha(t), t) for t in texts], "hash string, text string")
+    themes = frame.select("hash", F.when(F.col("text").startswith("case"), "a").otherwise("b").alias("theme"))
+    nodes, _ = S.vector_nodes(S.lexical_vector(frame), themes)
+    numbered, digests = S._numbered(nodes)
+    rows = numbered.collect()
+    assert len({r["node"] for r in rows}) == digests.count() == len(rows) == len(texts) - 1
+    ends = sorted([(r["first_hash"], r["first"]) for r in rows] + [(r["last_hash"], r["last"]) for r in rows])
+    assert [p for _, p in ends] == sorted(p for _, p in ends) and len({p for _, p in ends}) == len({h for h, _ in ends}) == len(texts)
+    postings = S.prefix_postings(S._ends(numbered), 0.7)
+    assert {postings.schema[c].dataType.simpleString() for c in ("node", "first_hash", "last_hash")} == {"bigint"}
+
+
 def test_what_a_step_shuffles_is_deleted_once_it_is_written(spark):
     from auditgrain.session import CLEANUP, cut_lineage, materialize
 
