@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditgrain.llm.common import TO_LOWER, WordHashes, column, pieces, rolling, schema_of, texts_of, words
+from auditgrain.llm.passages import _admitted, anchor_filter
 from auditgrain.llm.simhash import components
 from auditgrain.session import materialize
 
@@ -213,15 +214,22 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     if prints is None:
-        prints = materialize(_prints(docs, text, width, permutations), "minhash")
+        prints = materialize(_prints(docs, text, width, permutations), "minhash", "zstd")
     nodes = prints.filter("doc_id is not null").groupBy("text_sha256").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint"))
     wide = permutations // bands * 4  # hex digits of a band
     keys = [F.xxhash64(F.lit(k), F.substring("fingerprint", 1 + k * wide, wide)) for k in range(bands)]
-    dealt = materialize(nodes.select("doc_id", "text_sha256", F.explode(F.array(*keys)).alias("band")), "minhash")
+    dealt = materialize(nodes.select("doc_id", "text_sha256", F.explode(F.array(*keys)).alias("band")), "minhash", "zstd")
     rows = dealt.select("doc_id", "band")
     centre = rows.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
-    members = materialize(rows.join(centre, "band").select("band", "a", F.col("doc_id").alias("b")), "minhash")
-    wanted = members.select(F.col("b").alias("doc_id")).distinct().join(dealt.select("doc_id", "text_sha256").distinct(), "doc_id")
+    members = materialize(rows.join(centre, "band").select("band", "a", F.col("doc_id").alias("b")), "minhash", "zstd")
+    wanted = materialize(members.select(F.col("b").alias("doc_id")).distinct().join(dealt.select("doc_id", "text_sha256").distinct(), "doc_id"), "minhash", "zstd")
+    # texts that no bucket asks for are not shuffled; what a Bloom filter of bounded size lets through, the join tells apart
+    key = F.xxhash64("doc_id", "text_sha256")
+    filter_ = docs.sparkSession.sparkContext.broadcast(anchor_filter(wanted.select(key.alias("anchor"))))
+
+    @F.pandas_udf("boolean")
+    def asked_for(keys: pd.Series) -> pd.Series:
+        return pd.Series(_admitted(keys.to_numpy(np.int64).view(np.uint64), filter_.value))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
@@ -230,7 +238,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
 
     body = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    given = docs.select("doc_id", F.col(text).alias("text"), body.alias("text_sha256")).join(wanted, ["doc_id", "text_sha256"], "left_semi")
+    given = docs.select("doc_id", F.col(text).alias("text"), body.alias("text_sha256")).filter(asked_for(key)).join(wanted, ["doc_id", "text_sha256"], "left_semi")
     sets = given.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets, "minhash")
 
@@ -304,7 +312,7 @@ def _span(names: list, found: list[np.ndarray], linked: list[bool], block: list[
 
 def with_classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """`edited_pairs` with `near_class`, the smallest doc_id that verified links reach from a row's text."""
-    rows = materialize(edited_pairs(docs, text), "minhash")
+    rows = materialize(edited_pairs(docs, text), "minhash", "zstd")  # fingerprints are hex digits
     nodes = rows.groupBy("text_sha256").agg(F.min("doc_id").alias("least"))
     roots = components(near_duplicates(docs, text=text, prints=rows))
     named = nodes.join(roots, nodes.least == roots.node, "left").select("text_sha256", F.coalesce("root", "least").alias("near_class"))

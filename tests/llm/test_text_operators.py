@@ -1,6 +1,7 @@
 """Language ID, fingerprints, near-dedup, substring dedup, decontamination: brute force and odd rows."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -251,3 +252,14 @@ def test_wand_returns_all_that_plain_scoring_returns(spark):
 
 def test_documents_schema_is_as_expected(spark, small):
     assert set(table(spark, small, "documents").columns) == {c.split(" ")[0] for c in DOCS.split(", ")}
+
+
+def test_texts_no_bucket_asks_for_are_left_out_before_the_shuffle(spark, monkeypatch):
+    rng = random.Random(3)
+    own = [prose(rng, 60) for _ in range(40)]
+    near = [f"{t} end" for t in own[:4]]
+    docs = frame(spark, [(k, t, "en", "s", len(t)) for k, t in enumerate(own + near)])
+    seen = []
+    monkeypatch.setattr(minhash, "anchor_filter", lambda keys, f=minhash.anchor_filter: seen.append(keys.count()) or f(keys))
+    links = {(r["a"], r["b"]) for r in minhash.near_duplicates(docs).collect()}
+    assert links == {(k, 40 + k) for k in range(4)} and seen[0] < 20
