@@ -94,7 +94,8 @@ def local_block(spark: SparkSession, values: np.ndarray, blocks: Blocks) -> Bloc
 
 def rows_of(matrix: BlockMatrix) -> DataFrame:
     """(index, array of doubles) of a block matrix, without a detour over Python."""
-    found = callMLlibFunc("getIndexedRows", matrix.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
+    indexed_rows = matrix.toIndexedRowMatrix()  # held by name until the call is over: the JVM forgets what Python drops
+    found = callMLlibFunc("getIndexedRows", indexed_rows._java_matrix_wrapper._java_model)
     return found.select("index", vector_to_array("vector").alias("values"))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -50,6 +51,18 @@ def test_whitening_equals_numpy(spark):
         np.testing.assert_allclose(one["explained"].to_numpy()[:8], explained, rtol=1e-10)
 
 
+def test_rows_of_keeps_the_matrix_until_the_call_is_over(spark, monkeypatch):
+    call = whitening.callMLlibFunc
+
+    def late(*args):
+        time.sleep(3)  # what Python dropped before the call is gone from the JVM by now
+        return call(*args)
+
+    monkeypatch.setattr(whitening, "callMLlibFunc", late)
+    held = whitening.local_block(spark, np.array([[1.0, 2.0], [3.0, 4.0]]), whitening.Blocks())
+    assert sorted((r["index"], list(r["values"])) for r in whitening.rows_of(held).collect()) == [(0, [1.0, 2.0]), (1, [3.0, 4.0])]
+
+
 def test_whitening_without_variance_or_rows(spark):
     flat = frame(spark, [(k, [1.0, float(k % 2), 5.0], 0) for k in range(6)], VECTORS)
     got = whitening.whiten(flat).collect()
