@@ -60,9 +60,8 @@ def unpack(data: bytes, width: int, first: int, count: int) -> np.ndarray:
 
 def best_widths(ids: np.ndarray) -> list[int]:
     """Widths of the levels that make codes, bitmaps and directories smallest together."""
-    lengths = np.maximum(np.frexp(ids.astype(np.float64))[1], 1)
-    longest = int(lengths.max(initial=1))
-    beyond = [len(ids), *(int((lengths > s).sum()) for s in range(1, longest))]  # values with bits from s on
+    longest = max(1, int(ids.max(initial=0)).bit_length())
+    beyond = [len(ids), *(int(np.count_nonzero(ids >= (1 << s))) for s in range(1, longest))]  # values with bits from s on
     cost: dict[int, tuple[float, int]] = {longest: (0.0, 0)}
     for s in range(longest - 1, -1, -1):
         mark = 1 + 32 / BLOCK
@@ -158,7 +157,17 @@ class TokenFile:
 
 #: How the byte-level splitter of the library cuts a text: letters, numbers, others, white space (a fixed value).
 LETTER, NUMBER, OTHER = r"[^\W\d_]", r"\d", r"(?:[^\s\w]|_)"
-PIECES = rf"'(?:[stmd]|re|ve|ll)| ?{LETTER}+| ?{NUMBER}+| ?{OTHER}+|\s+(?!\S)|\s+"
+PIECES = r"'(?:[stmd]|re|ve|ll)| ?{letter}+| ?{number}+| ?{other}+|{blank}+(?!{solid})|{blank}+"
+
+
+def _below_256(pattern: str) -> str:
+    """The characters below 256 of a class, listed: a look into one table, where the class asks its categories."""
+    return f"[{''.join(f'\\x{k:02x}' for k in range(256) if re.fullmatch(pattern, chr(k)))}]"
+
+
+#: For any text, and for one whose characters are all below 256.
+EVERY = {"letter": LETTER, "number": NUMBER, "other": OTHER, "blank": r"\s", "solid": r"\S"}
+NARROW = {name: _below_256(x) for name, x in EVERY.items()}
 
 
 class Encoder:
@@ -180,7 +189,7 @@ class Encoder:
         #: whether texts may be cut here
         self.apart = (splitter.get("type"), splitter.get("use_regex"), splitter.get("add_prefix_space"), spec["normalizer"]) == ("ByteLevel", True, False, None)
         self.added = [x["content"] for x in spec["added_tokens"]]
-        self.pieces = re.compile(PIECES).findall
+        self.pieces, self.narrow_pieces = (re.compile(PIECES.format(**x)).findall for x in (EVERY, NARROW))
         self.classes = [re.compile(x).match for x in (LETTER, NUMBER, OTHER)]
         self.alike: set[str] = set()
         self.symbols = dict(enumerate(byte_symbols()))
@@ -207,14 +216,16 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        new = set(text) - self.alike
+        seen = set(text)
+        new = seen - self.alike
         if new:
             new = {c for c in new if not self._same_class(c)}
-            self.alike |= set(text) - new
+            self.alike |= seen - new
         if new or not self.apart or any(x in text for x in self.added):
             return self.whole(text)
         get, slow = self.memory.get, self._piece
-        return b"".join([get(x) or slow(x) for x in self.pieces(text)])
+        cut = self.narrow_pieces if max(seen, default="") <= "\xff" else self.pieces
+        return b"".join([get(x) or slow(x) for x in cut(text)])
 
 
 @lru_cache(maxsize=1)

@@ -265,3 +265,16 @@ def test_token_query(spark, small):
         want.append((key, at, len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())))
         at += len(ids) + 1
     assert got == want
+
+
+def test_narrow_texts_are_cut_as_any_text():
+    rng = random.Random(4)
+    one = tokenfile.Encoder(tokenizer_file("byte_bpe_50k.json"))
+    for letters in ([chr(k) for k in range(256)], list("ab1 \t\n'_stréllve.²")):
+        for _ in range(3000):
+            text = "".join(rng.choices(letters, k=rng.randrange(12)))
+            assert one.narrow_pieces(text) == one.pieces(text)
+            assert one.encode(text) == one.whole(text)
+    for ids in ([], [0], [1, 2, 255, 256, 1 << 20], [(1 << 32) - 1, 0]):
+        widths = tokenfile.best_widths(np.array(ids, np.uint32))
+        assert sum(widths) == max(1, max(ids, default=0).bit_length())
