@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditgrain.llm.common import TO_LOWER, WordHashes, column, pieces, rolling, schema_of, texts_of, words
+from auditgrain.llm.common import WordHashes, column, lower_ascii, pieces, rolling, schema_of, texts_of, words
 from auditgrain.llm.passages import _admitted, anchor_filter
 from auditgrain.llm.simhash import components
 from auditgrain.session import materialize
@@ -28,6 +28,8 @@ PERMUTATIONS = 128
 #: Of pairs at exactly SIMILAR, 5 in 100,000 share no band of five.
 BANDS = 25
 SIMILAR = 0.8
+#: The six ASCII blanks.
+BLANKS = " \t\n\v\f\r"
 #: Rows of a block of a large bucket, about.
 BLOCK_ROWS = 256
 _BLOCK = 256
@@ -40,19 +42,33 @@ def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(text: str, memory: WordHashes, width: int = WIDTH) -> np.ndarray:
     """32-bit hashes of the distinct word shingles (A-Z in lower case); fewer words: one shingle; none: none."""
-    hashes = memory.of(words(text.translate(TO_LOWER)))
+    return _shingled(memory.of(words(lower_ascii(text))), width)
+
+
+def _shingled(hashes: np.ndarray, width: int) -> np.ndarray:
     if not len(hashes):
         return np.empty(0, np.uint32)
     return np.unique((rolling(hashes, min(width, len(hashes))) >> np.uint64(32)).astype(np.uint32))
 
 
+def edited_hashes(text: str, hashes: np.ndarray, kept: int, tail: str, memory: WordHashes) -> np.ndarray:
+    """Word hashes of the first `kept` code points of a text, whose own are `hashes`, and the tail behind them.
+
+    Words that end before the last blank of what is kept are hashed already.
+    """
+    whole = 1 + max(text.rfind(blank, 0, kept) for blank in BLANKS)
+    return np.concatenate([hashes[: len(words(text[:whole]))], memory.of(words(lower_ascii(text[whole:kept] + tail)))])
+
+
 def signature(found: np.ndarray, permutations: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """16 bits for each permutation; a text without words has all ones."""
     a, b = permutations
     least = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    held = np.empty((min(_BLOCK, len(found)), len(a)), np.uint32)
     with np.errstate(over="ignore"):
         for k in range(0, len(found), _BLOCK):
-            values = found[k : k + _BLOCK, None] * a[None, :]
+            block = found[k : k + _BLOCK, None]
+            values = np.multiply(block, a[None, :], out=held[: len(block)])
             values += b
             np.minimum(least, values.min(axis=0), out=least)
     return (least >> np.uint32(16)).astype(">u2")
@@ -143,22 +159,30 @@ def edited_pairs(docs: DataFrame, text: str = "text", width: int = WIDTH, permut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, perms = WordHashes(), _permutations(permutations)
-        def view(t: str) -> tuple[np.ndarray, np.ndarray]:
-            found = shingles(t, memory, width)
+
+        def view(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found = _shingled(hashes, width)
             return found, signature(found, perms)
 
+        def pair(own: tuple, after: tuple) -> tuple:
+            text, cut = own[1], len(own[1]) // 3
+            tail = after[1][:cut]
+            hashes = edited_hashes(text, own[2], len(text) - cut, tail, memory)
+            return _pair(own, after, text[: len(text) - cut] + tail, *view(hashes))
+
         held = None  # the row before, which waits for its next
         for batch in pieces(batches, chars=2_000_000):
             out = []
             for doc, item, extra in zip(column(batch, "doc_id").to_pylist(), texts_of(batch), column(batch, "extra").to_pylist()):
-                own = (doc, item, *view(item))
+                hashes = memory.of(words(lower_ascii(item)))
+                own = (doc, item, hashes, *view(hashes))
                 if held is not None:
-                    out.append(_pair(held, own, view))
+                    out.append(pair(held, own))
                 held = None if extra else own
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], schema=_arrow(own_type))
         if held is not None:  # only where no row follows at all
-            yield pa.RecordBatch.from_pylist([dict(zip(names, _pair(held, held, view)))], schema=_arrow(own_type))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, pair(held, held)))], schema=_arrow(own_type))
 
     return dealt.mapInArrow(run, f"doc_id {own_type}, {SCHEMA}")
 
@@ -171,12 +195,9 @@ def _arrow(own_type: str) -> pa.Schema:
     return pa.schema([(n, _ARROW[k]) for n, k in fields])
 
 
-def _pair(own: tuple, after: tuple, view) -> tuple:
-    doc, text, found, sig = own
-    _, next_text, next_found, next_sig = after
-    cut = len(text) // 3
-    edited = text[: len(text) - cut] + next_text[:cut] if cut else text
-    edited_found, edited_sig = view(edited)
+def _pair(own: tuple, after: tuple, edited: str, edited_found: np.ndarray, edited_sig: np.ndarray) -> tuple:
+    doc, text, _, found, sig = own
+    _, _, _, next_found, next_sig = after
     return (
         doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), sig.tobytes().hex(), edited_sig.tobytes().hex(),
         likeness(sig, edited_sig), likeness(sig, next_sig), jaccard(found, edited_found), jaccard(found, next_found), _body(text),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditgrain.llm import decontam, language, minhash, passages, simhash
-from auditgrain.llm.common import WordHashes, words
+from auditgrain.llm.common import TO_LOWER, WordHashes, words
 from auditgrain.llm.queries import PLANS, table
 
 from .helpers import DOCS, WORD, frame, odd_documents, prose
@@ -69,6 +69,18 @@ def test_minhash_edits_the_next_row(spark):
     assert minhash.edited_pairs(docs.limit(1)).count() == 1
 
 
+def test_minhash_edited_words_are_hashed_once():
+    rng = random.Random(11)
+    texts = [r[1] or "" for r in ROWS] + ["".join(rng.choices("aB \t\n\x0b\x0c\r\x1c\xa0é𝒳", k=rng.randrange(40))) for _ in range(3000)]
+    memory = WordHashes()
+    for text, after in zip(texts, texts[1:]):
+        cut = len(text) // 3
+        kept, tail = len(text) - cut, after[:cut]
+        edited = text[:kept] + tail
+        got = minhash.edited_hashes(text, memory.of(WORD.findall(text.translate(TO_LOWER))), kept, tail, memory)
+        assert (got == memory.of(WORD.findall(edited.translate(TO_LOWER)))).all()
+
+
 def test_minhash_rows_that_share_an_id_or_have_none(spark):
     rows = [(1, "a b c", "x", "s", 1), (1, "a b c", "x", "s", 1), (None, "d", "x", "s", 1), (2, None, "x", "s", 1)]
     assert sorted(r["n_chars"] for r in minhash.edited_pairs(frame(spark, rows)).collect()) == [0, 1, 5, 5]
