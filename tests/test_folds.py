@@ -236,3 +236,18 @@ def test_json_masking_takes_few_steps(spark):
     assert [got[k] for k in (1, 2, 3, 4, 6)] == [texts[k] for k in (1, 2, 3, 4, 6)]
     # what a token does is decided once, not again for every part of the state
     assert len(rows.select(redact_json_keys(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+
+
+def test_a_stored_order_by_company_is_the_copy_by_company(spark):
+    from auditgrain import session
+    from auditgrain.operators import browse as B
+
+    index = spark.createDataFrame([(f"o{k:03d}", "abc"[k % 3], k % 4, 2000) for k in range(60)], "observation_id string, company string, severity_rank int, year int")
+    with session.steps_dropped(spark, 2):
+        stored = B.store_index(session.materialize(index, "index"), [("severity", "desc"), ("facility", "asc")])
+        made = list(session._made.get())
+    assert [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in made] == ["index", "index-severity-desc", "index-facility-asc"]
+    assert sorted(map(tuple, stored.rows.collect())) == sorted(map(tuple, index.collect()))  # the copies are there, the first table is not
+    path = spark._jvm.org.apache.hadoop.fs.Path(made[0])
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert [r["observation_id"] for r in B.stored_page(stored, "facility", "asc", 5).collect()] == [f"o{k:03d}" for k in range(0, 15, 3)]
