@@ -126,3 +126,41 @@ def test_what_a_step_shuffles_is_deleted_once_it_is_written(spark):
         assert shuffled() - before and spark.conf.get(CLEANUP) == "false"
     finally:
         spark.conf.unset(CLEANUP)
+
+
+def test_packed_vectors_are_those_of_the_rows_and_make_the_same_classes(spark):
+    texts = {"a": "Record records the laboratories, backdated RECORD", "b": "no", "c": "red red gear gear", "d": "gear red", "e": None, "f": "cold gear"}
+    frame = spark.createDataFrame(list(texts.items()), "hash string, text string")
+    rows, packed = S.lexical_vector(frame), S.lexical_vector(frame, packed=True)
+    weights = {h: sorted(r["weight"] for r in rows.filter(F.col("hash") == h).collect()) for h in texts}
+    got = {r["hash"]: r for r in packed.collect()}
+    assert {h: sorted(r["vec"]["weights"]) for h, r in got.items()} == {h: pytest.approx(w) for h, w in weights.items()}
+    assert got["b"]["key"] is None and got["e"]["key"] is None and len({got[h]["key"] for h in "acf"}) == 3
+    themes = frame.select("hash", F.lit("t").alias("theme"))
+    sort = lambda df: sorted(map(tuple, df.collect()))
+    assert sort(S.similarity_classes(*S.vector_nodes(packed, themes), 0.4)) == sort(S.similarity_classes(*S.vector_nodes(rows, themes), 0.4))
+
+
+def test_links_leave_their_task_without_postings(spark):
+    texts = {f"{k:03d}": " ".join(["shared", "words", "everywhere", f"only{k % 50}"]) for k in range(200)}
+    frame = spark.createDataFrame(list(texts.items()), "hash string, text string")
+    nodes, _ = S.vector_nodes(S.lexical_vector(frame, packed=True), frame.select("hash", F.lit("t").alias("theme")))
+    for block in (8192, 7):
+        links = S.similarity_links(nodes, 0.7, block)
+        assert "Generate explode(vec" not in links._jdf.queryExecution().executedPlan().toString()
+        assert links.count() == 50 * 49 // 2 and {round(r[0], 6) for r in links.select("similarity").distinct().collect()} == {0.75}
+
+
+def test_dense_pairs_are_multiplied_where_buckets_would_meet_most_of_them(spark):
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(60, 4))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    rows = [(f"{k:02d}", "t", f"{k:02d}", f"{k:02d}", v.tolist()) for k, v in enumerate(vectors)]
+    nodes = spark.createDataFrame(rows, "node string, theme string, first_hash string, last_hash string, vec array<double>")
+    for left, right in ((nodes, nodes), (nodes.filter("node >= '30'"), nodes.filter("node < '40'"))):
+        pairs = S.dense_pairs(nodes, 4, 0.6, 0.999)(left, right)
+        assert "FlatMapGroupsInArrow" in pairs._jdf.queryExecution().executedPlan().toString()
+        sides = [{r["node"] for r in side.collect()} for side in (left, right)]
+        want = {(i, j) for i in sides[0] for j in sides[1] if j < i and vectors[int(i)] @ vectors[int(j)] >= 0.6}
+        got = [(r["left_node"], r["right_node"]) for r in pairs.filter("precedes").collect()]
+        assert want and set(got) == want and len(got) == len(want)
